@@ -92,8 +92,9 @@ def structure(people: DataFrame, edges: DataFrame) -> DataFrame:
 
 def recency_days(observed_at: Column, now: Column) -> Column:
     """Whole days since observation, never negative; null without a date."""
-    return F.greatest(F.lit(0), F.floor(
-        (F.unix_millis(now) - F.unix_millis(observed_at)) / F.lit(86400000)))
+    days = F.floor((F.unix_millis(now) - F.unix_millis(observed_at.cast("timestamp")))
+                   / F.lit(86400000))
+    return F.when(days < 0, F.lit(0).cast("long")).otherwise(days)
 
 
 def claim_support(edges: DataFrame, claims: DataFrame, now: Column, texts: bool = False,

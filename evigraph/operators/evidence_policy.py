@@ -122,7 +122,9 @@ def adapter_run_summary(runs: DataFrame) -> DataFrame:
     return runs.agg(
         F.count(F.lit(1)).alias("total_runs"),
         *[F.count_if(F.col("status") == s).alias(f"{s}_runs") for s in RUN_STATUSES],
-        F.max(F.nullif(F.col("run_at"), F.lit(""))).alias("latest_run_at"))
+        F.max(F.nullif(F.col("run_at"), F.lit(""))).alias("latest_run_at"),
+        F.count_if((F.col("status") == "failed")
+                   & (F.coalesce("error_message", F.lit("")) != "")).alias("errors"))
 
 
 def failed_adapter_runs(runs: DataFrame) -> DataFrame:

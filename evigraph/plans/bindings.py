@@ -206,7 +206,7 @@ class Bindings:
                 F.concat(F.lit("Thread "), _s(order)).alias("title"),
                 F.array_compact(F.array(_s("o_custkey"), *[_s(f"s{i}") for i in range(1, 8)]))
                 .alias("people"),
-                F.when(order % 3 == 0, "high").when(order % 3 == 1, "medium").otherwise("low")
+                F.when(order % 3 == 0, "high").when(order % 3 == 1, "medium").otherwise("needs-review")
                 .alias("confidence"),
                 F.when(F.col("o_orderstatus") == "F", F.array(F.lit("Influence"))).alias(
                     "edge_types")))
@@ -225,8 +225,8 @@ class Bindings:
         section = F.when((kind == "source_context") & (F.col("l_linenumber") % 3 != 0),
                          F.concat(F.lit("s"), _s(F.col("l_linenumber") % 3)))
         return (self.sales.filter("l_quantity between 39 and 50")
-                .select(_s("o_custkey").alias("person_id"), kind.alias("kind"),
-                        value.alias("value"), section.alias("section"))
+                .select(_s("o_custkey").alias("person_id"), F.col("o_custkey").alias("ord"),
+                        kind.alias("kind"), value.alias("value"), section.alias("section"))
                 .distinct())
 
     @cached_property
@@ -381,11 +381,11 @@ thread_pairs as (
   from thread_steps a join thread_steps b on a.tid = b.tid and b.step = a.step + 1),
 threads as (
   select 't' || cast(o_orderkey as varchar) as id, o_orderkey as tid, 'Thread ' || cast(o_orderkey as varchar) as title,
-         case o_orderkey % 3 when 0 then 'high' when 1 then 'medium' else 'low' end as confidence,
+         case o_orderkey % 3 when 0 then 'high' when 1 then 'medium' else 'needs-review' end as confidence,
          case when o_orderstatus = 'F' then 'Influence' end as edge_type
   from orders),
 evidence_links as (
-  select distinct cast(o_custkey as varchar) as person_id,
+  select distinct cast(o_custkey as varchar) as person_id, o_custkey as ord,
     case cast(l_quantity as int) when 39 then 'received_work' when 40 then 'named_mention' when 41 then 'citation_target'
       when 42 then 'explicit_influence' when 43 then 'student' when 44 then 'advisor' when 45 then 'correspondent'
       when 46 then 'coauthor' when 47 then 'source_context' when 48 then 'concept' when 49 then 'institution'

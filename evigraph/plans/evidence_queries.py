@@ -325,5 +325,4 @@ def adapter_runs(b):
         F.concat(F.lit("Adapter "), F.col("user_id").cast("string")).alias("adapter_name"),
         status.alias("status"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("run_at"),
         F.when(F.col("event_id") % 2 == 0, "timeout").alias("error_message"))
-    errors = policy.failed_adapter_runs(runs).agg(F.count(F.lit(1)).alias("errors"))
-    return policy.adapter_run_summary(runs).crossJoin(errors)
+    return policy.adapter_run_summary(runs)
