@@ -141,21 +141,34 @@ TYPE_RULES = [
 ]
 
 
+COUNTS = ["n_attached", "n_direct", "n_usable", "n_stale", "n_refuted"]
+
+
 def evidence(people: DataFrame, edges: DataFrame, claims: DataFrame, now: Column,
              rules: bool = False) -> DataFrame:
     """Structure plus evidence checks; ``rules`` adds the type-specific ones.
 
     Structurally invalid edges keep their structural verdict.
     """
-    checked = structure(people, edges)
     support = claim_support(edges, claims, now, texts=rules)
-    counts = ["n_attached", "n_direct", "n_usable", "n_stale", "n_refuted"]
-    df = checked.join(support, "ord", "left").withColumns(
-        {c: F.coalesce(c, F.lit(0)) for c in counts})
-    n_claims, n_urls = F.size(listed("claim_ids")), F.size(listed("source_claims"))
-    n_refs = n_claims + n_urls
+    df = structure(people, edges).join(support, "ord", "left").withColumns({
+        "n_claims": F.size(listed("claim_ids")), "n_urls": F.size(listed("source_claims")),
+        "in_thread": F.size(listed("thread_ids")) > 0})
+    if rules:
+        text = F.lower(F.concat_ws(" ", F.coalesce("note", F.lit("")), "source_claims",
+                                   "claim_texts"))
+        df = df.withColumns({f"hit_{n}": text.rlike(pattern)
+                             for n, (pattern, _, _) in enumerate(TYPE_RULES)}).drop("claim_texts")
+    return judge(df, rules)
+
+
+def judge(df: DataFrame, rules: bool) -> DataFrame:
+    """Verdicts from structural results, evidence counts and rule hits."""
+    df = df.withColumns({c: F.coalesce(c, F.lit(0)) for c in [*COUNTS, "n_claims", "n_urls"]})
+    n_urls = F.col("n_urls")
+    n_refs = F.col("n_claims") + n_urls
     confidence = F.coalesce("confidence", F.lit(0.5))
-    in_thread = F.size(listed("thread_ids")) > 0
+    in_thread = F.col("in_thread")
     accepted = F.coalesce(F.col("status") == "accepted", F.lit(False))
     high_impact = accepted | (F.col("strength") >= 4) | in_thread
     weak = high_impact & (confidence < 0.75)
@@ -175,10 +188,8 @@ def evidence(people: DataFrame, edges: DataFrame, claims: DataFrame, now: Column
         "_found": found, "_status": status, "_score": score / F.lit(1000.0)})
     confirmed = (F.col("_status") == "supported") & (F.size("_found") == 0)
     if rules:
-        text = F.lower(F.concat_ws(" ", F.coalesce("note", F.lit("")), "source_claims",
-                                   "claim_texts"))
-        broken = [(F.col("type").isin(types) & ~text.rlike(pattern), reason)
-                  for pattern, types, reason in TYPE_RULES]
+        broken = [(F.col("type").isin(types) & ~F.coalesce(F.col(f"hit_{n}"), F.lit(False)),
+                   reason) for n, (_, types, reason) in enumerate(TYPE_RULES)]
         broken.append((in_thread & ((confidence < 0.85) | (n_refs == 0)),
                        "canonical-thread-edge-needs-high-confidence-source-support"))
         df = df.withColumn("_broken", reasons(*broken))
@@ -187,7 +198,7 @@ def evidence(people: DataFrame, edges: DataFrame, claims: DataFrame, now: Column
             "_found": F.concat("_found", "_broken"),
             "_status": F.when(failed & (F.col("_status") != "conflicting"), "weak")
             .otherwise(F.col("_status"))})
-        confirmed = confirmed & ~failed
+        confirmed = (F.col("_status") == "supported") & (F.size("_found") == 0)
     valid = F.col("structural_status") == "valid"
     confirmed = valid & confirmed
     return df.withColumns({
@@ -200,7 +211,8 @@ def evidence(people: DataFrame, edges: DataFrame, claims: DataFrame, now: Column
         .otherwise(F.col("source_claim_coverage")),
         "confidence_score": F.when(valid, F.col("_score")).otherwise(F.col("confidence_score")),
         "blocking_reasons": F.when(valid, F.col("_found")).otherwise(F.col("blocking_reasons")),
-    }).drop("_coverage", "_found", "_status", "_score", "_broken", "claim_texts", *counts)
+    }).drop("_coverage", "_found", "_status", "_score", "_broken", "n_claims", "n_urls",
+            "in_thread", *COUNTS, *[f"hit_{n}" for n in range(len(TYPE_RULES))])
 
 
 def relationship_rules(people, edges, claims, now) -> DataFrame:
@@ -208,8 +220,12 @@ def relationship_rules(people, edges, claims, now) -> DataFrame:
 
 
 def validate_candidates(people, candidates, claims, now) -> DataFrame:
-    """The same checks over discovered candidates, with add/discard dispositions."""
-    checked = relationship_rules(people, candidates, claims, now)
+    """The same checks over candidate edge rows, with add/discard dispositions."""
+    return as_candidates(relationship_rules(people, candidates, claims, now))
+
+
+def as_candidates(checked: DataFrame) -> DataFrame:
+    """Existing-edge verdicts restated for discovered candidates."""
     disposition = F.col("final_disposition")
     mapped = (F.when(disposition == "confirmed-existing-edge", "added-confirmed-edge")
               .when(disposition == "removed-existing-edge", "discarded-candidate"))
@@ -220,6 +236,34 @@ def validate_candidates(people, candidates, claims, now) -> DataFrame:
                                 "recommended_action": action, "final_disposition": mapped})
 
 
+def validate_discovered(people: DataFrame, candidates: DataFrame, rows: DataFrame,
+                        claims: DataFrame, now: Column) -> DataFrame:
+    """Validate merged candidates against their evidence rows (``missing_edges``).
+
+    Evidence stays one row per item, so counts and rule hits are aggregated map-side
+    and a candidate backed by very many claims needs no array.
+    """
+    keys = ["key_a", "key_b", "type"]
+    facts = claims.select(
+        F.col("id").alias("claim_id"), "subject_type", "status",
+        (F.coalesce(F.col("status") == "stale", F.lit(False))
+         | (F.coalesce(recency_days(F.col("observed_at"), now), F.lit(0)) > 3650)).alias("_old"),
+        F.concat_ws(" ", "field", "value", "source_name").alias("_text"))
+    direct = F.col("subject_type") == "Relationship"
+    text = F.lower(F.concat_ws(" ", "note", "url", "_text"))
+    hits = [F.max(text.rlike(p)).alias(f"hit_{n}") for n, (p, _, _) in enumerate(TYPE_RULES)]
+    support = (rows.select(*keys, "claim_id", "url", "thread_id", "note")
+               .join(facts, "claim_id", "left").groupBy(*keys).agg(
+        F.count("subject_type").alias("n_attached"), F.count_if(direct).alias("n_direct"),
+        F.count_if(direct & ~F.col("status").isin(vocab.DEAD_CLAIM_STATUSES)).alias("n_usable"),
+        F.count_if("_old").alias("n_stale"),
+        F.count_if(F.col("status").isin("rejected", "conflicting")).alias("n_refuted"),
+        F.count("claim_id").alias("n_claims"), F.count("url").alias("n_urls"),
+        (F.count("thread_id") > 0).alias("in_thread"), *hits))
+    ready = candidates.drop("n_claims", "n_threads").withColumn("status", F.lit("suggested"))
+    return as_candidates(judge(structure(people, ready).join(support, keys, "left"), True))
+
+
 def report_lane() -> Column:
     """Lane of a result row; null when no lane applies."""
     conflict = (F.col("evidence_status") == "conflicting") | F.exists(

@@ -415,11 +415,11 @@ candidates as (
 
 def sql_with_bindings(sql: str) -> str:
     """Prefix a statement with the bound tables; ``with`` lists may be continued."""
-    body = sql.strip()
-    joiner = ",\n" if body.lower().startswith("with ") else "\n"
-    if body.lower().startswith("with "):
-        body = body[5:]
-    recursive = "recursive " if body.lower().startswith("recursive ") else ""
-    if recursive:
-        body = body[len("recursive "):]
-    return f"with {recursive}{PREAMBLE.strip()}{joiner}{body}"
+    words = sql.split(None, 1)
+    if words[0].lower() != "with":
+        return f"with {PREAMBLE.strip()}\n{sql.strip()}"
+    body = words[1]
+    recursive = ""
+    if body.split(None, 1)[0].lower() == "recursive":
+        recursive, body = "recursive ", body.split(None, 1)[1]
+    return f"with {recursive}{PREAMBLE.strip()},\n{body}"
