@@ -194,7 +194,8 @@ def merge_unique(*arrays: Column) -> Column:
 
 
 def merge_unique_trimmed(*arrays: Column) -> Column:
-    return F.filter(F.transform(merge_unique(*arrays), F.trim), lambda v: v != "")
+    trimmed = F.transform(merge_unique(*arrays), lambda v: F.trim(v))
+    return F.array_distinct(F.filter(trimmed, lambda v: v != ""))
 
 
 def evidence_tokens(text: Column) -> Column:

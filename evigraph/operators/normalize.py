@@ -190,7 +190,7 @@ def integrity(people: DataFrame, edges: DataFrame) -> DataFrame:
 def authority_ids(identifiers: Column) -> Column:
     """Trimmed, non-empty, distinct ids per authority; empty authorities dropped."""
     cleaned = F.transform_values(identifiers, lambda k, v: F.array_distinct(
-        F.filter(F.transform(v, F.trim), lambda x: x != "")))
+        F.filter(F.transform(v, lambda v: F.trim(v)), lambda x: x != "")))
     return F.map_filter(cleaned, lambda k, v: F.size(v) > 0)
 
 
