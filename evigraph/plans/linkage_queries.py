@@ -64,7 +64,7 @@ def person_linkage(b):
 
 
 @query("merge_decisions", f"""with {PERSON_PAIRS},
-scored as (select p.*, least(100, name + p.birth + p.death + ids + fields + works + inst + mov) as points,
+scored as (select p.*, least(100, p.name + p.birth + p.death + p.ids + p.fields + p.works + p.inst + p.mov) as points,
     cast(c.birth <> e.birth as int) as cb, cast(c.death <> e.death as int) as cd
   from pairs p join candidates c on c.id = p.cid join people e on e.id = p.pid),
 counted as (select *, coalesce(cb, 0) + coalesce(cd, 0) as conflicts from scored where points >= 55)
@@ -88,7 +88,7 @@ pairs as (
    + case when c.title = e.title then 25 else 0 end + case when c.author = e.author then 15 else 0 end
    + case when c.date = e.date then 10 when abs(c.date - e.date) <= 2 then 4 else 0 end as points
   from works c join works e on c.k % 2 = 0 and e.k % 2 = 1 or (c.k % 2 = 0 and e.k % 3 = 0))
-select cid as candidate_profile, eid as existing_profile, points / 100.0::double as score from pairs where points >= 55""")
+select cid as candidate_profile, eid as existing_profile, least(100, points) / 100.0::double as score from pairs where points >= 55""")
 def work_linkage(b):
     key = F.col("p_partkey")
     works = b.table("part").select(
