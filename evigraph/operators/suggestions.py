@@ -55,9 +55,10 @@ def candidate_facts(candidates: DataFrame) -> DataFrame:
 
 def _signals(kinds: dict[str, Column]) -> Column:
     """``kind=value`` keys of the given arrays."""
-    return F.array_distinct(F.concat(*[
-        F.transform(values, lambda v, k=kind: F.concat(F.lit(f"{k}="), v))
-        for kind, values in kinds.items()]))
+    def tagged(kind, values):
+        return F.transform(values, lambda v: F.concat(F.lit(f"{kind}="), v))
+
+    return F.array_distinct(F.concat(*[tagged(k, v) for k, v in kinds.items()]))
 
 
 def _one(column: str) -> Column:

@@ -73,9 +73,10 @@ def ranked_search(b):
         "id", "relevance")
 
 
-@query("name_search", """
-select id, bridge_score + 1 + case when lower(name) = 'red widget' then 90 when starts_with(lower(name), 'red widget') then 65 else 45 end + 20 as relevance
-from people where contains(lower(name), 'red widget')""")
+@query("name_search", f"""with {FACTS}
+select id, bridge_score + 1 + case when lower(name) = 'red widget' then 90 when starts_with(lower(name), 'red widget') then 65 when contains(lower(name), 'red widget') then 45 else 0 end
+  + case when contains(lower(name), 'red') and contains(lower(name), 'widget') then 20 else 0 end as relevance
+from facts where contains(search_text, 'red') and contains(search_text, 'widget')""")
 def name_search(b):
     return ex.Explore(query="red widget", sort="name").run(b.people).select("id", "relevance")
 
