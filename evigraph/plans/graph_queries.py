@@ -84,9 +84,9 @@ def neighborhood(b):
     return tr.neighborhood(b.edges, hub(b))
 
 
-@query("neighborhood_summary", """with both as (
+@query("neighborhood_summary", """with bothways as (
   select source as id, target as o, eid from edges union select target, source, eid from edges)
-select id, count(distinct case when o <> id then o end) as neighbors, count(distinct eid) as links from both group by 1""")
+select id, count(distinct case when o <> id then o end) as neighbors, count(distinct eid) as links from bothways group by 1""")
 def neighborhood_summary(b):
     return tr.neighborhood_summary(b.edges)
 
