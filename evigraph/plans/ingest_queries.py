@@ -179,7 +179,7 @@ ents as (select id, pid, case when pid % 7 <> 0 then 'Entity ' || id else 'Q' ||
    case when pid % 4 = 0 then 'a university of note' when pid % 4 = 1 then 'an English physicist and careful writer' else '' end as description,
    case when pid % 5 <> 0 then birth when pid % 10 = 5 then -(birth % 1000) end as birth from people),
 works_n as (select person_id as id, count(*) as n from (select person_id, value, cast(regexp_extract(value, '(\\d+)$', 1) as bigint) % 9 as pos from evidence_links where kind = 'work') where pos < 6 group by 1),
-students_n as (select person_id as id, count(*) as n from (select person_id, cast(value as bigint) % 9 as pos from evidence_links where kind = 'student') where pos < 6 group by 1)"""
+students_n as (select person_id as id, count(*) as n from (select person_id, cast(regexp_extract(value, '(\\d+)$', 1) as bigint) % 9 as pos from evidence_links where kind = 'student') where pos < 6 group by 1)"""
 
 
 @query("registry_candidates", f"""with {REGISTRY}

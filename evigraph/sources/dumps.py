@@ -298,8 +298,10 @@ def batch_people(candidates: DataFrame, people: DataFrame, statements: DataFrame
     plain = F.trim(F.regexp_replace("description", r"\([^)]*\)", ""))
     works = F.filter("works", lambda w: ~w.rlike(r"^Q\d+$"))
     text = F.concat_ws(" ", "description", "occupations", "fields_of_work")
-    human = F.exists("instance_of", lambda v: v.isin("Q5", "human"))
-    df = pool.filter((F.col("birth").isNotNull()) & human & (F.col("name") != F.col("id"))
+    # Property and value that mark a human.
+    humans = statements.filter("property = 'P31' and value_id = 'Q5'").select("id")
+    pool = pool.join(humans, "id", "left_semi")
+    df = pool.filter((F.col("birth").isNotNull()) & (F.col("name") != F.col("id"))
                      & (F.size(F.split(plain, r"\s+")) >= 5)).withColumn("works", works).filter(
         F.size("works") > 0)
     if stem_only:
