@@ -28,10 +28,12 @@ def composed_confidence(components: dict[str, Column]) -> Column:
     return F.floor((total + 5000) / F.lit(10000)) / F.lit(1000.0)
 
 
-def _flags(weights: dict[str, int]) -> Column:
+def _flags(modifiers: dict[str, str], weights: dict[str, int]) -> Column:
+    """Sum of the modifiers' thousandths whose flag column is set."""
     total = F.lit(0)
-    for name, weight in weights.items():
-        total = total + F.when(F.coalesce(F.col(name), F.lit(False)), weight).otherwise(0)
+    for modifier, column in modifiers.items():
+        total = total + F.when(F.coalesce(F.col(column), F.lit(False)),
+                               weights[modifier] * 10).otherwise(0)
     return total
 
 
@@ -46,11 +48,11 @@ def thresholds(claim_type: Column, strict: dict[str, str] | None = None,
         for x in (F.lit(kind), F.struct(F.lit(accept).alias("a"), F.lit(provisional).alias("p")))])
     accept, provisional = table[claim_type]["a"] * 10, table[claim_type]["p"] * 10
     if strict:
-        up = _flags({column: vocab.STRICT_HUNDREDTHS[m] * 10 for m, column in strict.items()})
+        up = _flags(strict, vocab.STRICT_HUNDREDTHS)
         accept = F.least(F.lit(990), accept + up)
         provisional = F.least(F.lit(950), provisional + (up / 2).cast("int"))
     if loose:
-        down = _flags({column: vocab.LOOSE_HUNDREDTHS[m] * 10 for m, column in loose.items()})
+        down = _flags(loose, vocab.LOOSE_HUNDREDTHS)
         accept = F.greatest(F.lit(500), accept - down)
         provisional = F.greatest(F.lit(350), provisional - (down / 2).cast("int"))
     return accept / F.lit(1000.0), provisional / F.lit(1000.0)

@@ -6,8 +6,6 @@ cross product. Person-to-person suggestions answer for the people the caller sel
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,16 +39,17 @@ def candidate_facts(candidates: DataFrame) -> DataFrame:
     text = F.concat_ws(" ", "description", "movement", _list(candidates, "works"),
                        _list(candidates, "topics"), *claims)
     raw = candidates.select(
-        "id", F.col("birth").alias("c_birth"), F.col("death").alias("c_death"),
-        F.col("movement").alias("c_movement"), F.col("era").alias("c_era"),
-        F.col("region").alias("c_region"),
+        F.col("id").alias("candidate_id"), F.col("ord").alias("c_ord"),
+        F.col("birth").alias("c_birth"),
+        F.col("death").alias("c_death"), F.col("movement").alias("c_movement"),
+        F.col("era").alias("c_era"), F.col("region").alias("c_region"),
         tx.key_set(_list(candidates, "works"), tx.name_key).alias("c_works"),
         tx.evidence_tokens(text).alias("c_tokens"),
         *[tx.key_set(_list(candidates, c), tx.name_key).alias(f"c_{c}") for c in NAME_CLAIMS])
     draft = drafts(candidates).withColumn("lens", tax.person_lens_tags()).select(
-        "id", F.col("fields").alias("c_fields"), F.col("subfields").alias("c_topics"),
-        F.col("lens").alias("c_lens"))
-    return raw.join(draft, "id").withColumnRenamed("id", "candidate_id")
+        F.col("id").alias("candidate_id"), F.array_distinct("fields").alias("c_fields"),
+        F.array_distinct("subfields").alias("c_topics"), F.col("lens").alias("c_lens"))
+    return raw.join(draft, "candidate_id")
 
 
 def _signals(kinds: dict[str, Column]) -> Column:
@@ -65,93 +64,102 @@ def _one(column: str) -> Column:
     return F.array_compact(F.array(F.nullif(F.col(column), F.lit(""))))
 
 
-def candidate_pairs(facts: DataFrame, people: DataFrame, keep: int = 5) -> DataFrame:
-    """Candidate-person pairs sharing any positive signal, with both sides' columns.
+# Signal -> points in halves; tokens count at most three times.
+SIGNAL_POINTS = {"f": 8, "t": 6, "l": 4, "m": 8, "e": 4, "r": 3, "k": 10, "n": 16, "w": 3}
+MAX_TOKENS = 3
+
+
+def _keyed(entries: dict[str, tuple[str, Column]]) -> Column:
+    """Array of (key, points, kind flags) structs from name -> (signal, values)."""
+    def rows(name, signal, values):
+        flags = FLAGS.get(name, FLAGS.get(signal, 0))
+        return F.transform(values, lambda v: F.struct(
+            F.concat(F.lit(f"{signal}="), v).alias("k"),
+            F.lit(0 if signal == "w" else SIGNAL_POINTS[signal]).alias("points"),
+            F.lit(1 if signal == "w" else 0).alias("token"), F.lit(flags).alias("flags")))
+
+    return F.concat(*[rows(n, s, v) for n, (s, v) in entries.items()])
+
+
+# Bits of what a pair shares: one per name claim, then works and context.
+FLAGS = {claim: 1 << n for n, claim in enumerate(NAME_CLAIMS)}
+FLAGS.update({"k": 1 << 6, "f": 1 << 7, "t": 1 << 7, "l": 1 << 7})
+CLAIM_BITS = (1 << 6) - 1
+
 
-    Of people alike in everything that is scored but their name and works, only the
-    first ``keep`` can be among a candidate's best ``keep`` without a name or work hit.
+def candidate_scores(facts: DataFrame, people: DataFrame, keep: int) -> DataFrame:
+    """Score of every candidate-person pair that shares a signal, keyed by ``ord``.
+
+    Matched signals add their points in one aggregation over numbers, so no pair carries
+    text or arrays. Of people alike in everything scored but name and works, only the
+    first ``keep`` can be among a candidate's best ``keep`` without a name or work hit;
+    the rest are left out.
     """
     alike = ["fields", "subfields", "lens", "tokens", "movement", "era", "region", "birth",
              "death"]
-    ready = with_lens(people).withColumn("work_keys", tx.key_set(F.col("works"), tx.name_key))
+    ready = with_lens(people).withColumn("work_keys", F.filter(F.transform(
+        listed("works"), tx.name_key), lambda k: k != ""))
     ranked = ready.withColumn("_rn", F.row_number().over(
         Window.partitionBy(*alike).orderBy("ord")))
-    leaders = ranked.filter(F.col("_rn") <= keep).drop("_rn")
-    coarse = _signals({"f": F.col("c_fields"), "t": F.col("c_topics"), "l": F.col("c_lens"),
-                       "w": F.col("c_tokens"), "m": _one("c_movement"), "e": _one("c_era"),
-                       "r": _one("c_region")})
-    theirs = _signals({"f": F.col("fields"), "t": listed("subfields"), "l": F.col("lens"),
-                       "w": F.col("tokens"), "m": _one("movement"), "e": _one("era"),
-                       "r": _one("region")})
-    names = F.flatten(F.array(*[F.col(f"c_{c}") for c in NAME_CLAIMS]))
-    fine = _signals({"n": names, "k": F.col("c_works")})
-    fine_theirs = _signals({"n": F.array(tx.name_key(F.col("name"))), "k": F.col("work_keys")})
-
-    def met(left, right, rows):
-        return facts.select("candidate_id", F.explode(left).alias("k")).join(
-            rows.select(F.col("id").alias("person_id"), F.explode(right).alias("k")), "k"
-        ).select("candidate_id", "person_id")
-
-    pairs = met(coarse, theirs, leaders).unionByName(met(fine, fine_theirs, ready)).distinct()
-    return pairs.join(facts, "candidate_id").join(
-        ready.withColumnRenamed("id", "person_id"), "person_id")
-
-
-def _shared(array: str, other: str) -> Column:
-    """How many entries of the person's array the candidate has, counting repeats."""
-    return F.size(F.filter(listed(array), lambda v: F.array_contains(F.col(other), v)))
-
-
-def score_pairs(pairs: DataFrame) -> DataFrame:
-    """Score (doubled into halves to stay exact), band, category and reasons per pair."""
+    leaders = ranked.filter(F.col("_rn") <= keep).select("ord")
+    given = {"fields": ("f", F.col("c_fields")), "topics": ("t", F.col("c_topics")),
+             "lens": ("l", F.col("c_lens")), "tokens": ("w", F.col("c_tokens")),
+             "works": ("k", F.col("c_works")), "movement": ("m", _one("c_movement")),
+             "era": ("e", _one("c_era")), "region": ("r", _one("c_region"))}
+    given.update({c: ("n", F.col(f"c_{c}")) for c in NAME_CLAIMS})
+    offered = facts.select("c_ord", "c_birth", "c_death",
+                           F.explode(_keyed(given)).alias("x")).select(
+        "c_ord", "c_birth", "c_death", "x.*")
+    fine = {"name": ("n", F.array(tx.name_key(F.col("name")))), "works": ("k", F.col("work_keys"))}
+    coarse = {"fields": ("f", F.col("fields")), "topics": ("t", listed("subfields")),
+              "lens": ("l", F.col("lens")), "tokens": ("w", F.col("tokens")),
+              "movement": ("m", _one("movement")), "era": ("e", _one("era")),
+              "region": ("r", _one("region"))}
+    rare = ready.select("ord", F.explode(_keyed(fine)).alias("x")).select("ord", "x.k").join(
+        offered.filter(F.substring("k", 1, 2).isin("n=", "k=")).select("k"), "k", "left_semi")
+    pool = leaders.unionByName(rare.select("ord")).distinct()
+    held = ready.join(pool, "ord", "left_semi").select(
+        F.col("ord").alias("p_ord"), "birth", "death",
+        F.explode(_keyed({**fine, **coarse})).alias("x")).select(
+        "p_ord", "birth", "death", "x.k")
+    return offered.join(held, "k").groupBy("c_ord", "p_ord").agg(
+        F.sum("points").alias("halves"), F.sum("token").alias("n_tokens"),
+        F.bit_or("flags").alias("flags"),
+        *[F.max(c).alias(c) for c in ["c_birth", "c_death", "birth", "death"]])
+
+
+def rate(scores: DataFrame) -> DataFrame:
+    """Final score of each pair, and the years between the two lives."""
     known = F.col("c_birth").isNotNull()
     gap = F.least(F.abs(F.col("birth") - F.coalesce("c_death", "c_birth")),
                   F.abs(F.col("c_birth") - F.coalesce("death", "birth")))
     gap = F.when(known, gap).otherwise(300)
     time = (F.when(~known, 0).when(gap <= 60, 3).when(gap <= 150, 2).when(gap <= 300, 1)
             .otherwise(-2))
-    same = lambda c: F.coalesce((F.col(f"c_{c}") == F.col(c)) & (F.col(c) != ""),
-                                F.lit(False))
-    named = {c: F.array_contains(F.col(f"c_{c}"), tx.name_key(F.col("name")))
-             for c in NAME_CLAIMS}
-    works = F.size(F.filter(listed("works"), lambda w: F.array_contains(
-        F.col("c_works"), tx.name_key(w))))
-    tokens = F.slice(F.array_intersect("c_tokens", "tokens"), 1, 4)
-    claims = reduce(lambda a, b: a + b, [h.cast("int") for h in named.values()])
-    halves = (8 * _shared("fields", "c_fields") + 6 * _shared("subfields", "c_topics")
-              + 4 * _shared("lens", "c_lens") + 16 * claims
-              + F.when(same("movement"), 8).otherwise(0) + F.when(same("era"), 4).otherwise(0)
-              + F.when(same("region"), 3).otherwise(0) + 10 * works
-              + 3 * F.least(F.size(tokens), F.lit(3)) + 2 * time)
-    df = pairs.withColumns({"gap": gap, "shared_tokens": tokens, "shared_works": works,
-                            "score": halves / F.lit(2.0)})
+    tokens = F.least(F.col("n_tokens"), F.lit(MAX_TOKENS)) * SIGNAL_POINTS["w"]
+    return scores.select("c_ord", "p_ord", "flags", gap.alias("gap"), (
+        (F.col("halves") + tokens + 2 * time) / F.lit(2.0)).alias("score"))
+
+
+def banded(rated: DataFrame) -> DataFrame:
+    """Confidence band, category and explanation of rated pairs."""
+    has = lambda bits: F.col("flags").bitwiseAND(bits) > 0
+    claimed = lambda *cs: has(sum(FLAGS[c] for c in cs))
     strength = F.when(F.col("score") >= 12, "strong").when(F.col("score") >= 7, "medium"
                                                           ).otherwise("weak")
-    shares = (_shared("fields", "c_fields") + _shared("subfields", "c_topics")
-              + _shared("lens", "c_lens")) > 0
-    category = (F.when(named["advisors"] | named["students"], "direct mentorship")
-                .when(named["influenced_by"], "likely influence")
-                .when((F.col("shared_works") > 0) | named["employers"] | named["educated_at"]
-                      | named["member_of"], "collaboration")
+    category = (F.when(claimed("advisors", "students"), "direct mentorship")
+                .when(claimed("influenced_by"), "likely influence")
+                .when(has(FLAGS["k"]) | claimed("employers", "educated_at", "member_of"),
+                      "collaboration")
                 .when(strength == "weak", "needs review")
-                .when((F.col("gap") <= 40) & shares, "parallel development")
+                .when((F.col("gap") <= 40) & has(FLAGS["f"]), "parallel development")
                 .otherwise("source-context neighbor"))
-    why = F.concat(
-        reasons(*[(h, NAME_CLAIMS[c]) for c, h in named.items()]),
-        F.transform(F.slice(F.filter(F.col("fields"), lambda v: F.array_contains(
-            F.col("c_fields"), v)), 1, 2), lambda v: F.concat(F.lit("field: "), v)),
-        F.transform(F.slice(F.filter(listed("subfields"), lambda v: F.array_contains(
-            F.col("c_topics"), v)), 1, 2), lambda v: F.concat(F.lit("topic: "), v)),
-        F.transform(F.slice(F.array_intersect("lens", "c_lens"), 1, 2),
-                    lambda v: F.concat(F.lit("lens: "), tax.lens_label(v))),
-        F.transform(F.slice("shared_tokens", 1, 2),
-                    lambda v: F.concat(F.lit("source term: "), v)))
-    explanation = (F.when(claims > 0, "direct Wikidata claim")
+    explanation = (F.when(has(CLAIM_BITS), "direct Wikidata claim")
                    .when(strength == "strong", "multiple matching signals")
                    .when(strength == "medium", "shared context signals")
                    .otherwise("thin evidence"))
-    return df.withColumns({"confidence": strength, "explanation": explanation,
-                           "category": category, "why": why})
+    return rated.withColumns({"confidence": strength, "explanation": explanation,
+                              "category": category})
 
 
 def candidate_suggestions(candidates: DataFrame, people: DataFrame,
@@ -159,19 +167,56 @@ def candidate_suggestions(candidates: DataFrame, people: DataFrame,
                           limit: int = 5) -> DataFrame:
     """Best ``limit`` people per candidate at or above the cutoff."""
     facts = candidate_facts(candidates)
-    if rejected is None:
-        scored = score_pairs(candidate_pairs(facts, people, limit))
-    else:
-        # Rejections differ per candidate, so no person may be skipped beforehand.
-        scored = score_pairs(candidate_pairs(facts, people, 2147483646)).join(
-            rejected.select("candidate_id", "person_id"), ["candidate_id", "person_id"],
-            "left_anti")
-    best = Window.partitionBy("candidate_id").orderBy(F.desc("score"), "ord")
-    return (scored.filter(F.col("score") >= cutoff)
-            .select("candidate_id", "person_id", "ord", "score", "confidence", "explanation",
-                    "category", F.array_join("why", "; ").alias("why"))
-            .withColumn("position", F.row_number().over(best))
-            .filter(F.col("position") <= limit))
+    mine = candidates.select(F.col("ord").alias("c_ord"), F.col("id").alias("candidate_id"))
+    theirs = people.select(F.col("ord").alias("p_ord"), F.col("id").alias("person_id"))
+    # Rejections differ per candidate, so with them no person may be skipped beforehand.
+    keep = limit if rejected is None else 2147483646
+    rated = rate(candidate_scores(facts, people, keep)).filter(F.col("score") >= cutoff)
+    if rejected is not None:
+        refused = rejected.join(mine, "candidate_id").join(theirs, "person_id")
+        rated = rated.join(refused.select("c_ord", "p_ord"), ["c_ord", "p_ord"], "left_anti")
+    best = Window.partitionBy("c_ord").orderBy(F.desc("score"), "p_ord")
+    top = rated.withColumn("position", F.row_number().over(best)).filter(
+        F.col("position") <= limit)
+    return banded(top).join(mine, "c_ord").join(theirs, "p_ord").select(
+        "candidate_id", "person_id", "position", "score", "confidence", "explanation",
+        "category", "gap", "flags")
+
+
+def with_reasons(suggestions: DataFrame, candidates: DataFrame, people: DataFrame) -> DataFrame:
+    """Readable reasons of chosen suggestions, looked up for those pairs only."""
+    facts = candidate_facts(candidates)
+    mine = with_lens(people).withColumnRenamed("id", "person_id")
+    df = suggestions.join(facts, "candidate_id").join(mine, "person_id")
+    hit = lambda values, given: F.filter(values, lambda v: F.array_contains(given, v))
+
+    def tagged(tag, values, count, label=lambda v: v):
+        return F.transform(F.slice(values, 1, count),
+                           lambda v: F.concat(F.lit(f"{tag}: "), label(v)))
+
+    claim_bits = reasons(*[(F.col("flags").bitwiseAND(1 << n) > 0, why)
+                           for n, why in enumerate(NAME_CLAIMS.values())])
+    works = F.filter(listed("works"), lambda w: F.array_contains(F.col("c_works"),
+                                                                tx.name_key(w)))
+    same = lambda c: F.coalesce((F.col(f"c_{c}") == F.col(c)) & (F.col(c) != ""),
+                                F.lit(False))
+    timely = F.when(F.col("birth") <= F.col("c_birth"), "candidate may inherit from this node"
+                    ).otherwise("candidate may precede this node")
+    tail = F.array_compact(F.array(
+        *[F.when(same(c), F.concat(F.lit(f"{c}: "), c)) for c in ["movement", "era", "region"]],
+        F.when(F.col("c_birth").isNotNull() & (F.col("gap") <= 300),
+               F.concat(F.lit("chronology: "), timely))))
+    return df.select(*suggestions.columns, F.concat(
+        claim_bits, tagged("field", hit(F.col("fields"), F.col("c_fields")), 2),
+        tagged("topic", hit(listed("subfields"), F.col("c_topics")), 2),
+        tagged("lens", F.array_intersect("lens", "c_lens"), 2, tax.lens_label),
+        tagged("work", works, 1), tagged("source term", F.array_intersect(
+            "c_tokens", "tokens"), 2), tail).alias("reasons"))
+
+
+def _shared(array: str, other: str) -> Column:
+    """How many entries of the person's array the other list has, counting repeats."""
+    return F.size(F.filter(listed(array), lambda v: F.array_contains(F.col(other), v)))
 
 
 def link_suggestions(people: DataFrame, focus: DataFrame, edges: DataFrame,

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from evigraph.functions import taxonomy as tax
 from evigraph.functions import text as tx
@@ -155,19 +154,16 @@ def write_people_csv(people: DataFrame, path: str) -> None:
         header=True, escape='"', emptyValue="").csv(path)
 
 
-THREAD = T.StructType.fromDDL(
-    "id string, title string, field string, purpose string, people array<string>, "
-    "concepts array<string>, keyWorks array<string>, edgeTypes array<string>, "
-    "confidence string, sourceStatus string")
+THREADS = ("schemaVersion int, threads array<struct<id:string,title:string,field:string,"
+           "purpose:string,people:array<string>,concepts:array<string>,keyWorks:array<string>,"
+           "edgeTypes:array<string>,confidence:string,sourceStatus:string>>")
 
 
 def read_threads(spark: SparkSession, path: str, bundled: DataFrame) -> DataFrame:
     """Bundled threads plus the valid ones of a thread bundle."""
     from evigraph.operators.threads import merge_imported, valid_bundle_threads
 
-    schema = T.StructType([T.StructField("schemaVersion", T.IntegerType()),
-                           T.StructField("threads", T.ArrayType(THREAD))])
-    raw = spark.read.schema(schema).option("multiLine", True).json(path)
+    raw = spark.read.schema(THREADS).option("multiLine", True).json(path)
     rows = raw.select(F.posexplode("threads").alias("ord", "x")).select(
         F.col("ord").cast("long"), "x.*").withColumnsRenamed({
             "keyWorks": "key_works", "edgeTypes": "edge_types", "sourceStatus": "source_status"})
