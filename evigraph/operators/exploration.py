@@ -344,18 +344,21 @@ def edge_counts(people: DataFrame, edges: DataFrame) -> DataFrame:
         F.coalesce("sourced_edges", zero).alias("sourced_edges"))
 
 
-def context_index(people: DataFrame, edges: DataFrame, matches: DataFrame, focus: str,
+def context_index(people: DataFrame, edges: DataFrame, matches: DataFrame, focus: DataFrame,
                   likely: DataFrame, reviewed: DataFrame) -> DataFrame:
-    """(lane, id) rows of the context index around one selected person.
+    """(lane, id) rows of the context index around one selected person ``focus(id)``.
 
     ``matches`` is the current result; ``likely`` and ``reviewed`` list ids.
     """
     from evigraph.operators.graph_quality import source_gap_people
+    from evigraph.operators.traversal import neighborhood
 
-    others = matches.filter(F.col("id") != focus)
-    near = neighbors(edges, focus).distinct().join(people.select("id"), "id", "left_semi")
+    chosen = focus.select("id")
+    others = matches.join(chosen, "id", "left_anti")
+    near = neighborhood(edges, chosen).select("id").distinct().join(
+        chosen, "id", "left_anti").join(people.select("id"), "id", "left_semi")
     lanes = {
-        "Selected": people.filter(F.col("id") == focus).select("id"),
+        "Selected": people.join(chosen, "id", "left_semi").select("id"),
         "Connected": near,
         "Likely Links": likely.select("id"),
         "Recently Added": others.orderBy(F.desc("ord")).limit(12).select("id"),
@@ -370,3 +373,26 @@ def context_index(people: DataFrame, edges: DataFrame, matches: DataFrame, focus
     }
     return reduce(DataFrame.unionByName, [
         df.select(F.lit(name).alias("lane"), "id") for name, df in lanes.items()])
+
+
+def lane_heights(people: DataFrame, lane: Column, gap: int = 20,
+                 as_of_year: int = 2024) -> DataFrame:
+    """Rows each lifespan lane needs, and the first row of the lane.
+
+    Placing lifespans in birth order on the first free row uses exactly as many rows as
+    padded lifespans overlap at most. That maximum is read off a per-year tally, so a
+    lane holding most people costs no more than its years.
+    """
+    spans = people.select(lane.alias("lane"), (F.col("birth") - gap).alias("start"), (
+        F.coalesce("death", F.lit(as_of_year)) + gap).alias("end"))
+    marks = spans.select("lane", F.explode(F.array(
+        F.struct(F.col("start").alias("year"), F.lit(1).alias("change")),
+        F.struct(F.col("end").alias("year"), F.lit(-1).alias("change")))).alias("m")).groupBy(
+        "lane", F.col("m.year").alias("year")).agg(F.sum("m.change").alias("change"))
+    running = Window.partitionBy("lane").orderBy("year")
+    heights = marks.withColumn("open", F.sum("change").over(running)).groupBy("lane").agg(
+        F.max("open").alias("rows"))
+    # Lanes are fields or domains: a handful of rows.
+    before = heights.select(F.col("lane").alias("other"), F.col("rows").alias("n"))
+    return heights.join(before, F.col("other") < F.col("lane"), "left").groupBy(
+        "lane", "rows").agg(F.coalesce(F.sum(F.col("n") + 1), F.lit(0)).alias("first_row"))

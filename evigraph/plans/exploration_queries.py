@@ -405,3 +405,34 @@ def automation_counters(b):
     found = gq.audit(b.people, b.edges, b.claims, b.now).filter(F.col("code").isin(codes))
     return gaps.unionByName(found.agg(F.count(F.lit(1)).alias("value")).select(
         F.lit("conflicts").alias("counter"), "value"))
+
+
+@query("lane_heights", f"""with spans as (select {_domain('field1')} as lane, birth - 20 as s, coalesce(death, 2024) + 20 as e from people),
+starts as (select distinct lane, s as t from spans),
+heights as (select lane, max(n) as rows from (select k.lane, k.t, count(*) as n from starts k join spans x on x.lane = k.lane and x.s <= k.t and k.t < x.e group by 1, 2) group by 1)
+select lane, rows, (select coalesce(sum(o.rows + 1), 0)::bigint from heights o where o.lane < h.lane) as first_row from heights h""")
+def lane_heights(b):
+    return ex.lane_heights(b.people_core, ex.group_keys()["domain"])
+
+
+@query("context_index", f"""with {REVIEW},
+matches as (select * from people where era = '19th Century'),
+hub as {HUB},
+near as (select distinct case when source = (select id from hub) then target else source end as id from edges where source = (select id from hub) or target = (select id from hub)),
+near_known as (select id from near where id in (select id from people) and id <> (select id from hub)),
+likely as (select id from people where bridge_score = 5 and birth between 1850 and 1855),
+others as (select * from matches where id <> (select id from hub)),
+added as (select id from others order by pid desc limit 12),
+orphans as (select p.id from people p where p.id not in (select id from ends) order by pid limit 20),
+bridges as (select id from others where bridge_score >= 4 order by bridge_score desc, birth, pid limit 12),
+gaps as (select id from statuses where gap_edges > 0 order by pid limit 12),
+current as (select id from others where id not in (select id from near_known) and id not in (select id from likely) order by birth, pid limit 30)
+select 'Selected' as lane, id from hub union all select 'Connected', id from near_known union all select 'Likely Links', id from likely
+union all select 'Recently Added', id from added union all select 'Recently Reviewed', id from matches where pid % 9 = 0
+union all select 'Orphans', id from orphans union all select 'High Bridge Score', id from bridges union all select 'Needs Source', id from gaps union all select 'Current Matches', id from current""")
+def context_index(b):
+    people = b.people_core
+    matches = ex.Explore(eras=["19th Century"]).run(people)
+    likely = people.filter("bridge_score = 5 and birth between 1850 and 1855").select("id")
+    return ex.context_index(people, b.edges, matches, hub(b), likely,
+                            people.filter("ord % 9 = 0").select("id"))
