@@ -476,15 +476,23 @@ def roster_match(roster: DataFrame, registry: DataFrame) -> DataFrame:
         "id", F.col("best.hit.id").alias("registry_id"), F.col("best.rank").alias("rank"))
 
 
+def award_rows(records: DataFrame) -> DataFrame:
+    """(registry_id, year, category, url) of every award occurrence."""
+    return records.select("registry_id", F.explode("awards").alias("a")).select(
+        "registry_id", F.col("a.year"), F.col("a.category"), F.col("a.url"))
+
+
 def merge_awards(records: DataFrame) -> DataFrame:
-    """One record per registry id; awards by year and category, first source per url.
+    """One record per registry id: first name, award count and range, fields, sources.
 
-    ``records(registry_id, ord, name, birth, awards, fields, provenance)`` hold arrays.
+    ``records(registry_id, ord, name, birth, awards, fields, provenance)`` hold arrays;
+    the awards themselves stay rows (``award_rows``), the fields are a small vocabulary.
     """
     head = records.groupBy("registry_id").agg(F.min_by(F.struct("name", "birth"), "ord").alias("h"))
-    awards = records.select("registry_id", F.explode("awards").alias("a")).groupBy(
-        "registry_id").agg(F.array_sort(F.collect_list(F.struct(
-            F.col("a.year"), F.col("a.category"), F.col("a.url")))).alias("awards"))
+    place = F.struct("year", "category")
+    awards = award_rows(records).groupBy("registry_id").agg(
+        F.count(F.lit(1)).alias("awards"), F.min(place).alias("first_award"),
+        F.max(place).alias("last_award"))
     fields = records.select("registry_id", F.explode("fields").alias("f")).groupBy(
         "registry_id").agg(F.array_sort(F.collect_set("f")).alias("fields"))
     sources = first_per(records.select("registry_id", "ord", F.explode("provenance").alias("p"))
@@ -492,7 +500,8 @@ def merge_awards(records: DataFrame) -> DataFrame:
     counted = sources.groupBy("registry_id").agg(F.count(F.lit(1)).alias("sources"))
     return (head.join(awards, "registry_id", "left").join(fields, "registry_id", "left")
             .join(counted, "registry_id", "left")
-            .select("registry_id", "h.name", "h.birth", "awards", "fields", "sources"))
+            .select("registry_id", "h.name", "h.birth", F.coalesce("awards", F.lit(0))
+                    .alias("awards"), "first_award", "last_award", "fields", "sources"))
 
 
 def award_report(records: DataFrame, merged: DataFrame, matches: DataFrame) -> DataFrame:
@@ -502,7 +511,7 @@ def award_report(records: DataFrame, merged: DataFrame, matches: DataFrame) -> D
     people = merged.join(matches, F.col("registry_id") == F.col("id"), "left").agg(
         one.alias("unique_people"), F.count("person_id").alias("existing_matches"),
         F.count_if(F.col("person_id").isNull()).alias("new_people"),
-        F.count_if(F.size("awards") > 1).alias("repeat_laureates"))
+        F.count_if(F.col("awards") > 1).alias("repeat_laureates"))
     rows = people.unpivot([], people.columns, "metric", "value")
     return occurrences.select(F.lit("award_occurrences").alias("metric"), "value").unionByName(rows)
 

@@ -29,7 +29,8 @@ def levels(edges: DataFrame, start: DataFrame, max_depth: int,
     links = edges.select("source", "target").distinct()
     if within is not None:
         links = links.join(within.select(F.col("id").alias("target")), "target", "left_semi")
-    frontier = start.select("id").distinct()
+    links = cut_lineage(links)  # read by every round
+    frontier = cut_lineage(start.select("id").distinct())
     seen = frontier.withColumn("depth", F.lit(0))
     for depth in range(1, max_depth + 1):
         step = (links.join(frontier.withColumnRenamed("id", "source"), "source", "left_semi")
@@ -66,6 +67,7 @@ def shortest_path(edges: DataFrame, people: DataFrame, source: DataFrame, target
     goal = target.select("id").join(known, "id", "left_semi")
     links = edges.groupBy("source", "target").agg(F.min("ord").alias("ord")).join(
         known.withColumnRenamed("id", "source"), "source", "left_semi")
+    links = cut_lineage(links)  # read by every round
     frontier = source.select("id").join(known, "id", "left_semi").select(
         "id", F.array().cast("array<bigint>").alias("orders"), F.array("id").alias("path"))
     frontier = cut_lineage(frontier)

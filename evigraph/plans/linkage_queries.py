@@ -240,16 +240,21 @@ def _awards(b):
 
 
 @query("award_merge", """with a as (select 'Q' || cast(user_id as varchar) as registry_id, event_id, event_type, 1950 + event_id % 40 as year from events)
-select registry_id, min_by('Laureate ' || cast(event_id as varchar), event_id) as name,
-  string_agg(cast(year as varchar) || event_type, '|' order by year, event_type) as awards,
+select registry_id, min_by('Laureate ' || cast(event_id as varchar), event_id) as name, count(*) as awards,
+  min(cast(year as varchar) || event_type) as first_award, max(cast(year as varchar) || event_type) as last_award,
   array_to_string(list_sort(list(distinct 'f' || cast(event_id % 3 as varchar))), '|') as fields, count(distinct event_id % 4) as sources
 from a group by 1""")
 def award_merge(b):
-    merged = ln.merge_awards(_awards(b))
-    text = F.array_join(F.transform("awards", lambda a: F.concat(
-        a["year"].cast("string"), a["category"])), "|")
-    return merged.select("registry_id", "name", text.alias("awards"),
-                         F.array_join("fields", "|").alias("fields"), "sources")
+    text = lambda c: F.concat(F.col(f"{c}.year").cast("string"), F.col(f"{c}.category"))
+    return ln.merge_awards(_awards(b)).select(
+        "registry_id", "name", "awards", text("first_award").alias("first_award"),
+        text("last_award").alias("last_award"), F.array_join("fields", "|").alias("fields"),
+        "sources")
+
+
+@query("award_rows", "select 'Q' || cast(user_id as varchar) as registry_id, cast(1950 + event_id % 40 as int) as year, event_type as category from events")
+def award_rows(b):
+    return ln.award_rows(_awards(b)).select("registry_id", "year", "category")
 
 
 @query("award_report", """with m as (select user_id, min(event_id) as e, count(*) as n from events group by 1),

@@ -25,14 +25,18 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8) -> SparkSession
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the reliable checkpoint folder and drop its lineage.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``; only a
-    session without one (a local test) gets a temporary folder.
+    The folder is the one the session names in ``spark.checkpoint.dir``. Only a local
+    session without one (a test) gets a temporary folder; a cluster must name a shared
+    folder that outlives its executors.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        configured = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get(
-            "spark.checkpoint.dir"
-        )
-        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="evigraph-ckpt-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get(
+            "spark.checkpoint.dir")
+        if folder is None:
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a shared folder")
+            folder = tempfile.mkdtemp(prefix="evigraph-ckpt-")
+        context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
