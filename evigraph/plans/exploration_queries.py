@@ -397,7 +397,7 @@ def decision_feed(b):
 @query("automation_counters", f"""with {REVIEW}
 select 'held' as counter, count(*) as value from edge_flags where coalesce(status = 'needs_source', false) or coalesce(conf100, 100) < 50 or not has_evidence
 union all select 'conflicts', (select count(*) from people where death < birth) + (select count(*) from edges where source not in (select id from people) or target not in (select id from people))
-  + (select coalesce(sum(n), 0) from (select count(*) as n from people group by trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g')) having count(*) > 1))""")
+  + (select cast(coalesce(sum(n), 0) as bigint) from (select count(*) as n from people group by trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g')) having count(*) > 1))""")
 def automation_counters(b):
     gaps = b.edges.filter(gq.is_source_gap()).agg(F.count(F.lit(1)).alias("value")).select(
         F.lit("held").alias("counter"), "value")
