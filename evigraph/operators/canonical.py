@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from evigraph.functions import text as tx
 from evigraph.functions import vocab
 from evigraph.operators import normalize as nz
-from evigraph.operators.edge_validation import listed
 
 CLAIM_FIELDS = ["source_name", "source_url", "source_type", "source_reliability",
                 "extraction_method", "subject_id", "subject_type", "field", "value",

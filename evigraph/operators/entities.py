@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from evigraph.functions import taxonomy as tax
 from evigraph.functions import text as tx
-from evigraph.functions import vocab
 from evigraph.operators.edge_validation import listed
 from evigraph.operators.normalize import endpoints_match, last_per
 
@@ -169,7 +168,7 @@ def metadata_edges(people: DataFrame, explicit: DataFrame) -> DataFrame:
                     F.array(tx.article_url(F.col("_name"))).alias("source_claims"), "ord", "pos"))
 
 
-def candidate_text(with_topics: bool = False) -> Column:
+def candidate_text() -> Column:
     return F.concat_ws(" ", "description", "movement", "works", "_fields")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evigraph.functions import vocab
-from evigraph.operators.edge_validation import reasons, recency_days, thousandths
+from evigraph.operators.edge_validation import reasons, recency_days
 
 # Component weights in hundredths.
 CONFIDENCE_WEIGHTS = {

@@ -9,10 +9,9 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evigraph.operators.edge_validation import listed
 from evigraph.session import cut_lineage
 
 

@@ -74,7 +74,7 @@ def thread_convergence_members(b):
     return th.convergence_members(b.threads)
 
 
-@query("thread_resolution", f"""with {PAIR_EDGES.replace("p.*", "p.*")},
+@query("thread_resolution", f"""with {PAIR_EDGES},
 known as (
   select thread_id, person_id, row_number() over (partition by thread_id order by step) as pos from thread_steps
   where person_id in (select id from people)),
