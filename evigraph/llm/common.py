@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Text bytes that one step of a task turns into arrays; bounds the memory of a worker.
 STEP_BYTES = 1 << 20
@@ -61,7 +62,7 @@ def ship(spark: SparkSession) -> None:
     context._evigraph_sent = True
 
 
-def mapped(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
+def mapped(df: DataFrame, fn: Callable, schema: str | StructType) -> DataFrame:
     """``df.mapInArrow`` with this package at hand in the workers."""
     ship(df.sparkSession)
     return df.mapInArrow(fn, schema)

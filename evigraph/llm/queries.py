@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evigraph.llm import packing, quality_rules, sharding, simhash
+from evigraph.llm import (
+    language_id, packing, quality_classifier, quality_rules, sharding, simhash,
+)
 from evigraph.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +20,11 @@ def tokenizer_file() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.scored(table(spark, sf_dir, "documents"),
+                                     table(spark, sf_dir, "labels"))
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"), shards=24)
 
@@ -30,12 +37,18 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file())
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.predicted(table(spark, sf_dir, "documents"))
+
+
 def op10_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.verdicts(table(spark, sf_dir, "documents"), host="source")
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_sharding, op3_simhash, op4_packing, op10_line_frequency)}
+    return {f.__name__: f for f in (
+        op1_quality, op2_sharding, op3_simhash, op4_packing, op9_language_id,
+        op10_line_frequency)}
 
 
 def oracle_sql() -> dict[str, str]:
