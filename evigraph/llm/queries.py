@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from evigraph.llm import (
     language_id, packing, quality_classifier, quality_rules, sharding, simhash,
+    suffix_dedup,
 )
 from evigraph.llm.common import table
 
@@ -37,6 +38,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file())
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(table(spark, sf_dir, "documents"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predicted(table(spark, sf_dir, "documents"))
 
@@ -47,7 +52,7 @@ def op10_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
-        op1_quality, op2_sharding, op3_simhash, op4_packing, op9_language_id,
+        op1_quality, op2_sharding, op3_simhash, op4_packing, op7_suffix_dedup, op9_language_id,
         op10_line_frequency)}
 
 
