@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from evigraph.llm import (
-    language_id, packing, quality_classifier, quality_rules, sharding, simhash,
+    chat_format, decontamination, language_id, packing, quality_classifier, quality_rules, sharding, simhash,
     suffix_dedup,
 )
 from evigraph.llm.common import table
@@ -38,10 +38,19 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file())
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"),
+                                        table(spark, sf_dir, "benchmark"))
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(table(spark, sf_dir, "documents"))
 
 
+def op8_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.rotations(table(spark, sf_dir, "conversations"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predicted(table(spark, sf_dir, "documents"))
 
@@ -52,9 +61,10 @@ def op10_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
-        op1_quality, op2_sharding, op3_simhash, op4_packing, op7_suffix_dedup, op9_language_id,
+        op1_quality, op2_sharding, op3_simhash, op4_packing, op6_decontamination,
+        op7_suffix_dedup, op8_chat_rotation, op9_language_id,
         op10_line_frequency)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_chat_rotation": chat_format.SQL}
