@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from evigraph.llm import (
-    chat_format, decontamination, language_id, packing, quality_classifier, quality_rules, sharding, simhash,
+    chat_format, decontamination, html_wrappers, language_id, packing, quality_classifier, quality_rules, sharding, simhash,
     suffix_dedup,
 )
 from evigraph.llm.common import table
@@ -38,6 +38,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file())
 
 
+def op5_html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_wrappers.main_texts(table(spark, sf_dir, "pages"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"),
                                         table(spark, sf_dir, "benchmark"))
@@ -61,7 +65,7 @@ def op10_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
-        op1_quality, op2_sharding, op3_simhash, op4_packing, op6_decontamination,
+        op1_quality, op2_sharding, op3_simhash, op4_packing, op5_html_wrappers, op6_decontamination,
         op7_suffix_dedup, op8_chat_rotation, op9_language_id,
         op10_line_frequency)}
 
