@@ -1,12 +1,53 @@
-"""From raw documents to packed training sequences, stage by stage."""
+"""From raw documents to packed training sequences, stage by stage.
+
+Every stage takes all documents its predecessor kept and drops or cuts some; the last one
+returns the pieces of the training sequences.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from evigraph.llm import (
+    decontamination, packing, quality_classifier, simhash, suffix_dedup,
+)
 from evigraph.llm.common import stored, table
+from evigraph.llm.queries import tokenizer_file
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that the classifier, fitted on ``labels``, rejects."""
+    model = quality_classifier.fit(quality_classifier.measured(docs), table(spark, sf_dir, "labels"))
+    return quality_classifier.accepted(docs, model)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return simhash.deduplicated(docs)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the passages that an earlier document holds."""
+    return suffix_dedup.without_repeats(docs)
+
+
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that hold an item of ``benchmark``."""
+    return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the packed sequences."""
+    return packing.pack(docs, tokenizer_file())
+
 
-STAGES = []
+STAGES = [
+    ("quality classifier", quality),
+    ("SimHash near-dedup", near_duplicates),
+    ("suffix-array dedup", repeated_passages),
+    ("benchmark decontamination", benchmark_leaks),
+    ("packing", sequences),
+]
 #: The stages compute what SQL cannot state; tests hold them against brute force.
 ORACLE_SQL = None
 

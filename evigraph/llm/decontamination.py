@@ -201,43 +201,47 @@ def _document_counts(docs: DataFrame, items: Items) -> dict[int, int]:
     return {r["gram"] % (1 << 64): r["n"] for r in rows}
 
 
+def _search(known: Items, batch: pa.RecordBatch, column: int,
+            min_score: float) -> Iterator[tuple[int, int, float, int, int]]:
+    """Row, item, score, first and last word of the pairs of a batch that score enough."""
+    for first, _, data, starts in text_steps(batch, column):
+        words, text = words_of(data, starts)
+        hashes, whole = grams_of(words, text, known.n)
+        at = known.met(hashes)
+        at = at[whole[at]]
+        bounds = np.searchsorted(text, np.arange(len(starts)))
+        low = np.searchsorted(known.hash, hashes[at], "left")
+        count = np.searchsorted(known.hash, hashes[at], "right") - low
+        seed = np.repeat(low, count) + np.arange(count.sum()) - np.repeat(
+            np.cumsum(count) - count, count)
+        at = np.repeat(at, count)
+        item = known.item[seed]
+        order = np.lexsort((item, text[at]))
+        at, item, seed = at[order], item[order], seed[order]
+        change = np.flatnonzero((np.diff(text[at]) != 0) | (np.diff(item) != 0)) + 1
+        for group in np.split(np.arange(len(at)), change) if len(at) else ():
+            which, doc = int(item[group[0]]), int(text[at[group[0]]])
+            target, base = known.words[which], int(bounds[doc])
+            best = (0, 0, 0)
+            for a, b in _regions(at[group] - known.place[seed[group]], len(target), base,
+                                 int(bounds[doc + 1])):
+                score, x, y = align(words[a:b], target)
+                if score > best[0]:
+                    best = (score, a + x - base, a + y - base)
+            share = best[0] / (FITS * len(target))
+            if share >= min_score:
+                yield first + doc, which, share, int(best[1]), int(best[2]) - 1
+
+
 def _aligned(docs: DataFrame, items: Items, min_score: float) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(items)
     schema = "doc_id long, item_id long, score double, first_word long, last_word long"
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
         for batch in batches:
-            ids, out = batch.column(0).to_pylist(), []
-            for first, _, data, starts in text_steps(batch, 1):
-                words, text = words_of(data, starts)
-                hashes, whole = grams_of(words, text, known.n)
-                at = known.met(hashes)
-                at = at[whole[at]]
-                bounds = np.searchsorted(text, np.arange(len(starts)))
-                low = np.searchsorted(known.hash, hashes[at], "left")
-                count = np.searchsorted(known.hash, hashes[at], "right") - low
-                seed = np.repeat(low, count) + np.arange(count.sum()) - np.repeat(
-                    np.cumsum(count) - count, count)
-                at = np.repeat(at, count)
-                item = known.item[seed]
-                order = np.lexsort((item, text[at]))
-                at, item, seed = at[order], item[order], seed[order]
-                change = np.flatnonzero((np.diff(text[at]) != 0) | (np.diff(item) != 0)) + 1
-                for group in np.split(np.arange(len(at)), change) if len(at) else ():
-                    which, doc = int(item[group[0]]), int(text[at[group[0]]])
-                    target = known.words[which]
-                    base = bounds[doc]
-                    best = (0, 0, 0)
-                    for a, b in _regions(at[group] - known.place[seed[group]], len(target),
-                                         int(base), int(bounds[doc + 1])):
-                        score, x, y = align(words[a:b], target)
-                        if score > best[0]:
-                            best = (score, a + x - base, a + y - base)
-                    share = best[0] / (FITS * len(target))
-                    if share >= min_score:
-                        out.append((ids[first + doc], known.ids[which], share,
-                                    int(best[1]), int(best[2]) - 1))
+            ids = batch.column(0).to_pylist()
+            out = [(ids[row], shared.value.ids[item], *rest)
+                   for row, item, *rest in _search(shared.value, batch, 1, min_score)]
             columns = list(zip(*out)) or [()] * 5
             types = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays(
@@ -272,3 +276,22 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_S
             F.lit(0.0).alias("score"), F.col("doc_id").cast("long").alias("first_word"),
             F.col("doc_id").cast("long").alias("last_word"))
     return found
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE,
+          gram: int = GRAM) -> DataFrame:
+    """The documents that no item aligns with; texts are filtered where they are read."""
+    at, kept = docs.columns.index("text"), docs
+    for items in _blocks(benchmark, gram):
+        items.keep_rare(_document_counts(docs, items))
+        shared = docs.sparkSession.sparkContext.broadcast(items)
+
+        def free(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                good = np.ones(batch.num_rows, bool)
+                for row, *_ in _search(shared.value, batch, at, min_score):
+                    good[row] = False
+                yield batch.filter(pa.array(good))
+
+        kept = mapped(kept, free, docs.schema)
+    return kept

@@ -376,21 +376,21 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     rows = with_rows(docs)
     lists = repeated_windows(rows, length).groupBy("row").agg(
         F.collect_list(F.struct("start", "n")).alias("windows"))
-    at = docs.columns.index("text")
+    names, at = docs.columns, docs.columns.index("text")
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for text, windows in zip(batch.column(at), batch.column(len(docs.columns))):
+            for text, windows in zip(batch.column(at), batch.column(len(names))):
                 text, windows = text.as_py(), windows.as_py()
                 if text and windows:
                     text = cut(text.encode(), windows, length)[0].decode("utf-8", "ignore")
                 texts.append(text or None)
-            columns = [batch.column(i) for i in range(len(docs.columns))]
+            columns = [batch.column(i) for i in range(len(names))]
             columns[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, docs.columns)
+            yield pa.RecordBatch.from_arrays(columns, names)
 
-    joined = rows.join(lists, "row", "left").select(*docs.columns, "windows")
+    joined = rows.join(lists, "row", "left").select(*names, "windows")
     kept = mapped(joined, clean, docs.schema).where("text is not null")
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
