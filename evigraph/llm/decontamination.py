@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from evigraph.llm.common import mapped, text_steps
 from evigraph.llm.suffixes import Hashed, mixed
 
-#: Words of a seed; of each SPREAD neighbouring n-grams of an item the rarest is a seed.
-GRAM, SPREAD = 4, 4
+#: Words of a seed; of each SPREAD neighbouring n-grams of an item the rarest is a seed, so
+#: that a copy with GRAM + SPREAD - 1 words in a row unchanged is always compared.
+GRAM, SPREAD = 3, 3
 #: Alignment: points for a word that fits, for one that does not, and for a gap.
 FITS, DIFFERS, GAP = 2, -1, -1
 #: Share of an item's best possible score from which a document counts as contaminated.

@@ -119,16 +119,17 @@ def verdicts(docs: DataFrame, host: str = "source", max_documents: int = MAX_DOC
 def without_common_lines(docs: DataFrame, host: str = "source",
                          max_documents: int = MAX_DOCUMENTS) -> DataFrame:
     """The documents with the lines that are common in their host taken out."""
-    lines = stored(line_words(docs.withColumn("h", F.coalesce(F.col(host), F.lit("\0"))), "h"))
+    rows = docs.select("doc_id", "text", F.coalesce(F.col(host), F.lit("\0")).alias("host"))
+    lines = stored(line_words(rows, "host"))
     common = lines.groupBy("host", "line").agg(F.count("*").alias("n")).where(
         F.col("n") > max_documents).drop("n")
-    cut = lines.join(common, ["host", "line"], "left_semi").groupBy("doc_id", "text_hash").agg(
-        F.collect_set("line").alias("cut"))
+    cut = lines.join(common, ["host", "line"], "left_semi").groupBy(
+        F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(
+        F.collect_set("line").alias("_cut"))
     t = F.coalesce(F.col("text"), F.lit(""))
-    keyed = docs.withColumn("text_hash", F.xxhash64(t))
-    same = keyed["doc_id"].eqNullSafe(cut["doc_id"]) & (keyed["text_hash"] == cut["text_hash"])
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(t) == F.col("_hash"))
     left = F.array_join(F.filter(F.split(t, "\n"), lambda x: ~F.array_contains(
-        F.col("cut"), F.xxhash64(F.trim(F.lower(x), F.lit(" \t\x0b\x0c\r"))))), "\n")
-    return keyed.join(cut, same, "left").select(
-        *[F.when(F.col("cut").isNull(), F.col("text")).otherwise(left).alias("text")
-          if c == "text" else keyed[c] for c in docs.columns])
+        F.col("_cut"), F.xxhash64(F.trim(F.lower(x), F.lit(" \t\x0b\x0c\r"))))), "\n")
+    return docs.join(cut, same, "left").select(
+        *[F.when(F.col("_cut").isNull(), F.col("text")).otherwise(left).alias("text")
+          if c == "text" else docs[c] for c in docs.columns])

@@ -71,11 +71,9 @@ def assign(docs: DataFrame, shards: int = 24, rows_per_block: int = 50_000) -> D
 def write_shards(docs: DataFrame, path: str, shards: int = 24) -> None:
     """The documents as one folder per shard. Rows of one id lie in one shard or, at a cut,
     in neighbours; the checksum tells them apart."""
-    places = assign(docs, shards).select("doc_id", "text_crc32", "shard").distinct()
-    places = places.groupBy("doc_id", "text_crc32").agg(F.min("shard").alias("shard"))
+    places = assign(docs, shards).groupBy(F.col("doc_id").alias("_id"), F.col("text_crc32").alias(
+        "_crc")).agg(F.min("shard").alias("_shard"))
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    keyed = docs.withColumn("text_crc32", F.crc32(raw))
-    same = keyed["doc_id"].eqNullSafe(places["doc_id"]) & (
-        keyed["text_crc32"] == places["text_crc32"])
-    (keyed.join(places, same).select(*[keyed[c] for c in docs.columns], places["shard"])
-     .write.partitionBy("shard").mode("overwrite").parquet(path))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.crc32(raw) == F.col("_crc"))
+    (docs.join(places, same).drop("_id", "_crc").write.partitionBy("_shard")
+     .mode("overwrite").parquet(path))

@@ -40,7 +40,7 @@ def fingerprint(text: bytes, width: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed number, of every row."""
+    """doc_id, a hash of the text and fp, the fingerprint as a signed number, of every row."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -50,10 +50,11 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
                 for i in range(first, last):
                     out[i] = fingerprint(raw[starts[i - first]:starts[i - first + 1]], width)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(out.view(np.int64))], ["doc_id", "fp"])
+                [batch.column(0), batch.column(2), pa.array(out.view(np.int64))],
+                ["doc_id", "text_hash", "fp"])
 
-    return mapped(docs.select(F.col("doc_id").cast("long"), "text"), hashed,
-                  "doc_id long, fp long")
+    return mapped(docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text")), hashed,
+                  "doc_id long, text_hash long, fp long")
 
 
 def bands(count: int = BANDS, bits: int = 64) -> list[int]:
@@ -175,6 +176,17 @@ def links(fps: DataFrame, radius: int = RADIUS, count: int = BANDS,
     return mapped(placed, search, "a long, b long").distinct()
 
 
+def _classes(docs: DataFrame, width: int, radius: int) -> tuple[DataFrame, DataFrame]:
+    """The rows with their fingerprints; each distinct one with its least id and its root.
+
+    Searches and components read distinct fingerprints; texts stay where they are."""
+    rows = stored(fingerprints(docs, width))
+    nodes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    roots = components(links(nodes.select("fp"), radius))
+    return rows, nodes.join(roots, nodes["fp"] == roots["node"], "left").select(
+        "fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, width: int = 3, radius: int = RADIUS) -> DataFrame:
     """Fingerprint and component of every row of ``docs``.
 
@@ -186,28 +198,31 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = RADIUS) -> Da
     other. Repeated rows get the same answer; an empty table gives no rows; other columns
     are not read. Every link counts: there is no limit on partners.
     """
-    rows = stored(fingerprints(docs, width))
-    # Searches and components read distinct fingerprints; texts stay where they are.
-    nodes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(links(nodes.select("fp"), radius))
-    members = nodes.join(roots, nodes["fp"] == roots["node"], "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root"))
+    rows, members = _classes(docs, width, radius)
     ids = members.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = members.join(ids, "root").select("fp", "component_id")
     return rows.join(classes, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicated(docs: DataFrame, width: int = 5, radius: int = RADIUS) -> DataFrame:
+def deduplicated(docs: DataFrame, width: int = 3, radius: int = RADIUS) -> DataFrame:
     """The documents without all but one of each component: the row with the least doc_id
-    stays, one of them if it is repeated."""
-    found = near_duplicates(docs, width, radius)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(
-        "doc_id").agg(F.count("*").alias("n"))
-    key = keep.select(F.col("doc_id").alias("kept_id"), "n")
-    rows = docs.join(key, docs["doc_id"].eqNullSafe(key["kept_id"])).drop("kept_id")
-    once = rows.where("n = 1").drop("n")
-    several = rows.where("n > 1").groupBy(F.col("doc_id").alias("same_id")).agg(
-        F.min_by(F.struct(*[F.col(c) for c in docs.columns]),
-                 F.xxhash64(*[F.col(c) for c in docs.columns])).alias("row"))
-    return once.unionByName(several.select("row.*"))
+    stays; of rows that share it the one with the least hash.
+
+    Fingerprints this close belong to texts that share nearly all shingles; texts with more
+    edits stay, so documents that are not copies are safe.
+    """
+    rows, members = _classes(docs, width, radius)
+    first = rows.join(members.select("fp", "root"), "fp").groupBy("root").agg(F.min(F.struct(
+        F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("k"))
+    keys = rows.groupBy(F.col("doc_id").alias("_kept_id"), F.col("text_hash").alias("_kept_hash")
+                        ).agg(F.count("*").alias("_kept_rows"))
+    keep = keys.join(first, F.col("_kept_id").eqNullSafe(F.col("k.doc_id"))
+                     & (F.col("_kept_hash") == F.col("k.text_hash"))).drop("root", "k")
+    found = docs.join(keep, docs["doc_id"].eqNullSafe(keep["_kept_id"])
+                      & (F.xxhash64(docs["text"]) == keep["_kept_hash"]))
+    once = found.where("_kept_rows = 1").select(*docs.columns)
+    every = [F.col(c) for c in docs.columns]
+    several = found.where("_kept_rows > 1").groupBy("_kept_id", "_kept_hash").agg(
+        F.min_by(F.struct(*every), F.xxhash64(*every)).alias("_kept_row"))
+    return once.unionByName(several.select("_kept_row.*"))

@@ -32,7 +32,7 @@ from evigraph.llm.suffixes import LENGTH, Hashed, sampled
 
 #: Text bytes of one run; text bytes behind one part; windows compared in one task; and the
 #: contexts of a gram beyond which its windows are compared one by one.
-RUN_BYTES, PART_BYTES, PART_WINDOWS, HOT = 32 << 20, 24 << 20, 1 << 20, 2000
+RUN_BYTES, PART_BYTES, PART_WINDOWS, HOT = 32 << 20, 16 << 20, 1 << 20, 2000
 RECORD = np.dtype([("k", "u8"), ("s", "u8"), ("d", "i8"), ("p", "u4"), ("n", "u2"), ("f", "u1")])
 #: What a payload holds: suffix records, repeated windows, contested contexts; then texts of
 #: contexts, and single windows.
@@ -269,16 +269,16 @@ def _compare(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
 
 
 def with_rows(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``row``, an order of all rows: doc_id itself where it tells them apart;
-    otherwise places after sorting by doc_id and then by a hash of the row."""
+    """``docs`` with ``_suffix_row``, an order of all rows: doc_id itself where it tells them
+    apart; otherwise places after sorting by doc_id and then by a hash of the row."""
     ids = docs.groupBy("doc_id").agg(F.count("*").alias("n"))
     if ids.where("n > 1 or doc_id is null").isEmpty():
-        return docs.withColumn("row", F.col("doc_id").cast("long"))
+        return docs.withColumn("_suffix_row", F.col("doc_id").cast("long"))
     order = [F.col("doc_id"), F.xxhash64(*docs.columns), F.monotonically_increasing_id()]
     named = docs.select("*", *[c.alias(f"_order{i}") for i, c in enumerate(order)])
     names = [f"_order{i}" for i in range(len(order))]
     placed = named.repartitionByRange(*names).sortWithinPartitions(*names)
-    return stored(placed.drop(*names).withColumn("row", F.monotonically_increasing_id()))
+    return stored(placed.drop(*names).withColumn("_suffix_row", F.monotonically_increasing_id()))
 
 
 def zipped(docs: DataFrame) -> DataFrame:
@@ -292,17 +292,19 @@ def zipped(docs: DataFrame) -> DataFrame:
                 [batch.column(0), batch.column(1), pa.array(texts, pa.binary())],
                 ["row", "doc_id", "zipped"])
 
-    return mapped(docs.select("row", F.col("doc_id").cast("long"), "text"), pack_texts,
+    rows = docs.select(F.col("_suffix_row").alias("row"), F.col("doc_id").cast("long"), "text")
+    return mapped(rows, pack_texts,
                   "row long, doc_id long, zipped binary")
 
 
 def repeated_windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """row, start, n: the windows ``start`` to ``start + n - 1`` of a text also start
-    earlier, in a row before it or before in the same text. ``docs`` has row, doc_id and text."""
+    earlier, in a row before it or before in the same text. ``docs`` has _suffix_row, doc_id
+    and text."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, math.ceil(size / PART_BYTES))
-    runs = mapped(docs.select("row", "text"), lambda b: _runs(b, parts), SENT)
-    found = stored(mapped(runs.repartition(parts, "part"), _scan, FOUND))
+    runs = mapped(docs.select("_suffix_row", "text"), lambda b: _runs(b, parts), SENT)
+    found = stored(mapped(runs.repartitionById(parts, "part"), _scan, FOUND))
     sure = found.where("gram is null").select("row", "start", "n")
     open_ = found.where("gram is not null")
     windows = open_.agg(F.sum("n")).first()[0] or 0
@@ -315,7 +317,7 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     parts = max(1, math.ceil(windows / PART_WINDOWS))
     sent = mapped(zipped(docs).join(contexts, "row").select("row", "zipped", "contexts"),
                   lambda b: _contexts(b, parts, length), SENT)
-    more = mapped(sent.repartition(parts, "part"), lambda b: _compare(b, length), FOUND)
+    more = mapped(sent.repartitionById(parts, "part"), lambda b: _compare(b, length), FOUND)
     return sure.unionByName(stored(more).select("row", "start", "n"))
 
 
@@ -374,8 +376,8 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """The documents without their repeated bytes; those left with nothing go. A character
     that loses some of its bytes goes too."""
     rows = with_rows(docs)
-    lists = repeated_windows(rows, length).groupBy("row").agg(
-        F.collect_list(F.struct("start", "n")).alias("windows"))
+    lists = repeated_windows(rows, length).groupBy(F.col("row").alias("_suffix_row")).agg(
+        F.collect_list(F.struct("start", "n")).alias("_windows"))
     names, at = docs.columns, docs.columns.index("text")
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -390,7 +392,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    joined = rows.join(lists, "row", "left").select(*names, "windows")
+    joined = rows.join(lists, "_suffix_row", "left").select(*names, "_windows")
     kept = mapped(joined, clean, docs.schema).where("text is not null")
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
