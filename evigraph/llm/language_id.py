@@ -18,7 +18,7 @@ LETTERS = re.compile(r"[^\W\d_]+")
 WORDS, GRAMS = 20_000, 5_000
 ORDERS = (4, 3, 2, 1)
 #: Words whose counts one task holds before it passes them on.
-COUNTED = 200_000
+COUNTED = 400_000
 #: Evidence beyond so many words no longer raises the score.
 FULL_WORDS = 20
 CACHED = 300_000
@@ -34,16 +34,20 @@ def word_counts(docs: DataFrame) -> DataFrame:
     """lang, word, n over the whole texts of ``docs``."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+        seen: dict[str, Counter] = {}
+
+        def flush() -> pa.RecordBatch:
+            out = _counts(((lang, w, n) for lang, words in seen.items() for w, n in words.items()),
+                          ["lang", "word", "n"])
+            seen.clear()
+            return out
+
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                words = Counter(LETTERS.findall(text.as_py().lower()))
-                for w, n in words.items():
-                    seen[lang, w] += n
-                if len(seen) > COUNTED:
-                    yield _counts(((a, b, n) for (a, b), n in seen.items()), ["lang", "word", "n"])
-                    seen = Counter()
-        yield _counts(((a, b, n) for (a, b), n in seen.items()), ["lang", "word", "n"])
+                seen.setdefault(lang, Counter()).update(LETTERS.findall(text.as_py().lower()))
+                if sum(map(len, seen.values())) > COUNTED:
+                    yield flush()
+        yield flush()
 
     counted = mapped(docs.where("text is not null and lang is not null").select("lang", "text"),
                      count, "lang string, word string, n long")
@@ -70,65 +74,86 @@ def grams(word: str, orders: tuple[int, ...] = ORDERS) -> list[str]:
     return [padded[i:i + k] for k in orders for i in range(len(padded) - k + 1)]
 
 
+class _Places(dict):
+    """Word to row of the evidence matrix; a word met for the first time gets one."""
+
+    def __init__(self, model: Model):
+        self.model = model
+
+    def __missing__(self, word: str) -> int:
+        self[word] = place = self.model.add(word)
+        return place
+
+
 class Model:
-    """Log frequencies by language; at most WORDS and GRAMS entries a language and order."""
+    """Log frequencies by language; at most WORDS and GRAMS entries a language and order.
+
+    A row of ``matrix`` is the evidence of one word: of a known word its own, of any other
+    the mean over its longest known n-grams. Rows of unknown words are kept as a cache."""
 
     def __init__(self, langs: list[str], sizes: dict[str, int], words: dict, grams_: dict):
         self.langs = langs
-        self.floor = {}
-        self.words, self.grams = {}, {}
         total = np.array([max(sizes[x], 1) for x in langs], float)
-        for source, target in ((words, self.words), (grams_, self.grams)):
-            for entry, counts in source.items():
-                row = np.array([counts.get(x, 0) for x in langs], float)
-                target[entry] = np.log((row + 0.05) / total)
+
+        def logs(counts: dict[str, int]) -> np.ndarray:
+            return np.log((np.array([counts.get(x, 0) for x in langs], float) + 0.05) / total)
+
+        self.grams = {g: logs(c) for g, c in grams_.items()}
+        self.known = list(words)
+        self.matrix = np.array([logs(words[w]) for w in self.known]).reshape(
+            len(self.known), len(langs))
         self.prior = np.log(total / total.sum()) if langs else total
-        self.cache: dict[str, np.ndarray] = {}
-
-    def evidence(self, word: str) -> np.ndarray:
-        """Log frequencies of a known word, else the mean over its longest known n-grams."""
-        found = self.words.get(word)
-        if found is not None:
-            return found
-        found = self.cache.get(word)
-        if found is None:
-            found = np.zeros(len(self.langs))
-            for order in ORDERS:
-                known = [self.grams[g] for g in grams(word, (order,)) if g in self.grams]
-                if known:
-                    found = np.mean(known, axis=0)
-                    break
-            if len(self.cache) > CACHED:
-                self.cache.clear()
-            self.cache[word] = found
-        return found
+        self.places: _Places | None = None
+
+    def add(self, word: str) -> int:
+        found = np.zeros(len(self.langs))
+        for order in ORDERS:
+            known = [self.grams[g] for g in grams(word, (order,)) if g in self.grams]
+            if known:
+                found = sum(known) / len(known)
+                break
+        if self.used == len(self.matrix):
+            self.matrix = np.concatenate((self.matrix, np.zeros((max(1000, self.used), len(found)))))
+        self.matrix[self.used] = found
+        self.used += 1
+        return self.used - 1
 
     def predict(self, text: str | None) -> tuple[str, float]:
         words = LETTERS.findall(text.lower()) if text else []
         if not self.langs or not any(c.isalpha() for w in words for c in w):
             return "und", 0.0
-        logs = np.add.reduce([self.evidence(w) for w in words]) / len(words)
+        if self.places is None or self.used > len(self.known) + CACHED:
+            self.used, self.places = len(self.known), _Places(self)
+            self.places.update(zip(self.known, range(self.used)))
+        places = list(map(self.places.__getitem__, words))
+        logs = self.matrix[places].sum(axis=0) / len(words)
         logs = logs * min(len(words), FULL_WORDS) + 1e-3 * self.prior
         best = int(np.argmax(logs))
         return self.langs[best], float(1 / np.exp(logs - logs[best]).sum())
 
 
+def most_frequent(counts: DataFrame, key: list[str], kept: int) -> DataFrame:
+    """The rows of ``counts`` above the least frequency that at most ``kept`` rows of their
+    ``key`` exceed. Frequencies are counted first, so no task sees all rows of a key."""
+    several = counts.groupBy(*key, "n").agg(F.count("*").alias("rows"))
+    above = Window.partitionBy(*key).orderBy(F.desc("n"))
+    limits = several.withColumn("above", F.sum("rows").over(above)).groupBy(*key).agg(
+        F.coalesce(F.max(F.when(F.col("above") > kept, F.col("n"))), F.lit(0)).alias("limit"))
+    return counts.join(F.broadcast(limits), key).where(F.col("n") > F.col("limit")).drop("limit")
+
+
 def fit(docs: DataFrame, words_kept: int = WORDS, grams_kept: int = GRAMS) -> Model:
     """Count over all documents that are not held out and have a language.
 
-    Words and n-grams are counted by Spark; only the ``words_kept`` most frequent words and
+    Words and n-grams are counted by Spark; only up to ``words_kept`` most frequent words and
     ``grams_kept`` most frequent n-grams of each order and language reach the driver, a
     bound that does not grow with the data. Languages are few: one row each.
     """
     counts = stored(word_counts(docs.where(~held_out(F.col("doc_id")))))
     sizes = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    by_count = [F.desc("n")]
-    top = counts.withColumn("r", F.row_number().over(
-        Window.partitionBy("lang").orderBy(*by_count, "word"))).where(F.col("r") <= words_kept)
+    top = most_frequent(counts, ["lang"], words_kept)
     gram_rows = stored(gram_counts(counts)).withColumn("order", F.length("gram"))
-    few = gram_rows.withColumn("r", F.row_number().over(
-        Window.partitionBy("lang", "order").orderBy(*by_count, "gram"))).where(
-        F.col("r") <= grams_kept)
+    few = most_frequent(gram_rows, ["lang", "order"], grams_kept)
 
     def every(kept: DataFrame, all_rows: DataFrame, key: str) -> dict:
         names = kept.select(key).distinct()
