@@ -114,12 +114,6 @@ def lens_label(option: Column) -> Column:
     return _first_match(cases, option)
 
 
-def lens_dimension(spark: SparkSession) -> DataFrame:
-    rows = [(lens, option, label) for lens, options in vocab.LENSES.items()
-            for option, (label, _) in options.items()]
-    return spark.createDataFrame(rows, "lens string, option string, label string")
-
-
 def topic_dimension(spark: SparkSession) -> DataFrame:
     """(field, group, topic) rows of the controlled vocabulary; about 75 rows."""
     rows = [(field, group, topic) for field, groups in vocab.TOPIC_GROUPS.items()
@@ -141,21 +135,21 @@ def controlled_topics(fields: Column) -> Column:
         F.coalesce(fields, empty), lambda f: F.coalesce(F.try_element_at(mapping, f), empty))))
 
 
-def auto_topics(fields: Column, text: Column, topics: Column, limit: int = 12) -> Column:
-    """Given topics, then controlled ones hinted at by the text; the first ``limit``."""
-    source = tx.spaced_name_key(text)
+def auto_topics(fields: Column, text: Column, topics: Column, limit: int | None = None) -> Column:
+    """Given topics, then the controlled ones of the fields, then the others whose letters
+    and digits occur in those of the text in one piece; the first ``limit`` if given."""
+    source = tx.name_key(text)
     every = [t for field in vocab.TOPIC_GROUPS for t in _topics_of(field)]
     conditions = {}
     for topic in dict.fromkeys(every):
-        key = "".join(c if c.isascii() and c.isalnum() else " " for c in topic.lower())
-        key = " ".join(key.split())
-        words = [key] + [w for w in key.split() if len(w) >= 5]
-        conditions[topic] = source.rlike("|".join(dict.fromkeys(words)))
+        key = "".join(c for c in topic.lower() if c.isascii() and c.isalnum())
+        conditions[topic] = F.contains(source, F.lit(key))
     matched = F.array_compact(F.array(*[F.when(c, F.lit(t)) for t, c in conditions.items()]))
     own = F.array_intersect(controlled_topics(fields), matched)
-    return F.slice(tx.merge_unique(topics, own, matched), 1, limit)
+    every = tx.merge_unique(topics, own, matched)
+    return every if limit is None else F.slice(every, 1, limit)
 
 
-def topic_suggestions(fields: Column, tags: Column, limit: int = 14) -> Column:
-    return F.slice(tx.merge_unique(controlled_topics(fields), F.transform(tags, lens_label)),
-                   1, limit)
+def topic_suggestions(fields: Column, tags: Column, limit: int | None = None) -> Column:
+    every = tx.merge_unique(controlled_topics(fields), F.transform(tags, lens_label))
+    return every if limit is None else F.slice(every, 1, limit)

@@ -11,20 +11,29 @@ from pyspark.sql import functions as F
 from evigraph.functions import vocab
 
 
+# Letters without a Unicode decomposition.
+WHOLE_LETTERS = [("ł", "l"), ("ø", "o"), ("đ", "d"), ("ð", "d"), ("þ", "th"), ("æ", "ae"),
+                 ("œ", "oe")]
+
+
 @lru_cache(maxsize=1)
 def _fold_table() -> tuple[str, str, tuple[tuple[str, str], ...]]:
     """One-to-one and one-to-many compatibility folds derived from Unicode data.
 
-    One-to-one folds cover every character of the basic plane whose decomposition
-    leaves a single ASCII letter or digit; one-to-many ones the Latin blocks.
+    One-to-one folds cover every character whose decomposition leaves a single ASCII
+    letter or digit, or one of the letters without a decomposition; one-to-many ones the
+    Latin blocks.
     """
     single_from, single_to, multiple = [], [], []
-    for point in range(0x80, 0x10000):
+    for point in range(0x80, 0x110000):
         char = chr(point)
         folded = "".join(
             c for c in unicodedata.normalize("NFKD", char) if not 0x300 <= ord(c) <= 0x36F
         ).lower()
-        if len(folded) == 1 and folded.isascii() and folded.isalnum():
+        if folded == char or 0xD800 <= point <= 0xDFFF:
+            continue
+        plain = folded.isascii() and folded.isalnum() or folded in dict(WHOLE_LETTERS)
+        if len(folded) == 1 and plain:
             single_from.append(char)
             single_to.append(folded)
         elif (point < 0x250 or 0xFB00 <= point <= 0xFB06) and len(folded) > 1:
@@ -52,10 +61,8 @@ def text_key(text: Column) -> Column:
 
 def person_key(name: Column) -> Column:
     """Text key with the non-decomposing Latin letters folded and suffixes dropped."""
-    text = F.lower(name)
-    # Letters without a Unicode decomposition.
-    for letter, plain in [("ł", "l"), ("ø", "o"), ("đ", "d"), ("ð", "d"), ("þ", "th"),
-                          ("æ", "ae"), ("œ", "oe")]:
+    text = fold_accents(name)
+    for letter, plain in WHOLE_LETTERS:
         text = F.replace(text, F.lit(letter), F.lit(plain))
     return F.trim(F.regexp_replace(
         F.regexp_replace(text_key(text), r"\b(jr|sr)\b", " "), " +", " "))
@@ -77,10 +84,6 @@ def name_variants(name: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(raw, name_key), lambda k: k != ""))
 
 
-def years_close(left: Column, right: Column, tolerance: int = 2) -> Column:
-    return F.coalesce(F.abs(left - right) <= tolerance, F.lit(False))
-
-
 def key_set(values: Column, key=text_key) -> Column:
     """Distinct non-empty keys of an array; null arrays give an empty set."""
     keys = F.transform(F.coalesce(values, F.array().cast("array<string>")), key)
@@ -96,9 +99,12 @@ def identifier_key(value: Column) -> Column:
 
 
 def slug(value: Column) -> Column:
+    """Words joined by hyphens; a long slug is cut and told apart by a digest."""
     text = F.regexp_replace(F.lower(F.trim(value)), "['\"]", "")
     text = F.regexp_replace(F.regexp_replace(text, "[^a-z0-9]+", "-"), "^-+|-+$", "")
-    return F.coalesce(F.nullif(F.substring(text, 1, 80), F.lit("")), F.lit("untitled"))
+    cut = F.concat(F.substring(text, 1, 80), F.lit("-"), F.substring(F.md5(text), 1, 8))
+    return F.when(F.length(text) > 80, cut).otherwise(
+        F.coalesce(F.nullif(text, F.lit("")), F.lit("untitled")))
 
 
 def underscore_slug(value: Column) -> Column:
@@ -106,10 +112,6 @@ def underscore_slug(value: Column) -> Column:
     return F.regexp_replace(text, "^_+|_+$", "")
 
 
-def registry_slug(registry_id: Column, prefix: str = "laureate_") -> Column:
-    return F.concat(F.lit(prefix), F.lower(registry_id))
-
-
 def work_id(person_id: Column, title: Column) -> Column:
     return F.concat(F.lit("work:"), slug(person_id), F.lit(":"), slug(title))
 

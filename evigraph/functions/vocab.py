@@ -4,9 +4,6 @@ Everything in this module is a fixed value that results depend on.
 """
 
 # Enumerations of the data model.
-ENTITY_TYPES = [
-    "Person", "Work", "Concept", "Movement", "Institution", "Relationship", "SourceClaim",
-]
 ENDPOINT_TYPES = ["Person", "Work", "Concept", "Movement", "Institution"]
 CLAIM_STATUSES = ["observed", "candidate", "accepted", "rejected", "stale", "conflicting"]
 EDGE_STATUSES = ["suggested", "accepted", "rejected", "needs_source"]

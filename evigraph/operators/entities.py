@@ -180,7 +180,8 @@ def drafts(candidates: DataFrame) -> DataFrame:
     return df.select(
         "id", "ord", "name", F.coalesce("birth", F.lit(0)).alias("birth"), "death",
         F.col("_fields").alias("fields"),
-        tax.auto_topics(F.col("_fields"), candidate_text(), F.col("topics")).alias("subfields"),
+        tax.auto_topics(F.col("_fields"), candidate_text(), F.col("topics"), 12)
+        .alias("subfields"),
         "region", F.coalesce("era", tax.era_from_year(F.col("birth"))).alias("era"),
         F.coalesce("movement", F.lit("Imported")).alias("movement"),
         F.lit(2).alias("bridge_score"), listed("works").alias("works"),

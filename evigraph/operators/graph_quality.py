@@ -54,7 +54,7 @@ def metrics(people: DataFrame, edges: DataFrame, claims: DataFrame, threads: Dat
         ratio(F.count_if(F.size(cited_sources()) > 0), one).alias("sourced"),
         ratio(F.count_if(F.col("status") == "accepted"), one).alias("accepted"),
         ratio(F.coalesce(F.sum(milli), F.lit(0)), one * 1000).alias("confidence"))
-    isolated = people.join(endpoints(edges).select("id"), "id", "left_anti")
+    isolated = people.join(endpoints(edges).select("id").distinct(), "id", "left_anti")
     shared = people.groupBy(tx.spaced_name_key(F.col("name")).alias("k")).agg(one.alias("n"))
     ages = recency_days(F.col("observed_at"), now)
     aged = claims.agg(F.when(F.count(ages) > 0, ratio(F.sum(ages), F.count(ages), 10))
@@ -163,7 +163,7 @@ def health_report(people, edges, claims, threads, now) -> tuple[DataFrame, DataF
 def connect_isolated(people: DataFrame, edges: DataFrame, candidates: DataFrame,
                      threshold: float = 0.8) -> DataFrame:
     """Add-edge patches from confident candidates that touch an isolated person."""
-    isolated = people.select("id").join(endpoints(edges).select("id"), "id", "left_anti")
+    isolated = people.select("id").join(endpoints(edges).select("id").distinct(), "id", "left_anti")
     ready = candidates.filter(F.col("confidence") >= threshold).withColumns({
         "source": tx.strip_person_prefix(F.col("source_id")),
         "target": tx.strip_person_prefix(F.col("target_id"))})

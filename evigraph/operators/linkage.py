@@ -583,7 +583,7 @@ def accept_queue(candidates: DataFrame, people: DataFrame) -> DataFrame:
     """Candidates that become people: dated, name unknown and first of their name."""
     from evigraph.operators.entities import unique_ids
 
-    key = tx.spaced_name_key(F.col("name"))
+    key = tx.name_key(F.col("name"))
     known = people.select(key.alias("_k")).distinct()
     fresh = candidates.filter("birth is not null").withColumn("_k", key).join(
         known, "_k", "left_anti")

@@ -87,7 +87,7 @@ FLAGS.update({"k": 1 << 6, "f": 1 << 7, "t": 1 << 7, "l": 1 << 7})
 CLAIM_BITS = (1 << 6) - 1
 
 
-def candidate_scores(facts: DataFrame, people: DataFrame, keep: int) -> DataFrame:
+def candidate_scores(facts: DataFrame, people: DataFrame, keep: Column) -> DataFrame:
     """Score of every candidate-person pair that shares a signal, keyed by ``ord``.
 
     Matched signals add their points in one aggregation over numbers, so no pair carries
@@ -169,8 +169,12 @@ def candidate_suggestions(candidates: DataFrame, people: DataFrame,
     facts = candidate_facts(candidates)
     mine = candidates.select(F.col("ord").alias("c_ord"), F.col("id").alias("candidate_id"))
     theirs = people.select(F.col("ord").alias("p_ord"), F.col("id").alias("person_id"))
-    # Rejections differ per candidate, so with them no person may be skipped beforehand.
-    keep = limit if rejected is None else 2147483646
+    # A candidate's best ``limit`` lie among its best ``limit`` plus its rejections.
+    keep = F.lit(limit)
+    if rejected is not None:
+        most = rejected.groupBy("candidate_id").agg(F.count(F.lit(1)).alias("n")).agg(
+            F.coalesce(F.max("n"), F.lit(0)))
+        keep = keep + most.scalar()
     rated = rate(candidate_scores(facts, people, keep)).filter(F.col("score") >= cutoff)
     if rejected is not None:
         refused = rejected.join(mine, "candidate_id").join(theirs, "person_id")

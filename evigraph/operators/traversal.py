@@ -8,6 +8,7 @@ recompute from reliable storage.
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,16 +23,16 @@ def symmetric(edges: DataFrame) -> DataFrame:
                                         F.col("source").alias("target"), "ord"))
 
 
-def levels(edges: DataFrame, start: DataFrame, max_depth: int,
+def levels(edges: DataFrame, start: DataFrame, max_depth: int | None = None,
            within: DataFrame | None = None) -> DataFrame:
-    """Minimum depth of every node reached from ``start(id)`` in at most ``max_depth`` steps."""
+    """Minimum depth of every node reached from ``start(id)``, in ``max_depth`` steps if given."""
     links = edges.select("source", "target").distinct()
     if within is not None:
         links = links.join(within.select(F.col("id").alias("target")), "target", "left_semi")
     links = cut_lineage(links)  # read by every round
     frontier = cut_lineage(start.select("id").distinct())
     seen = frontier.withColumn("depth", F.lit(0))
-    for depth in range(1, max_depth + 1):
+    for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         step = (links.join(frontier.withColumnRenamed("id", "source"), "source", "left_semi")
                 .select(F.col("target").alias("id")).distinct().join(seen, "id", "left_anti"))
         frontier = cut_lineage(step)
@@ -41,7 +42,7 @@ def levels(edges: DataFrame, start: DataFrame, max_depth: int,
     return seen
 
 
-def reachable(edges: DataFrame, start: DataFrame, max_depth: int = 10000) -> DataFrame:
+def reachable(edges: DataFrame, start: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Undirected depth of every node connected to ``start``."""
     return levels(symmetric(edges), start, max_depth)
 
@@ -57,10 +58,11 @@ def level_sample(edges: DataFrame, people: DataFrame, start: DataFrame, max_dept
 
 
 def shortest_path(edges: DataFrame, people: DataFrame, source: DataFrame, target: DataFrame,
-                  max_depth: int = 64) -> DataFrame:
+                  max_depth: int | None = None) -> DataFrame:
     """Fewest-edges directed path, ties as a queue would meet them: rows (step, id).
 
-    Each node keeps the smallest edge-order path that reaches it first.
+    Each node keeps the smallest edge-order path that reaches it first. The search ends at
+    the goal or when no new node is met.
     """
     known = people.select("id")
     goal = target.select("id").join(known, "id", "left_semi")
@@ -71,7 +73,7 @@ def shortest_path(edges: DataFrame, people: DataFrame, source: DataFrame, target
         "id", F.array().cast("array<bigint>").alias("orders"), F.array("id").alias("path"))
     frontier = cut_lineage(frontier)
     seen = frontier
-    for _ in range(max_depth):
+    for _ in count() if max_depth is None else range(max_depth):
         hit = seen.join(goal, "id", "left_semi")
         if frontier.isEmpty() or not hit.isEmpty():
             break

@@ -244,7 +244,7 @@ def topics_by_field(b):
 @query("topic_suggestions", f"""with {FACTS}, known(field, topic_group, topic) as (values {TOPICS})
 select l.id, least(14, (select count(*) from known k where k.field in (l.field1, l.field2)) + len(l.lens)) as n from lensed l""")
 def topic_suggestions(b):
-    picked = tax.topic_suggestions(F.col("fields"), tax.person_lens_tags())
+    picked = tax.topic_suggestions(F.col("fields"), tax.person_lens_tags(), 14)
     return b.people.select("id", F.size(picked).cast("long").alias("n"))
 
 
@@ -310,12 +310,12 @@ def _tokens(text: str) -> str:
 
 
 @query("candidate_suggestions", f"""with {FACTS}, known(field, topic_group, topic) as (values {TOPICS}),
-topic_keys as (select distinct topic, trim(regexp_replace(lower(topic), '[^a-z0-9]+', ' ', 'g')) as k from known),
+topic_keys as (select distinct topic, regexp_replace(lower(topic), '[^a-z0-9]', '', 'g') as k from known),
 c0 as (select *, case when len(fields) > 0 then fields when ord % 3 = 0 then ['Mathematics'] when ord % 3 = 1 then ['Physics'] else ['Philosophy'] end as df from candidates),
-c1 as (select *, trim(regexp_replace(lower(concat_ws(' ', description, movement, array_to_string(works, ' '), array_to_string(df, ' '))), '[^a-z0-9]+', ' ', 'g')) as src from c0),
+c1 as (select *, trim(regexp_replace(lower(concat_ws(' ', description, movement, array_to_string(works, ' '), array_to_string(df, ' '))), '[^a-z0-9]', '', 'g')) as src from c0),
 hit_topics as (
   select c.id, t.topic, case when exists (select 1 from known k where k.topic = t.topic and list_contains(c.df, k.field)) then 0 else 1 end as own from c1 c join topic_keys t
-   on contains(c.src, t.k) or len(list_filter(string_split(t.k, ' '), lambda w: length(w) >= 5 and contains(c.src, w))) > 0),
+   on contains(c.src, t.k)),
 topic_lists as (select id, list(topic) as hits, count(*) as n from hit_topics group by 1),
 cands as (
   select c.*, list_distinct(list_concat(topics, coalesce(hits, []))) as dt, coalesce(movement, 'Imported') as dm,

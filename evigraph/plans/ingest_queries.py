@@ -63,9 +63,9 @@ def coauthors(b):
 
 @query("citations", f"""with refs as (select distinct l_orderkey as k, l_partkey as p from lineitem),
 ranked as (select *, row_number() over (partition by k order by p) as rn from refs)
-select 'work:openalex:w' || cast(p as varchar) as source_id, 'work:openalex:' || {slug(NAME)} as target_id, cast(rn - 1 as int) as pos from ranked join orders on o_orderkey = k where rn <= 3""")
+select 'work:openalex:w' || cast(p as varchar) as source_id, 'work:openalex:' || {slug(NAME)} as target_id, cast(rn - 1 as int) as pos from ranked join orders on o_orderkey = k""")
 def citations(b):
-    return dumps.citations(_works_dump(b), 3).select("source_id", "target_id", "pos")
+    return dumps.citations(_works_dump(b)).select("source_id", "target_id", "pos")
 
 
 def _doi_dump(b):
@@ -100,9 +100,9 @@ def doi_claims(b):
 
 @query("doi_references", f"""with r as (select *, unnest(range(1, cast(p_partkey % 5 + 2 as int))) as i from part)
 select 'work:crossref:' || case when i = 1 then 'ref-' || cast(p_partkey as varchar) else '10-2-' || cast(p_partkey + i as varchar) end as source_id,
-  'work:crossref:' || {slug(DOI_TITLE)} as target_id, cast((i - 1) // 2 as int) as pos from r where i % 2 = 1 and (i - 1) // 2 < 2""")
+  'work:crossref:' || {slug(DOI_TITLE)} as target_id, cast((i - 1) // 2 as int) as pos from r where i % 2 = 1""")
 def doi_references(b):
-    return dumps.crossref_references(_doi_dump(b), 2).select("source_id", "target_id", "pos")
+    return dumps.crossref_references(_doi_dump(b)).select("source_id", "target_id", "pos")
 
 
 @query("summary_claims", f"""
@@ -178,8 +178,8 @@ REGISTRY = """
 ents as (select id, pid, case when pid % 7 <> 0 then 'Entity ' || id else 'Q' || id end as name,
    case when pid % 4 = 0 then 'a university of note' when pid % 4 = 1 then 'an English physicist and careful writer' else '' end as description,
    case when pid % 5 <> 0 then birth when pid % 10 = 5 then -(birth % 1000) end as birth from people),
-works_n as (select person_id as id, count(*) as n from (select person_id, value, cast(regexp_extract(value, '(\\d+)$', 1) as bigint) % 9 as pos from evidence_links where kind = 'work') where pos < 6 group by 1),
-students_n as (select person_id as id, count(*) as n from (select person_id, cast(regexp_extract(value, '(\\d+)$', 1) as bigint) % 9 as pos from evidence_links where kind = 'student') where pos < 6 group by 1)"""
+works_n as (select person_id as id, count(*) as n from (select person_id, value, cast(regexp_extract(value, '(\\d+)$', 1) as bigint) % 9 as pos from evidence_links where kind = 'work') group by 1),
+students_n as (select person_id as id, count(*) as n from (select person_id, cast(regexp_extract(value, '(\\d+)$', 1) as bigint) % 9 as pos from evidence_links where kind = 'student') group by 1)"""
 
 
 @query("registry_candidates", f"""with {REGISTRY}
@@ -200,9 +200,9 @@ def registry_candidates(b):
 @query("batch_people", f"""with {REGISTRY},
 near as (select value as id from evidence_links where kind in ('advisor', 'student', 'explicit_influence') and ord % 2 = 0 union select id from people where pid % 2 = 0),
 labelled as (select person_id as id, count(*) as n from (
-   select person_id, regexp_extract(value, '(\\d+)$', 1) as v from evidence_links where kind = 'work') x join people p on p.id = x.v and p.pid % 7 <> 0 where cast(v as bigint) % 9 < 6 group by 1)
+   select person_id, regexp_extract(value, '(\\d+)$', 1) as v from evidence_links where kind = 'work') x join people p on p.id = x.v and p.pid % 7 <> 0 group by 1)
 select 'Q' || e.id as registry_id, 'entity_' || e.id as id, 'an English physicist and careful writer.' as notes
-from ents e join labelled l on l.id = e.id where e.birth is not null and pid % 6 <> 0 and pid % 7 <> 0 and pid % 4 = 1 and e.id in (select id from near) order by pid limit 12""")
+from ents e join labelled l on l.id = e.id where e.birth is not null and pid % 6 <> 0 and pid % 7 <> 0 and pid % 4 = 1 and e.id in (select id from near)""")
 def batch_people(b):
     entities, statements, labels = _registry(b)
     found = dumps.registry_candidates(entities, statements, labels)
@@ -253,12 +253,12 @@ def url_hosts(b):
 
 
 @query("pipe_rows", """
-select name, cast(birth as int) as birth, death, field1 as field, case when pid % 3 = 0 then 85 + case when death is not null then 5 else 0 end else 70 + case when death is not null then 5 else 0 end end as confidence from people""")
+select 'manual-' || trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g')) || '-' || substr(md5(concat_ws('|', trim(name), cast(birth as varchar), coalesce(cast(death as varchar), ''), field1, case when pid % 3 = 0 then 'a|b' else '' end)), 1, 8) as id, name, cast(birth as int) as birth, death, field1 as field, case when pid % 3 = 0 then 85 + case when death is not null then 5 else 0 end else 70 + case when death is not null then 5 else 0 end end as confidence from people""")
 def pipe_rows(b):
     parts = F.concat_ws("|", "name", _s("birth"), F.coalesce(_s("death"), F.lit("")),
                         F.col("fields")[0], F.when(F.col("ord") % 3 == 0, " a | b ").otherwise(""))
     return files.pipe_candidates(b.people_core.select(parts.alias("value"))).select(
-        "name", "birth", "death", F.col("fields")[0].alias("field"), "confidence")
+        "id", "name", "birth", "death", F.col("fields")[0].alias("field"), "confidence")
 
 
 @query("people_csv_export", """
@@ -268,14 +268,14 @@ def people_csv_export(b):
 
 
 @query("csv_rows", """
-select name, birth, field1 as field, len(case when subfield is null then [] else [subfield] end) as topics, 80 + case when subfield is not null then 10 else 0 end as confidence from people where pid % 13 <> 0""")
+select 'csv-' || trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g')) || '-' || substr(md5(concat_ws('|', name, cast(birth as varchar), '', field1, '', coalesce(subfield, ''), 'https://x.example.org', '', '', '', '')), 1, 8) as id, name, birth, field1 as field, len(case when subfield is null then [] else [subfield] end) as topics, 80 + case when subfield is not null then 10 else 0 end as confidence from people where pid % 13 <> 0""")
 def csv_rows(b):
     raw = b.people_core.select(
         F.col("name").alias("Thinker"), F.when(F.col("ord") % 13 != 0, _s("birth")).otherwise("x")
         .alias("Birth Year"), F.col("fields")[0].alias("Discipline"),
         F.concat_ws("; ", "subfields").alias("Tags"), F.lit("https://x.example.org").alias("URL"))
     return files.csv_candidates(raw).select(
-        "name", "birth", F.col("fields")[0].alias("field"),
+        "id", "name", "birth", F.col("fields")[0].alias("field"),
         F.size("topics").cast("long").alias("topics"), "confidence")
 
 

@@ -304,10 +304,10 @@ def merged_duplicates(b):
         "id", "movement", F.size("works").cast("long").alias("works"))
 
 
-@query("accepted_imports", """with k as (select *, trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g')) as nk from candidates where birth is not null),
+@query("accepted_imports", """with k as (select *, regexp_replace(lower(name), '[^a-z0-9]', '', 'g') as nk from candidates where birth is not null),
 firsts as (select *, row_number() over (partition by nk order by ord) as rn from k)
-select id, replace(nk, ' ', '_') as person_id from firsts where rn = 1
-  and nk not in (select trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g')) from people)""")
+select id, trim(regexp_replace(lower(name), '[^a-z0-9]+', '_', 'g'), '_') as person_id from firsts where rn = 1
+  and nk not in (select regexp_replace(lower(name), '[^a-z0-9]', '', 'g') from people)""")
 def accepted_imports(b):
     return ln.accept_queue(b.candidates, b.people_core).select("id", "person_id")
 

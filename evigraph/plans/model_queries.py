@@ -7,9 +7,12 @@ from evigraph.functions import text as tx
 from evigraph.operators import entities as en
 from evigraph.operators import normalize as nz
 from evigraph.operators.edge_validation import listed
+from evigraph.functions import vocab
 from evigraph.plans.catalog import query
 
-SLUG = "coalesce(nullif(substr(trim(regexp_replace(replace(replace(lower(trim({0})), '''', ''), '\"', ''), '[^a-z0-9]+', '-', 'g'), '-'), 1, 80), ''), 'untitled')"
+_WHOLE_SLUG = "trim(regexp_replace(replace(replace(lower(trim({0})), '''', ''), '\"', ''), '[^a-z0-9]+', '-', 'g'), '-')"
+SLUG = (f"case when length({_WHOLE_SLUG}) > 80 then substr({_WHOLE_SLUG}, 1, 80) || '-' || substr(md5({_WHOLE_SLUG}), 1, 8) "
+        f"else coalesce(nullif({_WHOLE_SLUG}, ''), 'untitled') end")
 
 
 def slug(expression: str) -> str:
@@ -261,18 +264,21 @@ def unique_import_ids(b):
     return en.unique_ids(b.candidates, b.people_core).select("id", "person_id")
 
 
-@query("auto_topics", """
-select id, n from (select c.id,
-  len(list_distinct(list_concat(topics, list_filter(['Formal Logic','Quantum Theory','Mechanics'], lambda t:
-     (t = 'Formal Logic' and description like '%formal logic%') or (t = 'Quantum Theory' and description like '%quantum theory%'))))) as n
-  from candidates c)""")
+#: (place, field, topic, letters and digits of the topic) of the controlled vocabulary.
+TOPIC_KEYS = ", ".join(
+    f"({i}, '{topic}', '{''.join(c for c in topic.lower() if c.isascii() and c.isalnum())}')"
+    for i, topic in enumerate(dict.fromkeys(
+        t for groups in vocab.TOPIC_GROUPS.values() for topics in groups.values() for t in topics)))
+
+
+@query("auto_topics", f"""with known(place, topic, key) as (values {TOPIC_KEYS}),
+texts as (select id, topics, regexp_replace(lower(concat_ws(' ', description, 'a theory of justice, formal-logic')), '[^a-z0-9]', '', 'g') as source from candidates),
+hits as (select t.id, list(k.topic order by k.place) as found from texts t join known k on contains(t.source, k.key) and not list_contains(t.topics, k.topic) group by 1)
+select t.id, array_to_string(list_concat(t.topics, coalesce(h.found, [])), '|') as topics from texts t left join hits h on h.id = t.id""")
 def auto_topics(b):
-    df = b.candidates
-    known = F.array(F.lit("Formal Logic"), F.lit("Quantum Theory"), F.lit("Mechanics"))
-    topics = tax.auto_topics(F.array().cast("array<string>"), F.col("description"),
-                             F.col("topics"))
-    return df.select("id", F.size(F.array_union(
-        F.array_intersect(topics, known), listed("topics"))).cast("long").alias("n"))
+    text = F.concat_ws(" ", "description", F.lit("a theory of justice, formal-logic"))
+    topics = tax.auto_topics(F.array().cast("array<string>"), text, listed("topics"))
+    return b.candidates.select("id", F.array_join(topics, "|").alias("topics"))
 
 
 @query("import_notes_stripped", """

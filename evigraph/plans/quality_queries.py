@@ -49,7 +49,7 @@ def degree(b):
 
 @query("isolated_nodes", "select id from people where id not in (select id from ends)")
 def isolated_nodes(b):
-    return b.people_core.join(gq.endpoints(b.edges).select("id"), "id", "left_anti").select("id")
+    return b.people_core.join(gq.endpoints(b.edges).select("id").distinct(), "id", "left_anti").select("id")
 
 
 @query("graph_metrics", """

@@ -116,12 +116,16 @@ def coauthors(dump: DataFrame, authors: DataFrame | None = None) -> DataFrame:
         .alias("claim_id"))
 
 
-def citations(dump: DataFrame, limit: int = 20) -> DataFrame:
-    """Reference-to-work influences of the first ``limit`` references of each work."""
+def _first(values: Column, limit: int | None) -> Column:
+    return values if limit is None else F.slice(values, 1, limit)
+
+
+def citations(dump: DataFrame, limit: int | None = None) -> DataFrame:
+    """Reference-to-work influences of the references of each work, the first ``limit`` if given."""
     target, label, _ = openalex_work(F.col("id"), F.col("display_name"), F.col("title"),
                                      F.col("doi"))
     rows = dump.select(target.alias("target_id"), label.alias("_label"),
-                       F.posexplode(F.slice("referenced_works", 1, limit)).alias("pos", "ref"))
+                       F.posexplode(_first(F.col("referenced_works"), limit)).alias("pos", "ref"))
     source = tx.work_id(F.lit("openalex"), id_part(F.col("ref")))
     kind = F.lit("work influenced work")
     return rows.select(tx.relationship_id(source, F.col("target_id"), kind).alias("id"),
@@ -167,11 +171,10 @@ def crossref(dump: DataFrame, at: Column) -> AdapterResult:
     return AdapterResult(seen, nz.claims(drafts), works)
 
 
-def crossref_references(dump: DataFrame, limit: int = 20) -> DataFrame:
-    """First ``limit`` references with a DOI: (DOI, title[], reference[]{DOI, article_title})."""
+def crossref_references(dump: DataFrame, limit: int | None = None) -> DataFrame:
+    """References with a DOI, the first ``limit`` if given: (DOI, title[], reference[]{DOI, article_title})."""
     title = filled(F.get("title", F.lit(0)), F.col("DOI"), F.lit("Untitled Crossref work"))
-    cited = F.slice(F.filter("reference", lambda r: F.coalesce(r["DOI"], F.lit("")) != ""), 1,
-                    limit)
+    cited = _first(F.filter("reference", lambda r: F.coalesce(r["DOI"], F.lit("")) != ""), limit)
     rows = dump.select(tx.work_id(F.lit("crossref"), title).alias("target_id"),
                        F.posexplode(cited).alias("pos", "r"))
     source = tx.work_id(F.lit("crossref"), filled(F.col("r.article_title"), F.col("r.DOI")))
@@ -244,20 +247,21 @@ REGISTRY_LISTS = {
 
 
 def registry_candidates(entities: DataFrame, statements: DataFrame,
-                        labels: DataFrame) -> DataFrame:
+                        labels: DataFrame, capped: bool = False) -> DataFrame:
     """Import candidates of a registry dump.
 
     ``entities(id, ord, label, description, birth_time, death_time, article)``,
-    ``statements(id, property, pos, value_id)`` and ``labels(id, label)``. Caps apply by
-    position before missing ids are removed, so a list never exceeds its cap.
+    ``statements(id, property, pos, value_id)`` and ``labels(id, label)``. All statements
+    count; with ``capped`` those of the importer's screen, by position before missing ids
+    are removed.
     """
     caps = F.create_map(*[x for p, (_, n) in REGISTRY_LISTS.items()
                           for x in (F.lit(p), F.lit(n))])
     kept = statements.filter(F.col("property").isin(list(REGISTRY_LISTS))).filter(
-        (F.col("pos") < caps[F.col("property")]) & F.col("value_id").isNotNull())
+        F.col("value_id").isNotNull() & (
+            (F.col("pos") < caps[F.col("property")]) if capped else F.lit(True)))
     named = kept.join(labels.select(F.col("id").alias("value_id"), F.col("label").alias("_l")),
                       "value_id", "left").withColumn("text", F.coalesce("_l", "value_id"))
-    # At most the cap of each property is collected per entity.
     ordered = lambda p: F.transform(F.array_sort(F.collect_list(F.when(
         F.col("property") == p, F.struct("pos", "text")))), lambda e: e["text"])
     lists = named.groupBy("id").agg(*[ordered(p).alias(c) for p, (c, _) in REGISTRY_LISTS.items()])
@@ -273,7 +277,7 @@ def registry_candidates(entities: DataFrame, statements: DataFrame,
                                                 F.col("birth").isNotNull()).alias("entity_type"),
         F.array(tax.infer_field(text, tax.SERVER_FIELD_PATTERNS)).alias("fields"),
         F.when(F.size("fields_of_work") > 0, F.col("fields_of_work"))
-        .otherwise(F.slice("occupations", 1, 4)).alias("topics"),
+        .otherwise(_first(F.col("occupations"), 4 if capped else None)).alias("topics"),
         F.nullif(F.array_join("countries", "/"), F.lit("")).alias("region"),
         tax.import_era(F.col("birth")).alias("era"),
         F.get("movements", F.lit(0)).alias("movement"), "works", "movements", "occupations",
@@ -286,11 +290,11 @@ def registry_candidates(entities: DataFrame, statements: DataFrame,
 
 
 def batch_people(candidates: DataFrame, people: DataFrame, statements: DataFrame,
-                 anchors: DataFrame, limit: int = 12, stem_only: bool = False) -> DataFrame:
+                 anchors: DataFrame, limit: int | None = None, stem_only: bool = False) -> DataFrame:
     """New people one influence or mentorship step from the anchors.
 
     Humans with a label, a birth year, a five-word description and a labelled work whose
-    name is unknown; the first ``limit`` in dump order (a parameter of the importer).
+    name is unknown; the first ``limit`` in dump order, if the run is limited.
     """
     near = statements.filter(F.col("property").isin("P737", "P184", "P185", "P802")).join(
         anchors.select("id"), "id", "left_semi").select(F.col("value_id").alias("id"))
@@ -312,14 +316,16 @@ def batch_people(candidates: DataFrame, people: DataFrame, statements: DataFrame
     key = tx.spaced_name_key(F.col("name"))
     fresh = df.withColumn("_k", key).join(people.select(key.alias("_k")).distinct(), "_k",
                                           "left_anti")
-    first = nz.first_per(fresh, ["_k"], "ord").orderBy("ord").limit(limit)
+    first = nz.first_per(fresh, ["_k"], "ord")
+    if limit is not None:
+        first = first.orderBy("ord").limit(limit)
     era = tax.import_era(F.col("birth"), F.col("description"))
     topics = F.when(F.size("fields_of_work") > 0, F.col("fields_of_work")).otherwise(
         F.col("occupations"))
     return first.select(
         tx.underscore_slug(F.col("name")).alias("id"), F.col("id").alias("registry_id"), "name",
         "birth", "death", F.array(tax.infer_field(text, tax.BATCH_FIELD_PATTERNS)).alias("fields"),
-        F.slice(topics, 1, 3).alias("subfields"), "region", era.alias("era"),
+        _first(topics, limit and 3).alias("subfields"), "region", era.alias("era"),
         F.coalesce("movement", F.when(era == "Islamic Golden Age", era)).alias("movement"),
         F.lit(3).alias("bridge_score"), "works",
         F.concat(F.regexp_replace("description", r"[.\s]+$", ""), F.lit(".")).alias("notes"))

@@ -104,7 +104,8 @@ def csv_candidates(raw: DataFrame) -> DataFrame:
         F.col("source_url") != "", 10).otherwise(0)
     year = F.when(F.col("birth") == "", 0).otherwise(birth).cast("int")
     return df.filter((F.col("name") != "") & (year.isNotNull())).select(
-        F.concat(F.lit("csv-"), tx.spaced_name_key(F.col("name"))).alias("id"), "name",
+        F.concat(F.lit("csv-"), tx.spaced_name_key(F.col("name")), F.lit("-"),
+                 _digest(*HEADER_ALIASES)).alias("id"), "name",
         F.coalesce(blank("notes"), F.lit("CSV imported candidate.")).alias("description"),
         year.alias("birth"), F.col("death").try_cast("double").cast("int").alias("death"),
         F.array(field).alias("fields"), topics.alias("topics"), blank("region").alias("region"),
@@ -115,6 +116,11 @@ def csv_candidates(raw: DataFrame) -> DataFrame:
         .alias("wikipedia_url"), F.least(F.lit(95), score).alias("confidence"))
 
 
+def _digest(*columns) -> Column:
+    """Tells rows of one name apart; equal rows have equal digests."""
+    return F.substring(F.md5(F.concat_ws("|", *columns)), 1, 8)
+
+
 def pipe_candidates(lines: DataFrame) -> DataFrame:
     """Candidates of ``name|birth|death|field|notes`` text rows (column ``value``)."""
     cells = F.transform(F.split(F.trim("value"), r"\|"), lambda v: F.trim(v))
@@ -128,7 +134,8 @@ def pipe_candidates(lines: DataFrame) -> DataFrame:
     score = 55 + 15 + F.when(notes != "", 15).otherwise(0) + F.when(
         death.isNotNull(), 5).otherwise(0)
     return df.filter((cell(0) != "") & birth.isNotNull()).select(
-        F.concat(F.lit("manual-"), tx.spaced_name_key(cell(0))).alias("id"), cell(0).alias("name"),
+        F.concat(F.lit("manual-"), tx.spaced_name_key(cell(0)), F.lit("-"),
+                 _digest(F.array_join("c", "|"))).alias("id"), cell(0).alias("name"),
         F.coalesce(F.nullif(notes, F.lit("")), F.lit("Manual pasted import."))
         .alias("description"), birth.alias("birth"), death.alias("death"),
         F.array(field).alias("fields"), tax.era_from_year(birth).alias("era"),
