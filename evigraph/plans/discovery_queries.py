@@ -17,12 +17,23 @@ FOLD95 = FOLD.format(cap=95, step=5)
 
 GROUPED = """
 members as (select distinct kind, value, person_id, ord from evidence_links),
-group_sizes as (select kind, value, count(*) as n from members group by 1, 2),
-small as (select m.* from members m join group_sizes g on g.kind = m.kind and g.value = m.value where g.n <= 64)"""
+group_sizes as (select kind, value, count(distinct person_id) as n from members group by 1, 2)"""
 
 GROUP_ROWS = """
 select 'group' as row_kind, kind as group_kind, value as group_value, null as source_id, null as target_id, null::double as confidence,
-       null::bigint as evidence, n as members from group_sizes where n > 64 and kind in {kinds}"""
+       null::bigint as evidence, n as members, n * (n - 1) // 2 as pairs from group_sizes where kind in {kinds}"""
+
+#: The chosen people of the ``_for`` queries.
+FOCUS = "focus as (select id from people where pid % 20 = 0)"
+
+
+def _focus(b):
+    return b.people_core.filter("ord % 20 = 0").select("id")
+
+
+def _pairs(scored: str, score: str) -> str:
+    return (f"select 'pair' as row_kind, null as group_kind, null as group_value, source_id, target_id, {score} / 100.0::double as confidence, evidence, "
+            f"null::bigint as members, null::bigint as pairs from {scored}")
 
 
 @query("mentorship", """
@@ -35,21 +46,35 @@ def mentorship(b):
     return rc.mentorship(b.evidence_links).select("source_id", "target_id", "evidence")
 
 
-@query("collaboration", f"""with {GROUPED},
+def _collaboration(pool: str) -> str:
+    return f"""with {GROUPED}, {FOCUS},
 encounters as (
   select person_id as p, value as q, ord as o, case kind when 'coauthor' then 0 else 1 end as r, case kind when 'coauthor' then 80 else 75 end as x
   from evidence_links where kind in ('coauthor', 'correspondent')
   union all select a.person_id, c.person_id, a.ord, case a.kind when 'institution' then 2 else 3 end, case a.kind when 'institution' then 55 else 85 end
-  from small a join small c on a.kind = c.kind and a.value = c.value and a.person_id <> c.person_id where a.kind in ('institution', 'work')),
+  from members a join members c on a.kind = c.kind and a.value = c.value and a.person_id <> c.person_id where a.kind in ('institution', 'work')),
+pool as ({pool}),
 folded as (
   select least('person:' || p, 'person:' || q) as source_id, greatest('person:' || p, 'person:' || q) as target_id, {FOLD95} as score, count(*) as evidence
-  from encounters group by 1, 2)
-select 'pair' as row_kind, null as group_kind, null as group_value, source_id, target_id, score / 100.0::double as confidence, evidence, null::bigint as members from folded
-union all {GROUP_ROWS.format(kinds="('institution', 'work')")}""")
+  from encounters e where exists (select 1 from pool where a = least(p, q) and b = greatest(p, q)) group by 1, 2)
+"""
+
+
+TOUCHING = "select distinct least(p, q) as a, greatest(p, q) as b from {0} where p in (select id from focus) or q in (select id from focus)"
+
+
+@query("collaboration", _collaboration(
+    "select distinct least(p, q) as a, greatest(p, q) as b from encounters where r < 2") + _pairs("folded", "score")
+    + " union all " + GROUP_ROWS.format(kinds="('institution', 'work')"))
 def collaboration(b):
     return rc.collaboration(b.evidence_links)
 
 
+@query("collaboration_for", _collaboration(TOUCHING.format("encounters")) + _pairs("folded", "score"))
+def collaboration_for(b):
+    return rc.collaboration(b.evidence_links, _focus(b))
+
+
 def _influence_links(b):
     movements = b.people_core.filter("movement is not null").select(
         F.col("id").alias("person_id"), "ord", F.lit("movement").alias("kind"),
@@ -57,58 +82,80 @@ def _influence_links(b):
     return b.evidence_links.unionByName(movements)
 
 
-@query("influence", f"""with
+def _influence(pool: str) -> str:
+    return f"""with {FOCUS},
 members as (select 'movement' as kind, movement as value, id as person_id, pid as ord, birth from people where movement is not null),
 group_sizes as (select kind, value, count(*) as n from members group by 1, 2),
-small as (select m.* from members m join group_sizes g on g.value = m.value where g.n <= 64),
 told as (
-  select l.value as s, l.person_id as t, l.ord as o,
+  select l.value as p, l.person_id as q, l.ord as o,
          case kind when 'explicit_influence' then 0 when 'citation_target' then 1 when 'named_mention' then 2 when 'advisor' then 3 else 4 end as r,
          case kind when 'explicit_influence' then 85 when 'citation_target' then 65 when 'named_mention' then 55 else 70 end as x
   from evidence_links l left join people s on s.id = l.value left join people t on t.id = l.person_id
   where kind in ('explicit_influence', 'citation_target', 'named_mention', 'advisor', 'received_work') and l.value <> l.person_id
     and coalesce(s.birth <= t.birth + 20, true)),
 met as (
-  select case when q.birth <= p.birth then q.person_id else p.person_id end as s, case when q.birth <= p.birth then p.person_id else q.person_id end as t,
-         p.ord as o, 5 as r, 50 as x
-  from small p join small q on p.value = q.value and p.person_id <> q.person_id),
+  select case when c.birth <= a.birth then c.person_id else a.person_id end as p, case when c.birth <= a.birth then a.person_id else c.person_id end as q,
+         a.ord as o, 5 as r, 50 as x
+  from members a join members c on a.value = c.value and a.person_id <> c.person_id),
+encounters as (select * from told union all select * from met),
+pool as ({pool}),
 folded as (
-  select 'person:' || s as source_id, 'person:' || t as target_id, {FOLD95} as score, count(*) as evidence
-  from (select * from told union all select * from met) group by 1, 2)
-select 'pair' as row_kind, null as group_kind, null as group_value, source_id, target_id, score / 100.0::double as confidence, evidence, null::bigint as members from folded
-union all {GROUP_ROWS.format(kinds="('movement')")}""")
+  select 'person:' || p as source_id, 'person:' || q as target_id, {FOLD95} as score, count(*) as evidence
+  from encounters where exists (select 1 from pool where a = p and b = q) group by 1, 2)
+"""
+
+
+@query("influence", _influence("select distinct p as a, q as b from told") + _pairs("folded", "score")
+       + " union all " + GROUP_ROWS.format(kinds="('movement')"))
 def influence(b):
     return rc.influence(_influence_links(b), b.people_core)
 
 
-@query("parallel_development", f"""with {GROUPED},
-shared as (
-  select least(a.person_id, c.person_id) as p, greatest(a.person_id, c.person_id) as q, count(*) as evidence
-  from small a join small c on a.value = c.value and a.ord < c.ord where a.kind = 'concept' and c.kind = 'concept' group by 1, 2),
-linked as (select least(person_id, value) as p, greatest(person_id, value) as q from evidence_links where kind in ('explicit_influence', 'advisor', 'student'))
-select 'pair' as row_kind, null as group_kind, null as group_value, least('person:' || p, 'person:' || q) as source_id, greatest('person:' || p, 'person:' || q) as target_id,
-       least(95, 45 + 5 * (evidence - 1)) / 100.0::double as confidence, evidence, null::bigint as members
-from shared where not exists (select 1 from linked l where l.p = shared.p and l.q = shared.q)
-union all {GROUP_ROWS.format(kinds="('concept')")}""")
+@query("influence_for", _influence(
+    "select distinct p as a, q as b from encounters where p in (select id from focus) or q in (select id from focus)")
+    + _pairs("folded", "score"))
+def influence_for(b):
+    return rc.influence(_influence_links(b), b.people_core, _focus(b))
+
+
+@query("parallel_development", f"with {GROUPED}" + GROUP_ROWS.format(kinds="('concept')"))
 def parallel_development(b):
     return rc.parallel_development(b.evidence_links)
 
 
-@query("source_neighbors", f"""with
-members as (select distinct kind, value, person_id, ord, section from evidence_links where kind = 'source_context'),
-group_sizes as (select kind, value, count(*) as n from members group by 1, 2),
-small as (select m.* from members m join group_sizes g on g.value = m.value where g.n <= 64),
-hits as (
-  select distinct a.person_id as p, c.person_id as q, a.value, a.section from small a join small c on a.value = c.value and a.ord < c.ord
-  where a.section is null or c.section is null or a.section = c.section),
-counted as (select p, q, count(*) as evidence from hits group by 1, 2)
-select 'pair' as row_kind, null as group_kind, null as group_value, least('person:' || p, 'person:' || q) as source_id, greatest('person:' || p, 'person:' || q) as target_id,
-       least(95, 35 + 5 * (evidence - 1)) / 100.0::double as confidence, evidence, null::bigint as members from counted
-union all {GROUP_ROWS.format(kinds="('source_context')")}""")
+@query("parallel_development_for", f"""with {GROUPED}, {FOCUS},
+shared as (
+  select a.person_id as p, c.person_id as q, count(*) as evidence
+  from members a join members c on a.value = c.value and a.person_id < c.person_id where a.kind = 'concept' and c.kind = 'concept'
+    and (a.person_id in (select id from focus) or c.person_id in (select id from focus)) group by 1, 2),
+linked as (select least(person_id, value) as p, greatest(person_id, value) as q from evidence_links where kind in ('explicit_influence', 'advisor', 'student')),
+scored as (
+  select least('person:' || p, 'person:' || q) as source_id, greatest('person:' || p, 'person:' || q) as target_id, least(95, 45 + 5 * (evidence - 1)) as score, evidence
+  from shared where not exists (select 1 from linked l where l.p = shared.p and l.q = shared.q))
+""" + _pairs("scored", "score"))
+def parallel_development_for(b):
+    return rc.parallel_development(b.evidence_links, _focus(b))
+
+
+@query("source_neighbors", f"with {GROUPED}" + GROUP_ROWS.format(kinds="('source_context')"))
 def source_neighbors(b):
     return rc.source_neighbors(b.evidence_links)
 
 
+@query("source_neighbors_for", f"""with {FOCUS},
+members as (select distinct value, person_id, ord, section from evidence_links where kind = 'source_context'),
+hits as (
+  select distinct a.person_id as p, c.person_id as q, a.value, a.section from members a join members c on a.value = c.value and a.ord < c.ord
+  where (a.section is null or c.section is null or a.section = c.section)
+    and (a.person_id in (select id from focus) or c.person_id in (select id from focus))),
+scored as (
+  select least('person:' || p, 'person:' || q) as source_id, greatest('person:' || p, 'person:' || q) as target_id, least(95, 35 + 5 * (count(*) - 1)) as score, count(*) as evidence
+  from hits group by p, q)
+""" + _pairs("scored", "score"))
+def source_neighbors_for(b):
+    return rc.source_neighbors(b.evidence_links, _focus(b))
+
+
 @query("direction_checks", """
 select e.id, array_to_string(list_filter([
    case when e.source = e.target then 'self-link' end, case when s.birth > t.birth + 20 then 'chronology-direction' end,
@@ -186,7 +233,8 @@ def candidate_provenance(b):
                          F.size("claim_ids").cast("long").alias("claims"))
 
 
-DISCOVERY = f"""
+def _discovery(neighbor_pairs: str, chosen: str = "") -> str:
+    return f"""
 live as (select * from claims where status not in ('rejected', 'stale', 'conflicting')),
 stated as (
   select i.id as source, i.target, 'Influence' as type, 680 as x, 3 as strength, null as claim_id, null as url, null as thread_id, 'Metadata explicit influence signal.' as note, 0 as channel, p.pid as ord,
@@ -213,7 +261,7 @@ stated as (
          'Canonical thread gap candidate: ' || t.title || '.', 3, t.tid, p.step
   from thread_pairs p join threads t on t.id = p.thread_id
   where left_id in (select id from people) and right_id in (select id from people)),
-neighbor_pairs as (select distinct least(source, target) as a, greatest(source, target) as b from stated where type = 'Source-context neighbor' and source <> target),
+{neighbor_pairs}
 context as (
   select case when (p.birth, p.pid) <= (q.birth, q.pid) then a else b end as source, case when (p.birth, p.pid) <= (q.birth, q.pid) then b else a end as target,
          'Source-context neighbor' as type, 420 as x, 2 as strength, null as claim_id, null as url, null as thread_id,
@@ -223,7 +271,7 @@ context as (
 keyed as (
   select *, case when type in {NON_DIRECTIONAL} then least(source, target) else source end as key_a,
             case when type in {NON_DIRECTIONAL} then greatest(source, target) else target end as key_b
-  from (select * from stated union all select * from context)),
+  from (select * from stated {chosen} union all select * from context)),
 taken as (
   select distinct type, case when type in {NON_DIRECTIONAL} then least(source, target) else source end as key_a,
          case when type in {NON_DIRECTIONAL} then greatest(source, target) else target end as key_b from edges),
@@ -237,6 +285,15 @@ merged as (
   from evidence group by 1, 2, 3)"""
 
 
+DISCOVERY = _discovery("""neighbor_pairs as (select distinct least(source, target) as a, greatest(source, target) as b from stated where type = 'Source-context neighbor' and source <> target),""")
+#: Everything that touches the chosen people, pairs of mere context included.
+DISCOVERY_FOR = _discovery(f"""{FOCUS},
+neighbor_pairs as (
+  select distinct least(p.id, q.id) as a, greatest(p.id, q.id) as b from people p join people q on p.id <> q.id
+    and (coalesce(p.movement = q.movement, false) or coalesce(p.region = q.region, false)) where p.id in (select id from focus)),""",
+    "where source in (select id from focus) or target in (select id from focus)")
+
+
 @query("missing_edges", f"""with {DISCOVERY}
 select type, source, target, strength, score / 1000.0::double as confidence, evidence, n_claims, n_threads from merged""")
 def missing_edges(b):
@@ -245,6 +302,14 @@ def missing_edges(b):
         "n_threads")
 
 
+@query("missing_edges_for", f"""with {DISCOVERY_FOR}
+select type, source, target, strength, score / 1000.0::double as confidence, evidence, n_claims, n_threads from merged""")
+def missing_edges_for(b):
+    return me.discover(b.people, b.edges, b.claims, b.threads, _focus(b)).select(
+        "type", "source", "target", "strength", "confidence", "evidence", "n_claims",
+        "n_threads")
+
+
 @query("context_groups", """with ctx as (
   select 'movement' as kind, movement as value, birth, pid from people where movement is not null
   union all select 'region', region, birth, pid from people
@@ -255,19 +320,19 @@ def context_groups(b):
     return me.context_groups(b.people_core)
 
 
-@query("context_pairs", """with ctx as (
+@query("context_pairs", f"""with {FOCUS}, ctx as (
   select 'movement' as kind, movement as value, birth, pid, id from people where movement is not null
   union all select 'region', region, birth, pid, id from people),
-sized as (select *, count(*) over (partition by kind, value) as n from ctx),
 hits as (
   select case when a.birth <= b.birth then a.id else b.id end as source, case when a.birth <= b.birth then b.id else a.id end as target, a.kind, a.value
-  from sized a join sized b on a.kind = b.kind and a.value = b.value and a.pid < b.pid and abs(a.birth - b.birth) <= 125 where a.n <= 64)
+  from ctx a join ctx b on a.kind = b.kind and a.value = b.value and a.pid < b.pid and abs(a.birth - b.birth) <= 125
+  where a.id in (select id from focus) or b.id in (select id from focus))
 select source, target, 'Chronology-constrained shared ' || min_by(kind || ': ' || value, kind) || '.' as note from hits group by 1, 2""")
 def context_pairs(b):
-    return me.context_pairs(b.people_core)
+    return me.context_pairs(b.people_core, _focus(b))
 
 
-@query("candidate_validation", f"""with {DISCOVERY},
+VALIDATION = f"""
 attached as (
   select key_a, key_b, e.type, count(c.id) as n_attached, count(*) filter (where c.subject_type = 'Relationship') as n_direct,
          count(*) filter (where c.subject_type = 'Relationship' and c.status not in ('rejected', 'stale', 'conflicting')) as n_usable,
@@ -298,8 +363,20 @@ flagged as (
   from judged)
 select type, source, target, case when invalid then 'discard' when not ev_bad and not rule_bad and coverage > 0 then 'add' else 'auto-investigate' end as recommended_action,
        (case when invalid then score else least(1000, (score + coverage + 1) // 2) end) / 1000.0::double as confidence_score
-from flagged""")
-def candidate_validation(b):
-    rows = me.evidence_rows(b.people, b.edges, b.claims, b.threads)
+from flagged"""
+
+
+def _validated(b, focus=None):
+    rows = me.evidence_rows(b.people, b.edges, b.claims, b.threads, focus)
     found = ev.validate_discovered(b.people_core, me.merge(rows), rows, b.claims, b.now)
     return found.select("type", "source", "target", "recommended_action", "confidence_score")
+
+
+@query("candidate_validation", f"with {DISCOVERY},{VALIDATION}")
+def candidate_validation(b):
+    return _validated(b)
+
+
+@query("candidate_validation_for", f"with {DISCOVERY_FOR},{VALIDATION}")
+def candidate_validation_for(b):
+    return _validated(b, _focus(b))

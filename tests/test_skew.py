@@ -35,33 +35,61 @@ def folk(spark, n=30):
     return people(spark, *[{"id": f"p{i}", "birth": 1800 + (i * 7) % 40} for i in range(n)])
 
 
-def check(limited, full):
-    """Pair rows agree with full expansion; every other pair lies in a group row."""
-    full = {(r.source_id, r.target_id): r for r in full.collect()}
-    rows = limited.collect()
-    pairs = [r for r in rows if r.row_kind == "pair"]
-    assert any(r.row_kind == "group" for r in rows) and pairs
-    for r in pairs:
-        assert (r.confidence, r.evidence) == (full[r.source_id, r.target_id].confidence,
-                                              full[r.source_id, r.target_id].evidence)
-    return set(full) - {(r.source_id, r.target_id) for r in pairs}, rows
-
-
-def test_large_groups_stay_exact(spark):
-    cases = [
-        (rc.collaboration, ["institution", "work"], ()),
-        (rc.influence, ["movement"], (folk(spark),)),
-        (rc.parallel_development, ["concept"], ()),
-        (rc.source_neighbors, ["source_context"], ())]
-    for operator, kinds, extra in cases:
-        table = evidence(spark, kinds)
-        rest, rows = check(operator(table, *extra, max_group=6),
-                           operator(table, *extra, max_group=1000))
+def rows_of(df):
+    return {(r.source_id, r.target_id): (r.confidence, r.evidence) for r in df.collect()
+            if r.row_kind == "pair"}
+
+
+GROUP_CASES = [
+    (rc.collaboration, ["institution", "work"], False), (rc.influence, ["movement"], True),
+    (rc.parallel_development, ["concept"], False), (rc.source_neighbors, ["source_context"], False)]
+
+
+def test_groups_and_chosen_people_agree(spark):
+    """The pairs of all people, chosen by halves, are the pairs of everyone; those that other
+    evidence names are the same in the table-wide rows; groups state the rest."""
+    for operator, kinds, dated in GROUP_CASES:
+        table, extra = evidence(spark, kinds), (folk(spark),) if dated else ()
+        focus = lambda keep: spark.createDataFrame(
+            [(f"p{n}",) for n in range(30) if keep(n)], "id string")
+        full = rows_of(operator(table, *extra, focus=focus(lambda n: True)))
+        some = rows_of(operator(table, *extra, focus=focus(lambda n: n % 4 == 0)))
+        chosen = {f"person:p{n}" for n in range(0, 30, 4)}
+        assert some == {k: v for k, v in full.items() if chosen & set(k)}
+        whole = operator(table, *extra).collect()
+        stated = {(r.source_id, r.target_id): (r.confidence, r.evidence) for r in whole
+                  if r.row_kind == "pair"}
+        assert all(full[k] == v for k, v in stated.items())
         members = {}
         for r in table.filter(F.col("kind").isin(kinds)).collect():
             members.setdefault((r.kind, r.value), set()).add(f"person:{r.person_id}")
-        large = [members[r.group_kind, r.group_value] for r in rows if r.row_kind == "group"]
-        assert all(any({a, b} <= m for m in large) for a, b in rest)
+        groups = {(r.group_kind, r.group_value): (r.members, r.pairs) for r in whole
+                  if r.row_kind == "group"}
+        assert groups == {k: (len(m), len(m) * (len(m) - 1) // 2) for k, m in members.items()}
+        assert all(any({*k} <= m for m in members.values()) for k in set(full) - set(stated))
+
+
+def test_one_form_for_every_group_size(spark):
+    for size in (1, 64, 65, 5000):
+        rows = spark.range(size).select(
+            F.concat(F.lit("p"), "id").alias("person_id"), F.col("id").alias("ord"),
+            F.lit("institution").alias("kind"), F.lit("x").alias("value"),
+            F.lit(None).cast("string").alias("section"))
+        out = rc.collaboration(rows).collect()
+        assert [(r.row_kind, r.members, r.pairs) for r in out] == [
+            ("group", size, size * (size - 1) // 2)]
+        focus = spark.createDataFrame([("p0",)], "id string")
+        assert rc.collaboration(rows, focus).count() == size - 1
+
+
+def test_context_alone_makes_candidates(spark):
+    folk_ = people(spark, *[{"id": i, "birth": y, "region": "R"} for i, y in
+                            (("a", 1800), ("b", 1810), ("c", 1950))])
+    none = (edges(spark).limit(0), claims(spark).limit(0), threads(spark).limit(0))
+    focus = spark.createDataFrame([("a",)], "id string")
+    found = me.discover(folk_, *none, focus=focus).collect()
+    assert [(r.source, r.target, r.type, r.confidence) for r in found] == [
+        ("a", "b", me.NEIGHBOR, .42)]
 
 
 def test_partners_of_chosen_people(spark):
