@@ -21,12 +21,20 @@ FIELD_BY_SEGMENT = {
     "HOUSEHOLD": "Literature", "MACHINERY": "Physics",
 }
 
-# Evidence kinds by line quantity; each is about a fiftieth of the line items.
-LINK_KIND_BY_QUANTITY = {
-    39: "received_work", 40: "named_mention", 41: "citation_target", 42: "explicit_influence",
-    43: "student", 44: "advisor", 45: "correspondent", 46: "coauthor", 47: "source_context",
-    48: "concept", 49: "institution", 50: "work",
-}
+# Evidence kinds, each about a thirteenth of the line items.
+LINK_KINDS = ["received_work", "named_mention", "citation_target", "explicit_influence",
+              "student", "advisor", "correspondent", "coauthor", "source_context", "concept",
+              "institution", "work"]
+#: Every line item is an edge or evidence of one kind, by its quantity.
+ROLES = ["edge", *LINK_KINDS]
+_ROLES_SQL = "[" + ", ".join(f"'{r}'" for r in ROLES) + "]"
+ROLE_SQL = f"{_ROLES_SQL}[cast(l_quantity as int) % {len(ROLES)} + 1]"
+
+
+def role() -> Column:
+    """What a line item stands for."""
+    roles = F.array(*[F.lit(r) for r in ROLES])
+    return F.element_at(roles, (F.col("l_quantity").cast("int") % len(ROLES)) + 1)
 
 
 def _s(value) -> Column:
@@ -91,12 +99,13 @@ class Bindings:
     def people(self) -> DataFrame:
         """People with works and the influence metadata of their line items."""
         title = F.concat(F.lit("Volume "), _s("l_partkey"))
-        works = (self.sales.filter("l_quantity in (50, 42)")
+        works = (self.sales.withColumn("role", role())
+                 .filter("role in ('work', 'explicit_influence')")
                  .groupBy(_s("o_custkey").alias("id"))
                  .agg(F.array_sort(F.collect_set(
-                         F.when(F.col("l_quantity") == 50, title))).alias("works"),
+                         F.when(F.col("role") == "work", title))).alias("works"),
                       F.array_sort(F.collect_set(
-                          F.when(F.col("l_quantity") == 42, _s("l_partkey"))))
+                          F.when(F.col("role") == "explicit_influence", _s("l_partkey"))))
                       .alias("influenced")))
         empty = F.array().cast("array<string>")
         return self.people_core.join(works, "id", "left").withColumns({
@@ -105,7 +114,7 @@ class Bindings:
 
     @cached_property
     def _raw_edges(self) -> DataFrame:
-        lines = (self.table("lineitem").filter("l_quantity <= 2")
+        lines = (self.table("lineitem").filter(role() == "edge")
                  .groupBy("l_orderkey", "l_linenumber")
                  .agg(*[F.min(c).alias(c) for c in
                         ["l_partkey", "l_suppkey", "l_returnflag", "l_linestatus",
@@ -214,9 +223,7 @@ class Bindings:
     @cached_property
     def evidence_links(self) -> DataFrame:
         """(person_id, kind, value, section) evidence rows, one per typed line item."""
-        kinds = F.create_map(*[x for q, k in LINK_KIND_BY_QUANTITY.items()
-                               for x in (F.lit(q), F.lit(k))])
-        kind = kinds[F.col("l_quantity").cast("int")]
+        kind = role()
         value = (F.when(kind == "work", F.concat(F.lit("Volume "), _s("l_partkey")))
                  .when(kind == "institution", F.concat(F.lit("Institute "), _s("l_suppkey")))
                  .when(kind == "concept", F.concat(F.lit("Concept "), _s("l_suppkey")))
@@ -224,7 +231,7 @@ class Bindings:
                  .otherwise(_s("l_partkey")))
         section = F.when((kind == "source_context") & (F.col("l_linenumber") % 3 != 0),
                          F.concat(F.lit("s"), _s(F.col("l_linenumber") % 3)))
-        return (self.sales.filter("l_quantity between 39 and 50")
+        return (self.sales.filter(role() != "edge")
                 .select(_s("o_custkey").alias("person_id"), F.col("o_custkey").alias("ord"),
                         kind.alias("kind"), value.alias("value"), section.alias("section"))
                 .distinct())
@@ -297,17 +304,17 @@ people as (
 person_fields as (
   select id, pid, 1 as pos, field1 as field from people
   union all select id, pid, 2, field2 from people),
-sales as (select * from lineitem join orders on o_orderkey = l_orderkey),
+sales as (select *, $ROLE as role from lineitem join orders on o_orderkey = l_orderkey),
 person_works as (
   select distinct cast(o_custkey as varchar) as id, 'Volume ' || cast(l_partkey as varchar) as title
-  from sales where l_quantity = 50),
+  from sales where role = 'work'),
 person_influenced as (
   select distinct cast(o_custkey as varchar) as id, cast(l_partkey as varchar) as target
-  from sales where l_quantity = 42),
+  from sales where role = 'explicit_influence'),
 edge_lines as (
   select l_orderkey, l_linenumber, min(l_partkey) as l_partkey, min(l_suppkey) as l_suppkey,
          min(l_returnflag) as l_returnflag, min(l_linestatus) as l_linestatus, min(l_discount) as l_discount
-  from lineitem where l_quantity <= 2 group by 1, 2),
+  from lineitem where $ROLE = 'edge' group by 1, 2),
 raw_edges as (
   select l_orderkey, l_partkey, l_suppkey, l_orderkey * 10 + l_linenumber as eid0, o_custkey as s0, l_partkey as t0,
          case when l_returnflag = 'A' then 'Influence' when l_returnflag = 'R' then 'Mentorship'
@@ -386,15 +393,12 @@ threads as (
   from orders),
 evidence_links as (
   select distinct cast(o_custkey as varchar) as person_id, o_custkey as ord,
-    case cast(l_quantity as int) when 39 then 'received_work' when 40 then 'named_mention' when 41 then 'citation_target'
-      when 42 then 'explicit_influence' when 43 then 'student' when 44 then 'advisor' when 45 then 'correspondent'
-      when 46 then 'coauthor' when 47 then 'source_context' when 48 then 'concept' when 49 then 'institution'
-      when 50 then 'work' end as kind,
-    case cast(l_quantity as int) when 50 then 'Volume ' || cast(l_partkey as varchar)
-      when 49 then 'Institute ' || cast(l_suppkey as varchar) when 48 then 'Concept ' || cast(l_suppkey as varchar)
-      when 47 then 'src' || cast(l_suppkey as varchar) else cast(l_partkey as varchar) end as value,
-    case when l_quantity = 47 and l_linenumber % 3 <> 0 then 's' || cast(l_linenumber % 3 as varchar) end as section
-  from sales where l_quantity between 39 and 50),
+    role as kind,
+    case role when 'work' then 'Volume ' || cast(l_partkey as varchar)
+      when 'institution' then 'Institute ' || cast(l_suppkey as varchar) when 'concept' then 'Concept ' || cast(l_suppkey as varchar)
+      when 'source_context' then 'src' || cast(l_suppkey as varchar) else cast(l_partkey as varchar) end as value,
+    case when role = 'source_context' and l_linenumber % 3 <> 0 then 's' || cast(l_linenumber % 3 as varchar) end as section
+  from sales where role <> 'edge'),
 candidates as (
   select s_suppkey as ord, 'q' || cast(s_suppkey as varchar) as id,
          p_name || case when s_suppkey % 2 = 0 then ' ' else ' x' end || cast((s_suppkey * 3) % 400 as varchar) as name,
@@ -410,7 +414,7 @@ candidates as (
          'https://data.example.org/Q' || cast(s_suppkey * 17 as varchar) as source_url,
          case when s_suppkey % 2 = 1 then 'https://en.example.org/' || cast(s_suppkey as varchar) end as wikipedia_url
   from supplier join part on p_partkey = s_suppkey * 3 join nation on n_nationkey = s_nationkey)
-"""
+""".replace("$ROLE", ROLE_SQL)
 
 
 def sql_with_bindings(sql: str) -> str:
