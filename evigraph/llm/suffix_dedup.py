@@ -139,15 +139,13 @@ class Family:
 def _runs(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
     """Suffix arrays of runs of texts, cut into parts."""
     held: list[np.ndarray] = []
-    size = turn = 0
+    size = 0
 
     def flush() -> pa.RecordBatch:
         array, repeated, contested = suffix_array(np.concatenate(held))
-        rows = list(_slices(array, "k", SUFFIXES, parts))
-        for kind, spans in ((REPEATED, repeated), (CONTESTED, contested)):
-            if len(spans):
-                rows.append(((turn * 2 + kind) % parts, kind, pack(spans)))
-        return _sent(rows)
+        return _sent([row for rows, kind in (
+            (array, SUFFIXES), (repeated, REPEATED), (contested, CONTESTED))
+            for row in _slices(rows, "k", kind, parts)])
 
     for batch in batches:
         ids = batch.column(0).to_numpy()
@@ -159,7 +157,7 @@ def _runs(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBa
             size += len(data)
             if size >= RUN_BYTES:
                 yield flush()
-                held, size, turn = [], 0, turn + 1
+                held, size = [], 0
     if held:
         yield flush()
 
@@ -219,7 +217,6 @@ def _joined(w: np.ndarray) -> np.ndarray:
 def _contexts(batches: Iterator[pa.RecordBatch], parts: int, length: int) -> Iterator[pa.RecordBatch]:
     """Texts with their contested contexts: the bytes of each to the part of its gram, or
     single windows to the part of their hash."""
-    turn = 0
     for batch in batches:
         spans, pieces, hot_flags = [], [], []
         for row, text, contexts in zip(*(c.to_pylist() for c in batch.columns)):
@@ -245,8 +242,7 @@ def _contexts(batches: Iterator[pa.RecordBatch], parts: int, length: int) -> Ite
             first, rest = _firsts(_windows(data, np.cumsum(sizes) - sizes, rows[some], length))
             out += _slices(first, "h", WINDOWS, parts)
             if len(rest):
-                out.append((turn % parts, REPEATED, pack(_joined(rest))))
-        turn += 1
+                out.append((int(rest["h"][-1] % np.uint64(parts)), REPEATED, pack(_joined(rest))))
         yield _sent(out)
 
 
