@@ -18,7 +18,9 @@ HEADLINE = [
     "candidate_duplicates", "duplicate_pairs", "person_linkage", "collaboration", "influence",
     "missing_edges", "candidate_suggestions", "reachable_depths", "contemporaries",
     "field_peers", "era_peers", "thread_gaps", "thread_junctions", "claim_changelog",
-    "apply_repairs", "merge_edges", "coauthors", "text_keys",
+    "apply_repairs", "merge_edges", "coauthors", "text_keys", "roster_match", "near_misses",
+    "merged_duplicates", "candidate_validation", "shortest_path", "link_suggestions",
+    "collaboration_for", "influence_for", "missing_edges_for",
 ]
 
 
