@@ -128,7 +128,7 @@ def lookup_docs(b):
 
 @query("curated_entries", """
 select 'e' || cast(doc_id as varchar) as source_id, 'Subject ' || lang as label, case when doc_id % 2 = 0 then 'Person' else 'Concept' end as entity_type,
-  case when doc_id % 3 = 0 then 0.85 else 0.75 end::double as confidence from documents where contains(lower(source), 'web') or contains(lower('Subject ' || lang), 'web')""")
+  case when doc_id % 3 = 0 then 0.85 else 0.75 end::double as confidence from documents where contains(lower(source), 'src1') or contains(lower('Subject ' || lang), 'src1')""")
 def curated_entries(b):
     n = F.col("doc_id")
     entries = b.table("documents").select(
@@ -142,7 +142,7 @@ def curated_entries(b):
         F.array(F.struct(F.concat(F.lit("Subject "), "lang").alias("label"), F.when(
             n % 2 == 0, "Relationship").otherwise("Concept").alias("entity_type")))
         .alias("subjects"))
-    return dumps.curated_entries(entries, "Web").records.select(
+    return dumps.curated_entries(entries, "Src1").records.select(
         "source_id", "label", "entity_type", "confidence")
 
 

@@ -318,10 +318,17 @@ def import_queue_growth(b):
     return ln.enqueue(rows.filter("ord % 2 = 0"), rows.unionByName(rows)).select("candidate_id")
 
 
-@query("acceptable_imports", f"""with {FIRST_DUPLICATE}
+NAME_DUPLICATE = FIRST_DUPLICATE[:FIRST_DUPLICATE.index("  union select c.id, p.pid from candidates c join name_key p on abs(")] + """),
+dupes as (select cid as candidate_id, min(pid) as duplicate_id from hits group by cid)"""
+
+
+@query("acceptable_imports", f"""with {NAME_DUPLICATE}
 select id, {CONFIDENCE} as confidence from candidates where birth is not null and {CONFIDENCE} >= 30 and id not in (select candidate_id from dupes)""")
 def acceptable_imports(b):
-    dupes = ln.first_duplicate(b.candidates, b.people)
+    # Without dates of death and works only names and addresses make duplicates.
+    undated = b.candidates.withColumns({
+        "death": F.lit(None).cast("int"), "works": F.array().cast("array<string>")})
+    dupes = ln.first_duplicate(undated, b.people)
     return ln.acceptable(b.candidates, dupes, _confidence(), 30).select("id", "confidence")
 
 
