@@ -47,9 +47,16 @@ def canonical_key(source="source", target="target", kind="type") -> Column:
                   ).otherwise(F.concat(low, F.lit("<->"), high, F.lit(":"), kind))
 
 
+def _last(df: DataFrame, columns: list[str]) -> DataFrame:
+    """One row per id: the last by ``ord``, or the greatest where there is no order."""
+    order = F.col("ord") if "ord" in df.columns else F.struct(*columns)
+    kept = df.groupBy("id").agg(F.max_by(F.struct(*columns), order).alias("_last"))
+    return kept.select("id", *[F.col("_last")[c].alias(c) for c in columns])
+
+
 def structure(people: DataFrame, edges: DataFrame) -> DataFrame:
     """Endpoint, self-link, chronology, duplicate and type checks for each edge."""
-    births = people.select("id", F.col("birth"))
+    births = _last(people, ["birth"])
     source, target = F.col("source"), F.col("target")
     keyed = edges.withColumns({"_low": F.least(source, target),
                                "_high": F.greatest(source, target)})
@@ -106,8 +113,8 @@ def claim_support(edges: DataFrame, claims: DataFrame, now: Column, texts: bool
     stale = F.coalesce(F.col("status") == "stale", F.lit(False)) | (
         F.coalesce(recency_days(F.col("observed_at"), now), F.lit(0)) > 3650)
     words = F.concat_ws(" ", *[F.nullif(c, F.lit("")) for c in ["field", "value", "source_name"]])
-    dated = claims.select(F.col("id").alias("_claim"), "subject_type", "status",
-                          stale.alias("_old"), words.alias("_text"))
+    dated = _last(claims.withColumns({"_old": stale, "_text": words}),
+                  ["subject_type", "status", "_old", "_text"]).withColumnRenamed("id", "_claim")
     direct = F.col("subject_type") == "Relationship"
     columns = [
         F.count("subject_type").alias("n_attached"),

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from evigraph.functions import taxonomy as tax
 from evigraph.functions import text as tx
+from evigraph.operators import edge_validation as ev
 from evigraph.operators import linkage as ln
 from evigraph.operators import traversal as tr
 from evigraph.sources import dumps, files
@@ -70,3 +71,14 @@ def test_reports_round_trip(spark, tmp_path):
     files.write_json({"report": report}, str(tmp_path))
     back = spark.read.schema(report.schema).json(f"{tmp_path}/report")
     assert sorted(map(tuple, back.collect())) == [("e1", "missing-target"), ("e2", None)]
+
+
+def test_repeated_ids_count_once(spark):
+    from tests.fixtures import claims, edges, people
+
+    folk = people(spark, {"id": "a", "birth": 1800}, {"id": "a", "birth": 1810}, {"id": "b", "birth": 1820})
+    links = edges(spark, {"source": "a", "target": "b", "claim_ids": ["k"]})
+    assert ev.structure(folk, links).count() == 1
+    twice = claims(spark, {"id": "k"}, {"id": "k"})
+    support = ev.claim_support(links, twice, F.lit("2026-01-01").cast("timestamp")).collect()
+    assert [r.n_attached for r in support] == [1]
