@@ -20,6 +20,11 @@ GRAM, SPREAD = 3, 3
 FITS, DIFFERS, GAP = 2, -1, -1
 #: Share of an item's best possible score from which a document counts as contaminated.
 MIN_SCORE = 0.5
+#: So many words in a row count however long the item is. A fault among them costs FAULT, so
+#: each asks for four more words; some five in a row are then unchanged and hold a seed.
+LONG_WORDS, FAULT = 13, -8
+#: Items too short for half of them to mean anything: so many words must fit, or WHOLE of all.
+SHORT_WORDS, WHOLE = 7, 0.9
 #: Words around the place a seed points to, as a share of the item, that are aligned too.
 SLACK = 0.5
 #: Items searched for in one pass; their text is what each task holds.
@@ -116,19 +121,20 @@ class Items:
         self._mark()
 
 
-def align(doc: np.ndarray, item: np.ndarray) -> tuple[int, int, int]:
+def align(doc: np.ndarray, item: np.ndarray, differs: int = DIFFERS,
+          gap_cost: int = GAP) -> tuple[int, int, int]:
     """Smith-Waterman over words: best score, and the words of ``doc`` it spans.
 
     Rows follow the item. Gaps along the document are a running maximum of the row, because
     their cost is linear."""
     n = len(doc)
-    ramp = GAP * np.arange(n + 1)
+    ramp = gap_cost * np.arange(n + 1)
     score, begin = np.zeros(n + 1, np.int64), np.arange(n + 1)
     best, best_from, best_to = 0, 0, 0
     columns = np.arange(n + 1)
     for w in item:
-        step = np.where(doc == w, FITS, DIFFERS)
-        diagonal, above = score[:-1] + step, score[1:] + GAP
+        step = np.where(doc == w, FITS, differs)
+        diagonal, above = score[:-1] + step, score[1:] + gap_cost
         up = above > diagonal
         row = np.concatenate(([0], np.where(up, above, diagonal)))
         start = np.concatenate(([0], np.where(up, begin[1:], begin[:-1])))
@@ -147,6 +153,19 @@ def align(doc: np.ndarray, item: np.ndarray) -> tuple[int, int, int]:
     return best, best_from, best_to
 
 
+def enough(size: int, min_score: float = MIN_SCORE) -> float:
+    """The score from which an item of ``size`` words counts as found."""
+    full = FITS * size
+    return max(min_score * full, min(WHOLE * full, FITS * SHORT_WORDS))
+
+
+def long_passage(doc: np.ndarray, item: np.ndarray, score: int) -> bool:
+    """Whether LONG_WORDS words or more fit densely; ``score`` is that of ``align``, which
+    is never below the dense one."""
+    least = FITS * LONG_WORDS
+    return score >= least and align(doc, item, FAULT, FAULT)[0] >= least
+
+
 def _regions(at: np.ndarray, size: int, low: int, high: int) -> Iterator[tuple[int, int]]:
     """Stretches of a document's words around the places where an item would begin."""
     slack = math.ceil(SLACK * size) + 2
@@ -204,7 +223,7 @@ def _document_counts(docs: DataFrame, items: Items) -> dict[int, int]:
 
 def _search(known: Items, batch: pa.RecordBatch, column: int,
             min_score: float) -> Iterator[tuple[int, int, float, int, int]]:
-    """Row, item, score, first and last word of the pairs of a batch that score enough."""
+    """Row, item, score, first and last word of the contaminated pairs of a batch."""
     for first, _, data, starts in text_steps(batch, column):
         words, text = words_of(data, starts)
         hashes, whole = grams_of(words, text, known.n)
@@ -223,14 +242,15 @@ def _search(known: Items, batch: pa.RecordBatch, column: int,
         for group in np.split(np.arange(len(at)), change) if len(at) else ():
             which, doc = int(item[group[0]]), int(text[at[group[0]]])
             target, base = known.words[which], int(bounds[doc])
-            best = (0, 0, 0)
+            best, limit, found = (0, 0, 0), enough(len(target), min_score), False
             for a, b in _regions(at[group] - known.place[seed[group]], len(target), base,
                                  int(bounds[doc + 1])):
                 score, x, y = align(words[a:b], target)
+                found = found or score >= limit or long_passage(words[a:b], target, score)
                 if score > best[0]:
                     best = (score, a + x - base, a + y - base)
-            share = best[0] / (FITS * len(target))
-            if share >= min_score:
+            if found:
+                share = best[0] / (FITS * len(target))
                 yield first + doc, which, share, int(best[1]), int(best[2]) - 1
 
 
@@ -260,6 +280,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_S
     neighbours in the item by the number of documents that hold it, counted over all
     documents. The score is the best local alignment of the item's words with the
     document's, as a share of the score of a full copy; the words are those it spans.
+    A pair is contaminated if that share is ``min_score`` or more, with SHORT_WORDS words
+    or nearly all of a shorter item, or if LONG_WORDS words fit densely, whatever the share.
 
     The documents are read twice for each block of BLOCK_ITEMS items and never shuffled;
     only a block of items is broadcast. Items of fewer words than a seed, null and empty

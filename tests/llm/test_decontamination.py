@@ -93,3 +93,46 @@ def test_odd(spark, odd, none):
     assert dc.contaminated(odd, bench.limit(0)).count() == 0
     assert dc.clean(odd, bench.limit(0)).count() == odd.count()
     assert dc.clean(odd, bench).columns == odd.columns
+
+
+def dense(doc, item):
+    """The most points of a stretch, faults at FAULT, cell by cell."""
+    best, row = 0, [0] * (len(doc) + 1)
+    for w in item:
+        new = [0]
+        for j, v in enumerate(doc, 1):
+            new.append(max(0, row[j - 1] + (dc.FITS if v == w else dc.FAULT),
+                           row[j] + dc.FAULT, new[j - 1] + dc.FAULT))
+            best = max(best, new[j])
+        row = new
+    return best
+
+
+def test_long_passages_and_short_items(spark):
+    """Partial quotes of long items count, a few words of short ones do not."""
+    rng = np.random.default_rng(5)
+    vocabulary = [f"w{i}" for i in range(4000)]
+    long = {1: rng.choice(vocabulary, 59).tolist(), 2: rng.choice(vocabulary, 1000).tolist()}
+    short = {k: f"what is the {' '.join(f'k{k}x{i}' for i in range(k - 3))}".split() for k in range(3, 15)}
+    noise = lambda n: rng.choice(vocabulary, n).tolist()
+    docs = [noise(20) + long[1][10:35] + noise(20), noise(20) + long[2][300:700] + noise(5),
+            noise(9) + long[2][5:17] + noise(9), noise(9) + long[2][5:18] + noise(9),
+            ["what", "is", "the"] + noise(9), noise(100)]
+    for gap in (5, 6, 9):
+        docs.append([v if i % gap else "other" for i, v in enumerate(long[2][200:400])])
+    for k, item in short.items():
+        docs += [noise(5) + item[:n] + noise(5) for n in range(3, k + 1)]
+    items = long | {100 + k: v for k, v in short.items()}
+    got = {(r.doc_id, r.item_id) for r in dc.contaminated(
+        spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string"),
+        spark.createDataFrame([(k, " ".join(v)) for k, v in items.items()], "item_id long, text string"),
+    ).collect()}
+    want = set()
+    for i, doc in enumerate(docs):
+        for k, item in items.items():
+            full, score = dc.FITS * len(item), plain_align(doc, item)
+            if score >= max(full / 2, min(0.9 * full, 14)) or score >= 26 and dense(doc, item) >= 26:
+                want.add((i, k))
+    assert got == want
+    assert {(0, 1), (1, 2), (3, 2), (7, 2), (8, 2)} <= got and (2, 2) not in got
+    assert {k for i, k in got if i == 4} == {103}
