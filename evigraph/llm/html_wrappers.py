@@ -30,8 +30,9 @@ FURNITURE = re.compile(
     r"pager|tags|toc|copyright|complementary|contentinfo|navigation|search|hidden)(?:$|[.#@ _-])")
 MAIN = re.compile(r"^(?:article|main)\b|@main\b|[.#](?:article|post|entry|story|main)?-?"
                   r"(?:content|body|text|article)\b")
-#: Pages of a host from which a text that never changes counts as part of the template.
-CONSTANT_PAGES = 12
+#: A text that never changes is part of the template if it is on this share of a host's
+#: distinct pages, copies counted once. Fewer pages than CONSTANT_PAGES tell nothing.
+NEARLY_ALL, CONSTANT_PAGES = 0.95, 12
 #: First-level groups a hot host's wrappers are merged in.
 SALTS = 32
 #: Wrappers of all hosts up to this size are broadcast; beyond it pages are joined to them.
@@ -127,13 +128,22 @@ def merge(wrappers: Iterator[list]) -> list:
 
 
 class Reader:
-    """A finished wrapper: which of its entries hold the main text."""
+    """A finished wrapper: which of its entries hold the main text. ``template`` has the
+    numbers, in the order of the wrapper, of the texts that belong to the template."""
 
-    def __init__(self, wrapper: list):
+    def __init__(self, wrapper: list, template: list[int] | None = None):
         self.pages, self.entries = wrapper
+        self.template = frozenset(template or ())
+        self.number: dict[int, int] = {}
+        self._count(self.entries)
         self.main = self._has_main(self.entries, False)
         self.varied = self._has_slot(self.entries, not self.main)
 
+    def _count(self, entries: list) -> None:
+        for e in entries:
+            self.number[id(e)] = len(self.number)
+            self._count(e[ENTRIES])
+
     def _has_main(self, entries: list, out: bool) -> bool:
         return any(not is_furniture(e[LABEL]) and (
             bool(MAIN.search(e[LABEL])) or self._has_main(e[ENTRIES], out)) for e in entries)
@@ -148,25 +158,35 @@ class Reader:
                 return True
         return False
 
-    def _template(self, entry: list) -> bool:
-        return (entry[CONSTANT] is not None and not entry[REPEATED] and self.varied
-                and self.pages >= CONSTANT_PAGES and entry[COUNT] >= CONSTANT_PAGES)
+    def _constant(self, entry: list) -> bool:
+        return entry[CONSTANT] is not None and not entry[REPEATED] and self.varied
 
-    def blocks(self, nodes: list, entries: list, inside: bool, main: bool) -> Iterator[str]:
-        """The texts of a page's nodes that the wrapper's entries keep, in page order."""
+    def texts(self, nodes: list, entries: list, inside: bool,
+              main: bool) -> Iterator[tuple[str, int | None]]:
+        """The texts of a page's main part in page order, each with the number of its entry
+        if the wrapper has it as constant."""
         for node, place in zip(nodes, places(entries, [n[0] for n in nodes])):
             entry = entries[place] if place is not None else None
             if node[0] == TEXT:
-                if inside and not (entry and self._template(entry)):
-                    yield node[1]
+                if inside:
+                    yield node[1], (self.number[id(entry)] if entry and self._constant(entry)
+                                    else None)
             elif not is_furniture(node[0]) and not (
                     node[0].startswith("header") and not inside):
                 own = inside or main and bool(MAIN.search(node[0]))
-                yield from self.blocks(node[1], entry[ENTRIES] if entry else [], own, main)
+                yield from self.texts(node[1], entry[ENTRIES] if entry else [], own, main)
 
-    def read(self, tree: list) -> str:
+    def _main_texts(self, tree: list) -> Iterator[tuple[str, int | None]]:
         main = self.main and self._page_has_main(tree[1])
-        return "\n".join(self.blocks(tree[1], self.entries, not main, main))
+        return self.texts(tree[1], self.entries, not main, main)
+
+    def constants(self, tree: list) -> set[int]:
+        """The constant texts that the page's main part holds."""
+        return {number for _, number in self._main_texts(tree) if number is not None}
+
+    def read(self, tree: list) -> str:
+        return "\n".join(text for text, number in self._main_texts(tree)
+                         if number not in self.template)
 
     def _page_has_main(self, nodes: list) -> bool:
         return any(n[0] != TEXT and not is_furniture(n[0]) and (
@@ -208,42 +228,22 @@ def wrappers(pages: DataFrame) -> DataFrame:
     return salted.applyInArrow(joined, schema).groupBy("host").applyInArrow(joined, schema)
 
 
-def main_texts(pages: DataFrame) -> DataFrame:
-    """page_id, url, text and n_chars of every page.
-
-    The text is what the wrapper of the page's host marks as the article: inside article or
-    main elements where the host has them, without navigation, headers, footers, asides,
-    forms, adverts, notices and comments, and without texts that never change on a host of
-    at least CONSTANT_PAGES pages. Blocks keep the page's order, one per line; br starts a
-    new one. Nothing is cut short.
-
-    A null or empty page has an empty text; broken markup is read as far as it makes
-    sense; a page without a host shares one wrapper with others like it; repeated rows get
-    equal results; an empty table gives no rows; other columns are not read.
-    """
-    pages = with_host(pages).select("page_id", "url", "html", "host")
-    found = stored(wrappers(pages))
+def each_page(pages: DataFrame, found: DataFrame, rows, schema: str) -> DataFrame:
+    """``rows(batch, reader)`` of all pages with the readers of their hosts; ``found`` has
+    host, wrapper and template. Wrappers are broadcast up to BROADCAST_BYTES, else joined."""
     size = found.agg(F.sum(F.octet_length("wrapper"))).first()[0] or 0
-    schema = "page_id long, url string, text string, n_chars long"
-
-    def rows(batch: pa.RecordBatch, reader) -> pa.RecordBatch:
-        texts = [reader(i).read(parse(page.as_py() or "", is_furniture))
-                 for i, page in enumerate(batch.column(2))]
-        return pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(texts, pa.string()),
-             pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
-
-    columns = [F.col("page_id").cast("long").alias("page_id"), "url", "html", "host"]
+    columns = [F.col("page_id").cast("long").alias("page_id"), "url", "html", "host", "copy"]
     if size <= BROADCAST_BYTES:
         known = pages.sparkSession.sparkContext.broadcast(
-            {r["host"]: r["wrapper"] for r in found.collect()})
+            {r["host"]: (r["wrapper"], r["template"]) for r in found.collect()})
 
         def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             readers: dict[str, Reader] = {}
             for batch in batches:
                 hosts = batch.column(3).to_pylist()
                 for h in set(hosts).difference(readers):
-                    readers[h] = Reader(json.loads(known.value[h]))
+                    wrapper, template = known.value[h]
+                    readers[h] = Reader(json.loads(wrapper), template)
                 yield rows(batch, lambda i: readers[hosts[i]])
 
         return mapped(pages.select(*columns), read, schema)
@@ -252,12 +252,61 @@ def main_texts(pages: DataFrame) -> DataFrame:
         held, reader = None, None
         for batch in batches:
             hosts, made = batch.column(3).to_pylist(), {}
-            for h, w in zip(hosts, batch.column(4)):
+            for h, w, t in zip(hosts, batch.column(5), batch.column(6)):
                 if h not in made:
                     if h != held:
-                        held, reader = h, Reader(json.loads(w.as_py()))
+                        held, reader = h, Reader(json.loads(w.as_py()), t.as_py())
                     made[h] = reader
             yield rows(batch, lambda i: made[hosts[i]])
 
     return mapped(pages.select(*columns).join(found, "host").select(
-        "page_id", "url", "html", "host", "wrapper"), read_joined, schema)
+        "page_id", "url", "html", "host", "copy", "wrapper", "template"), read_joined, schema)
+
+
+def templates(pages: DataFrame, found: DataFrame) -> DataFrame:
+    """host and template, the numbers of the constant texts on nearly all distinct pages."""
+
+    def rows(batch: pa.RecordBatch, reader) -> pa.RecordBatch:
+        hosts, copies = batch.column(3).to_pylist(), batch.column(4).to_pylist()
+        out = {(hosts[i], n, copies[i]) for i, page in enumerate(batch.column(2))
+               for n in (-1, *reader(i).constants(parse(page.as_py() or "", is_furniture)))}
+        columns = list(zip(*out)) or [()] * 3
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int64()))],
+            ["host", "number", "copy"])
+
+    seen = stored(each_page(pages, found, rows, "host string, number int, copy long").distinct()
+                  .groupBy("host", "number").agg(F.count("*").alias("n")))
+    whole = seen.where("number = -1").select("host", F.col("n").alias("of"))
+    return seen.where("number >= 0").join(whole, "host").where(
+        (F.col("of") >= CONSTANT_PAGES) & (F.col("n") >= NEARLY_ALL * F.col("of"))).groupBy(
+        "host").agg(F.collect_list("number").alias("template"))
+
+
+def main_texts(pages: DataFrame) -> DataFrame:
+    """page_id, url, text and n_chars of every page.
+
+    The text is what the wrapper of the page's host marks as the article: inside article or
+    main elements where the host has them, without navigation, headers, footers, asides,
+    forms, adverts, notices and comments, and without texts that never change and are on nearly
+    all of at least CONSTANT_PAGES distinct pages of the host. Blocks keep the page's order, one per line; br starts a
+    new one. Nothing is cut short.
+
+    A null or empty page has an empty text; broken markup is read as far as it makes
+    sense; a page without a host shares one wrapper with others like it; repeated rows get
+    equal results; an empty table gives no rows; other columns are not read.
+    """
+    pages = with_host(pages).select("page_id", "url", "html", "host",
+                                    F.xxhash64("html").alias("copy"))
+    found = stored(wrappers(pages))
+    bare = found.withColumn("template", F.lit(None).cast("array<int>"))
+    found = stored(found.join(templates(pages, bare), "host", "left"))
+
+    def rows(batch: pa.RecordBatch, reader) -> pa.RecordBatch:
+        texts = [reader(i).read(parse(page.as_py() or "", is_furniture))
+                 for i, page in enumerate(batch.column(2))]
+        return pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), pa.array(texts, pa.string()),
+             pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
+
+    return each_page(pages, found, rows, "page_id long, url string, text string, n_chars long")

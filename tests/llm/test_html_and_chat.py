@@ -45,6 +45,21 @@ def test_furniture_and_template(spark):
         assert got[i] == "\n".join(want)
 
 
+def test_copies_of_a_page_keep_their_text(spark):
+    """What only some pages or copies hold is article text, however many rows there are."""
+    quoted = "<article><h1>Q</h1><pre>code</pre><h2 id='references'>References</h2></article>"
+    rows = []
+    for copies in (11, 12, 1000):
+        host = f"http://h{copies}.example/"
+        rows += [(i, host, quoted) for i in range(copies)]
+        rows += [(5000 + i, host, f"<article><h1>T{i}</h1><p>text {i}</p></article>") for i in range(40)]
+        rows += [(9000, f"http://only{copies}.example/", quoted)] * copies
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for r in html_wrappers.main_texts(df).collect():
+        i = r.page_id - 5000
+        assert r.text == (f"T{i}\ntext {i}" if 0 <= i < 40 else "Q\ncode\nReferences")
+
+
 def test_wrapper_shape():
     """Optional, repeated and grouped entries, and slots, from a few streams."""
     streams = ["<div><h2>a</h2><p>1</p><p>2</p><h2>b</h2><p>3</p></div>",
