@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evigraph.llm.common import mapped, ship, stored
+from evigraph.llm.common import groups_of, mapped, ship, stored
 
 #: Vectors of one tree; a cell of more is several shards.
 SHARD_ROWS = 8192
@@ -236,7 +236,7 @@ def top_k(embeddings: DataFrame, k: int = 10, every: int = 100, scale: int = 102
                           shard_rows))
 
     def home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard, part in _shards(batches):
+        for shard, part in groups_of(batches):
             yield _home(shard, part, k, every)
 
     first = stored(mapped(
@@ -272,24 +272,6 @@ def top_k(embeddings: DataFrame, k: int = 10, every: int = 100, scale: int = 102
     return once.unionByName(again.select("query_id", "rank", "vec_id", "score"))
 
 
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.Table]]:
-    """Whole shards of a sorted stream whose first column names them."""
-    held: list[pa.RecordBatch] = []
-    name = None
-    for batch in batches:
-        names = np.asarray(batch.column(0).to_pylist(), object)
-        cuts = [0, *(np.flatnonzero(names[1:] != names[:-1]) + 1).tolist(), len(names)]
-        for a, b in zip(cuts, cuts[1:]):
-            if b > a:
-                if held and names[a] != name:
-                    yield name, pa.Table.from_batches(held)
-                    held = []
-                name = names[a]
-                held.append(batch.slice(a, b - a))
-    if held:
-        yield name, pa.Table.from_batches(held)
-
-
 def _home(shard: str, part: pa.Table, k: int, every: int) -> pa.RecordBatch:
     """The shard's ball, and the answers of its tree to its own queries."""
     (_, points), = by_length(part.column("v"))

@@ -96,7 +96,19 @@ def text_steps(batch: pa.RecordBatch, column: int = 0,
         first = last
 
 
-def rebatched(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One batch of many small ones."""
-    if rows:
-        yield from pa.Table.from_batches(rows).combine_chunks().to_batches()
+def groups_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, pa.Table]]:
+    """The groups of a stream that is sorted by its first column, whole, with their names."""
+    held: list[pa.RecordBatch] = []
+    name = None
+    for batch in batches:
+        names = np.asarray(batch.column(0).to_pylist(), object)
+        cuts = [0, *(np.flatnonzero(names[1:] != names[:-1]) + 1).tolist(), len(names)]
+        for a, b in zip(cuts, cuts[1:]):
+            if b > a:
+                if held and names[a] != name:
+                    yield name, pa.Table.from_batches(held)
+                    held = []
+                name = names[a]
+                held.append(batch.slice(a, b - a))
+    if held:
+        yield name, pa.Table.from_batches(held)

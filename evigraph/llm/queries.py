@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from evigraph.llm import (
-    ball_search, chat_format, decontamination, html_wrappers, language_id, packing,
+    ball_search, chat_format, decontamination, html_wrappers, language_id, packing, prefix_trie,
     quality_classifier, quality_rules, sharding, simhash, suffix_dedup,
 )
 from evigraph.llm.common import table
@@ -67,12 +67,17 @@ def op11_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ball_search.top_k(table(spark, sf_dir, "embeddings"), k=10, every=100)
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.nodes(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
         op1_quality, op2_sharding, op3_simhash, op4_packing, op5_html_wrappers, op6_decontamination,
         op7_suffix_dedup, op8_chat_rotation, op9_language_id,
-        op10_line_frequency, op11_ball_tree)}
+        op10_line_frequency, op11_ball_tree, op12_prefix_trie)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_chat_rotation": chat_format.SQL, "op11_ball_tree": ball_search.SQL}
+    return {"op8_chat_rotation": chat_format.SQL, "op11_ball_tree": ball_search.SQL,
+            "op12_prefix_trie": prefix_trie.SQL}
