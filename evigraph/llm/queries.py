@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from evigraph.llm import (
     ball_search, chat_format, decontamination, html_wrappers, language_id, packing, prefix_trie,
-    quality_classifier, quality_rules, sharding, simhash, suffix_dedup,
+    quality_classifier, quality_rules, sharding, simhash, structure_repair, suffix_dedup,
 )
 from evigraph.llm.common import table
 
@@ -71,13 +71,20 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.nodes(table(spark, sf_dir, "conversations"))
 
 
+def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return structure_repair.audited(structure_repair.damaged(turns), turns)
+
+
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
         op1_quality, op2_sharding, op3_simhash, op4_packing, op5_html_wrappers, op6_decontamination,
         op7_suffix_dedup, op8_chat_rotation, op9_language_id,
-        op10_line_frequency, op11_ball_tree, op12_prefix_trie)}
+        op10_line_frequency, op11_ball_tree, op12_prefix_trie,
+        op13_structure_repair)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {"op8_chat_rotation": chat_format.SQL, "op11_ball_tree": ball_search.SQL,
-            "op12_prefix_trie": prefix_trie.SQL}
+            "op12_prefix_trie": prefix_trie.SQL,
+            "op13_structure_repair": structure_repair.SQL}
