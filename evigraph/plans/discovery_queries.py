@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from evigraph.operators import edge_validation as ev
 from evigraph.operators import missing_edges as me
+from evigraph.operators import pair_counts as pc
 from evigraph.operators import relationship_candidates as rc
 from evigraph.plans.catalog import query
 from evigraph.plans.evidence_queries import _list
@@ -156,6 +157,33 @@ def source_neighbors_for(b):
     return rc.source_neighbors(b.evidence_links, _focus(b))
 
 
+@query("parallel_development_counts", """
+with members as (select distinct value, person_id from evidence_links where kind = 'concept'),
+told as (select person_id as p, value as q from evidence_links where kind in ('explicit_influence', 'advisor', 'student')),
+pairs as (
+  select a.value, exists (select 1 from told t where (t.p = a.person_id and t.q = c.person_id) or (t.p = c.person_id and t.q = a.person_id)) as linked
+  from members a join members c on a.value = c.value and a.person_id < c.person_id)
+select m.value as concept, m.members, coalesce(shared_pairs, 0) as shared_pairs, coalesce(linked_pairs, 0) as linked_pairs, coalesce(shared_pairs - linked_pairs, 0) as pairs
+from (select value, count(*) as members from members group by 1) m
+left join (select value, count(*) as shared_pairs, count(*) filter (where linked) as linked_pairs from pairs group by 1) p using (value)""")
+def parallel_development_counts(b):
+    """Exact numbers of parallel developments per concept, linked pairs left out."""
+    return pc.concept_pairs(b.evidence_links)
+
+
+@query("source_neighbor_counts", """
+with members as (select distinct value, person_id, section from evidence_links where kind = 'source_context'),
+pairs as (
+  select distinct a.value, a.person_id as p, c.person_id as q from members a join members c on a.value = c.value and a.person_id < c.person_id
+  where a.section is null or c.section is null or a.section = c.section)
+select m.value as source, m.members, m.unplaced, coalesce(p.n, 0) as pairs
+from (select value, count(distinct person_id) as members, count(distinct person_id) filter (where section is null) as unplaced from members group by 1) m
+left join (select value, count(*) as n from pairs group by 1) p using (value)""")
+def source_neighbor_counts(b):
+    """Exact numbers of source neighbours per source, by the sections that they share."""
+    return pc.source_pairs(b.evidence_links)
+
+
 @query("direction_checks", """
 select e.id, array_to_string(list_filter([
    case when e.source = e.target then 'self-link' end, case when s.birth > t.birth + 20 then 'chronology-direction' end,
