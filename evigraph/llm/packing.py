@@ -40,6 +40,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, pa.int64()) for c in out],
                 ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+        encode.forget()
 
     return mapped(docs.select(F.col("doc_id").cast("long"), "text"), cut, PIECES)
 

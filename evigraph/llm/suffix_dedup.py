@@ -32,7 +32,7 @@ from evigraph.llm.suffixes import LENGTH, Hashed, sampled
 
 #: Text bytes of one run; text bytes behind one part; windows compared in one task; and the
 #: contexts of a gram beyond which its windows are compared one by one.
-RUN_BYTES, PART_BYTES, PART_WINDOWS, HOT = 32 << 20, 16 << 20, 1 << 20, 2000
+RUN_BYTES, PART_BYTES, PART_WINDOWS, HOT = 8 << 20, 16 << 20, 1 << 20, 2000
 RECORD = np.dtype([("k", "u8"), ("s", "u8"), ("d", "i8"), ("p", "u4"), ("n", "u2"), ("f", "u1")])
 #: What a payload holds: suffix records, repeated windows, contested contexts; then texts of
 #: contexts, and single windows.

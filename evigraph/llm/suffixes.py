@@ -15,16 +15,19 @@ _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _BYTES = _RANDOM.integers(0, 1 << 63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-@lru_cache(maxsize=2)
-def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
-    n = 1 << bits
+#: Powers kept in a worker, enough for a step of texts; those of a longer text are not kept.
+KEPT = (1 << 20) + 2
+
+
+@lru_cache(maxsize=1)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     up, down = np.full(n, _BASE), np.full(n, _INVERSE)
     up[0] = down[0] = 1
     return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
 
 def _powers_for(n: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers(max(21, int(n).bit_length()))
+    return _powers(KEPT) if n <= KEPT else _powers.__wrapped__(n)
 
 
 class Hashed:

@@ -8,9 +8,9 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Entries kept per worker process; a full cache starts anew.
-CACHED_WORDS = 400_000
-CACHED_RUNS = 1_000_000
+#: Bytes each of the two caches may take in a worker, and what an entry takes besides its
+#: letters and ids; a full cache starts anew, and a task that ends leaves none behind.
+CACHE_BYTES, ENTRY_BYTES = 12 << 20, 200
 #: Where these occur, normalisation or splitting may reach beyond a word.
 _SPECIAL = re.compile("[^\x00-\x1b\x20-\x84\x86-įı-˿]|<\\|(?:start|end)oftext\\|>")
 
@@ -42,13 +42,18 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.words: dict[str, bytes] = {}
-        self.runs: dict[str, bytes] = {}
+        self.forget()
         letters, numbers = _of_kind("L"), _of_kind("N")
         self.pattern = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]"
                                   f"|[^\\s{letters}{numbers}]+")
         self.alphabet = str.maketrans({chr(b): c for b, c in _byte_letters().items()})
 
+    def forget(self) -> None:
+        """Empty the caches."""
+        self.words: dict[str, bytes] = {}
+        self.runs: dict[str, bytes] = {}
+        self.word_bytes = self.run_bytes = 0
+
     def encode_whole(self, text: str) -> bytes:
         ids = self.whole.encode(text, add_special_tokens=False).ids
         return np.asarray(ids, dtype="<u4").tobytes()
@@ -65,9 +70,11 @@ class WordTokenizer:
         for run in self.pattern.findall(word):
             ids = runs.get(run)
             if ids is None:
-                if len(runs) >= CACHED_RUNS:
+                if self.run_bytes > CACHE_BYTES:
                     runs.clear()
+                    self.run_bytes = 0
                 ids = runs[run] = self._run(run)
+                self.run_bytes += ENTRY_BYTES + len(run) + len(ids)
             out.append(ids)
         return b"".join(out)
 
@@ -79,10 +86,12 @@ class WordTokenizer:
             return b"".join([words[w] for w in found])
         except KeyError:
             pass
-        if len(words) > CACHED_WORDS:
+        if self.word_bytes > CACHE_BYTES:
             words.clear()
+            self.word_bytes = 0
         for w in set(found).difference(words):
-            words[w] = self._word(w)
+            ids = words[w] = self._word(w)
+            self.word_bytes += ENTRY_BYTES + len(w) + len(ids)
         return b"".join([words[w] for w in found])
 
 
