@@ -10,7 +10,7 @@ import numpy as np
 
 #: Bytes each of the two caches may take in a worker, and what an entry takes besides its
 #: letters and ids; a full cache starts anew, and a task that ends leaves none behind.
-CACHE_BYTES, ENTRY_BYTES = 12 << 20, 200
+CACHE_BYTES, ENTRY_BYTES = 64 << 20, 200
 #: Where these occur, normalisation or splitting may reach beyond a word.
 _SPECIAL = re.compile("[^\x00-\x1b\x20-\x84\x86-įı-˿]|<\\|(?:start|end)oftext\\|>")
 
