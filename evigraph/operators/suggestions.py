@@ -1,7 +1,7 @@
 """Contextual link suggestions: imported candidates to people, and person to person.
 
-Pairs come from equal-key joins on every signal that can raise a score, never from a
-cross product. Person-to-person suggestions answer for the people the caller selects.
+Pairs come from equal-key joins on signals that can decide a place, never from a cross
+product. Person-to-person suggestions answer for the people the caller selects.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ from evigraph.functions import taxonomy as tax
 from evigraph.functions import text as tx
 from evigraph.operators.edge_validation import listed, reasons
 from evigraph.operators.entities import drafts
+from evigraph.operators.signal_join import top_matches
+from evigraph.session import cut_lineage
 
 # External name lists of a candidate and the reason each gives.
 NAME_CLAIMS = {
@@ -87,58 +89,28 @@ FLAGS.update({"k": 1 << 6, "f": 1 << 7, "t": 1 << 7, "l": 1 << 7})
 CLAIM_BITS = (1 << 6) - 1
 
 
-def candidate_scores(facts: DataFrame, people: DataFrame, keep: Column) -> DataFrame:
-    """Score of every candidate-person pair that shares a signal, keyed by ``ord``.
-
-    Matched signals add their points in one aggregation over numbers, so no pair carries
-    text or arrays. Of people alike in everything scored but name and works, only the
-    first ``keep`` can be among a candidate's best ``keep`` without a name or work hit;
-    the rest are left out.
-    """
-    alike = ["fields", "subfields", "lens", "tokens", "movement", "era", "region", "birth",
-             "death"]
-    ready = with_lens(people).withColumn("work_keys", F.filter(F.transform(
-        listed("works"), tx.name_key), lambda k: k != ""))
-    ranked = ready.withColumn("_rn", F.row_number().over(
-        Window.partitionBy(*alike).orderBy("ord")))
-    leaders = ranked.filter(F.col("_rn") <= keep).select("ord")
+def asked_signals(candidates: DataFrame) -> DataFrame:
+    """Signals of each candidate, keyed by ``ord``."""
+    facts = candidate_facts(candidates)
     given = {"fields": ("f", F.col("c_fields")), "topics": ("t", F.col("c_topics")),
              "lens": ("l", F.col("c_lens")), "tokens": ("w", F.col("c_tokens")),
              "works": ("k", F.col("c_works")), "movement": ("m", _one("c_movement")),
              "era": ("e", _one("c_era")), "region": ("r", _one("c_region"))}
     given.update({c: ("n", F.col(f"c_{c}")) for c in NAME_CLAIMS})
-    offered = facts.select("c_ord", "c_birth", "c_death",
-                           F.explode(_keyed(given)).alias("x")).select(
-        "c_ord", "c_birth", "c_death", "x.*")
-    fine = {"name": ("n", F.array(tx.name_key(F.col("name")))), "works": ("k", F.col("work_keys"))}
-    coarse = {"fields": ("f", F.col("fields")), "topics": ("t", listed("subfields")),
-              "lens": ("l", F.col("lens")), "tokens": ("w", F.col("tokens")),
-              "movement": ("m", _one("movement")), "era": ("e", _one("era")),
-              "region": ("r", _one("region"))}
-    rare = ready.select("ord", F.explode(_keyed(fine)).alias("x")).select("ord", "x.k").join(
-        offered.filter(F.substring("k", 1, 2).isin("n=", "k=")).select("k"), "k", "left_semi")
-    pool = leaders.unionByName(rare.select("ord")).distinct()
-    held = ready.join(pool, "ord", "left_semi").select(
+    return facts.select("c_ord", "c_birth", "c_death", _keyed(given).alias("signals"))
+
+
+def held_signals(people: DataFrame) -> DataFrame:
+    """Signals of each person, keyed by ``ord``."""
+    works = F.filter(F.transform(listed("works"), tx.name_key), lambda k: k != "")
+    kept = {"name": ("n", F.array(tx.name_key(F.col("name")))), "works": ("k", works),
+            "fields": ("f", F.col("fields")), "topics": ("t", listed("subfields")),
+            "lens": ("l", F.col("lens")), "tokens": ("w", F.col("tokens")),
+            "movement": ("m", _one("movement")), "era": ("e", _one("era")),
+            "region": ("r", _one("region"))}
+    return with_lens(people).select(
         F.col("ord").alias("p_ord"), "birth", "death",
-        F.explode(_keyed({**fine, **coarse})).alias("x")).select(
-        "p_ord", "birth", "death", "x.k")
-    return offered.join(held, "k").groupBy("c_ord", "p_ord").agg(
-        F.sum("points").alias("halves"), F.sum("token").alias("n_tokens"),
-        F.bit_or("flags").alias("flags"),
-        *[F.max(c).alias(c) for c in ["c_birth", "c_death", "birth", "death"]])
-
-
-def rate(scores: DataFrame) -> DataFrame:
-    """Final score of each pair, and the years between the two lives."""
-    known = F.col("c_birth").isNotNull()
-    gap = F.least(F.abs(F.col("birth") - F.coalesce("c_death", "c_birth")),
-                  F.abs(F.col("c_birth") - F.coalesce("death", "birth")))
-    gap = F.when(known, gap).otherwise(300)
-    time = (F.when(~known, 0).when(gap <= 60, 3).when(gap <= 150, 2).when(gap <= 300, 1)
-            .otherwise(-2))
-    tokens = F.least(F.col("n_tokens"), F.lit(MAX_TOKENS)) * SIGNAL_POINTS["w"]
-    return scores.select("c_ord", "p_ord", "flags", gap.alias("gap"), (
-        (F.col("halves") + tokens + 2 * time) / F.lit(2.0)).alias("score"))
+        F.transform(_keyed(kept), lambda x: x["k"]).alias("keys"))
 
 
 def banded(rated: DataFrame) -> DataFrame:
@@ -165,23 +137,20 @@ def banded(rated: DataFrame) -> DataFrame:
 def candidate_suggestions(candidates: DataFrame, people: DataFrame,
                           rejected: DataFrame | None = None, cutoff: float = 4.0,
                           limit: int = 5) -> DataFrame:
-    """Best ``limit`` people per candidate at or above the cutoff."""
-    facts = candidate_facts(candidates)
+    """Best ``limit`` people per candidate at or above the cutoff, none of his rejected ones.
+
+    See ``signal_join``: pairs meet through signals rare enough to matter, and only where
+    the bound of a signature of equal people reaches what the candidate has already.
+    """
     mine = candidates.select(F.col("ord").alias("c_ord"), F.col("id").alias("candidate_id"))
     theirs = people.select(F.col("ord").alias("p_ord"), F.col("id").alias("person_id"))
-    # A candidate's best ``limit`` lie among its best ``limit`` plus its rejections.
-    keep = F.lit(limit)
-    if rejected is not None:
-        most = rejected.groupBy("candidate_id").agg(F.count(F.lit(1)).alias("n")).agg(
-            F.coalesce(F.max("n"), F.lit(0)))
-        keep = keep + most.scalar()
-    rated = rate(candidate_scores(facts, people, keep)).filter(F.col("score") >= cutoff)
+    refused = None
     if rejected is not None:
-        refused = rejected.join(mine, "candidate_id").join(theirs, "person_id")
-        rated = rated.join(refused.select("c_ord", "p_ord"), ["c_ord", "p_ord"], "left_anti")
-    best = Window.partitionBy("c_ord").orderBy(F.desc("score"), "p_ord")
-    top = rated.withColumn("position", F.row_number().over(best)).filter(
-        F.col("position") <= limit)
+        refused = rejected.join(mine, "candidate_id").join(theirs, "person_id").select(
+            "c_ord", "p_ord")
+    asked = cut_lineage(asked_signals(candidates))
+    top = top_matches(asked, held_signals(people), limit, 2 * cutoff, SIGNAL_POINTS["w"],
+                      MAX_TOKENS, refused)
     return banded(top).join(mine, "c_ord").join(theirs, "p_ord").select(
         "candidate_id", "person_id", "position", "score", "confidence", "explanation",
         "category", "gap", "flags")

@@ -21,6 +21,10 @@ FIELD_BY_SEGMENT = {
     "HOUSEHOLD": "Literature", "MACHINERY": "Physics",
 }
 
+# What candidates with context are given in turn.
+ERAS = ["Renaissance", "Scientific Revolution", "Enlightenment", "19th Century"]
+REGIONS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
+
 # Evidence kinds, each about a thirteenth of the line items.
 LINK_KINDS = ["received_work", "named_mention", "citation_target", "explicit_influence",
               "student", "advisor", "correspondent", "coauthor", "source_context", "concept",
@@ -271,6 +275,30 @@ class Bindings:
                 F.when(key % 2 == 1, F.concat(F.lit("https://en.example.org/"), _s(key)))
                 .alias("wikipedia_url")))
 
+    @cached_property
+    def rich_candidates(self) -> DataFrame:
+        """Candidates with era, region and the external name lists of a registry entry."""
+        key = F.col("ord")
+        names = self.people_core.select(F.col("ord").alias("pid"), "name")
+        df = self.candidates
+        for alias, number in (("teacher", key * 2), ("model", key * 2 + 1), ("pupil", key * 3 + 2)):
+            side = names.select(F.col("pid").alias(alias), F.col("name").alias(f"{alias}_name"))
+            df = df.join(side, number == F.col(alias), "left")
+        listed = lambda *names: F.array_compact(F.array(*names))
+        eras = F.array(*[F.lit(e) for e in ERAS])
+        regions = F.array(*[F.lit(r) for r in REGIONS])
+        return df.withColumns({
+            "era": F.when(key % 5 != 0, F.element_at(eras, (key % 4 + 1).cast("int"))),
+            "region": F.when(key % 3 != 0, F.element_at(regions, (key % 5 + 1).cast("int"))),
+            "influenced_by": listed(F.when(key % 4 == 0, F.col("model_name")), F.when(
+                key % 8 == 0, F.lit("Unknown Master"))),
+            "advisors": listed(F.when(key % 3 == 1, F.col("teacher_name"))),
+            "students": listed(F.when(key % 5 == 2, F.col("pupil_name"))),
+            "employers": listed(F.when(key % 2 == 0, F.concat(F.lit("Institute "), _s(key)))),
+            "educated_at": listed(F.when(key % 6 == 1, F.lit("Institute 1"))),
+            "member_of": listed(F.when(key % 10 == 3, F.col("teacher_name"))),
+        }).drop("teacher", "model", "pupil", "teacher_name", "model_name", "pupil_name")
+
 
 PREAMBLE = """
 customers_n as (select count(*) as n from customer),
@@ -413,8 +441,17 @@ candidates as (
          case when s_suppkey % 7 <> 0 then n_name end as movement,
          'https://data.example.org/Q' || cast(s_suppkey * 17 as varchar) as source_url,
          case when s_suppkey % 2 = 1 then 'https://en.example.org/' || cast(s_suppkey as varchar) end as wikipedia_url
-  from supplier join part on p_partkey = s_suppkey * 3 join nation on n_nationkey = s_nationkey)
-""".replace("$ROLE", ROLE_SQL)
+  from supplier join part on p_partkey = s_suppkey * 3 join nation on n_nationkey = s_nationkey),
+rich_candidates as (
+  select c.*, case when c.ord % 5 <> 0 then $ERAS[c.ord % 4 + 1] end as era, case when c.ord % 3 <> 0 then $REGIONS[c.ord % 5 + 1] end as region,
+         list_filter([case when c.ord % 4 = 0 then m.name end, case when c.ord % 8 = 0 then 'Unknown Master' end], lambda x: x is not null) as influenced_by,
+         list_filter([case when c.ord % 3 = 1 then t.name end], lambda x: x is not null) as advisors,
+         list_filter([case when c.ord % 5 = 2 then p.name end], lambda x: x is not null) as students,
+         case when c.ord % 2 = 0 then ['Institute ' || cast(c.ord as varchar)] else [] end as employers,
+         case when c.ord % 6 = 1 then ['Institute 1'] else [] end as educated_at,
+         list_filter([case when c.ord % 10 = 3 then t.name end], lambda x: x is not null) as member_of
+  from candidates c left join people t on t.pid = c.ord * 2 left join people m on m.pid = c.ord * 2 + 1 left join people p on p.pid = c.ord * 3 + 2)
+""".replace("$ROLE", ROLE_SQL).replace("$ERAS", str(ERAS)).replace("$REGIONS", str(REGIONS))
 
 
 def sql_with_bindings(sql: str) -> str:

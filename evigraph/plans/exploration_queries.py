@@ -340,6 +340,55 @@ def candidate_suggestions(b):
         "candidate_id", "person_id", "score", "confidence", "position")
 
 
+@query("candidate_matches", f"""with {FACTS}, refused as (select 'q' || cast(a.ord as varchar) as candidate_id, cast(p.pid as varchar) as person_id from candidates a join people p on p.pid // 400 = a.ord // 10 where a.ord % 10 = 0),
+known(field, topic_group, topic) as (values {TOPICS}),
+topic_keys as (select distinct topic, regexp_replace(lower(topic), '[^a-z0-9]', '', 'g') as k from known),
+c0 as (select *, case when len(fields) > 0 then fields when ord % 3 = 0 then ['Mathematics'] when ord % 3 = 1 then ['Physics'] else ['Philosophy'] end as df from rich_candidates),
+c1 as (select *, trim(regexp_replace(lower(concat_ws(' ', description, movement, array_to_string(works, ' '), array_to_string(df, ' '))), '[^a-z0-9]', '', 'g')) as src from c0),
+hit_topics as (
+  select c.id, t.topic, case when exists (select 1 from known k where k.topic = t.topic and list_contains(c.df, k.field)) then 0 else 1 end as own from c1 c join topic_keys t
+   on contains(c.src, t.k)),
+topic_lists as (select id, list(topic) as hits, count(*) as n from hit_topics group by 1),
+cands as (
+  select c.*, list_distinct(list_concat(topics, coalesce(hits, []))) as dt, coalesce(movement, 'Imported') as dm,
+     case when birth is null then null else birth end as b from c1 c left join topic_lists t on t.id = c.id),
+cl as (
+  select *, {lens_list("lower(concat_ws(' ', array_to_string(df, ' '), nullif(array_to_string(dt, ' '), ''), array_to_string(works, ' '), description, dm))")} as lens,
+     {_tokens("concat_ws(' ', description, movement, array_to_string(works, ' '), nullif(array_to_string(topics, ' '), ''), nullif(array_to_string(list_concat(influenced_by, advisors, students, employers, educated_at, member_of), ' '), ''))")} as toks from cands),
+pl as (select *, {_tokens("concat_ws(' ', notes, movement, nullif(works, ''), subfield)")} as toks from lensed),
+pairs as (
+  select c.id as candidate_id, p.id as person_id, p.pid,
+    case when c.birth is null then 300 else least(abs(p.birth - coalesce(c.death, c.birth)), abs(c.birth - coalesce(p.death, p.birth))) end as gap, c.birth is not null as known,
+    8 * (cast(list_contains(c.df, p.field1) as int) + cast(list_contains(c.df, p.field2) as int)) + 6 * coalesce(cast(list_contains(c.dt, p.subfield) as int), 0)
+    + 4 * len(list_intersect(c.lens, p.lens)) + case when c.movement = p.movement then 8 else 0 end + 10 * len(list_intersect(c.works, p.titles))
+    + case when c.era = p.era then 4 else 0 end + case when c.region = p.region then 3 else 0 end
+    + 16 * (cast(list_contains(c.influenced_by, p.name) as int) + cast(list_contains(c.advisors, p.name) as int) + cast(list_contains(c.students, p.name) as int)
+            + cast(list_contains(c.employers, p.name) as int) + cast(list_contains(c.educated_at, p.name) as int) + cast(list_contains(c.member_of, p.name) as int))
+    + 3 * least(3, len(list_intersect(c.toks, p.toks))) as base,
+    list_contains(c.advisors, p.name) or list_contains(c.students, p.name) as taught, list_contains(c.influenced_by, p.name) as influenced,
+    list_contains(c.employers, p.name) or list_contains(c.educated_at, p.name) or list_contains(c.member_of, p.name) as joined_in,
+    len(list_intersect(c.works, p.titles)) > 0 as worked,
+    list_contains(c.df, p.field1) or list_contains(c.df, p.field2) or coalesce(list_contains(c.dt, p.subfield), false) or len(list_intersect(c.lens, p.lens)) > 0 as alike
+  from cl c cross join pl p
+  where not exists (select 1 from refused r where r.candidate_id = c.id and r.person_id = p.id)),
+scored as (select *, (base + 2 * case when not known then 0 when gap <= 60 then 3 when gap <= 150 then 2 when gap <= 300 then 1 else -2 end) / 2.0::double as score from pairs),
+ranked as (select *, row_number() over (partition by candidate_id order by score desc, pid) as position from scored where score >= 4)
+select candidate_id, person_id, score, cast(gap as int) as gap, case when taught then 'direct mentorship' when influenced then 'likely influence'
+  when worked or joined_in then 'collaboration' when score < 7 then 'needs review' when gap <= 40 and alike then 'parallel development' else 'source-context neighbor' end as category,
+  case when taught or influenced or joined_in then 'direct Wikidata claim' when score >= 12 then 'multiple matching signals' when score >= 7 then 'shared context signals' else 'thin evidence' end as explanation,
+  case when score >= 12 then 'strong' when score >= 7 then 'medium' else 'weak' end as confidence, cast(position as int) as position
+from ranked where position <= 5""")
+def candidate_matches(b):
+    """Suggestions from every signal, without a candidate's rejected people."""
+    tens = b.candidates.filter("ord % 10 = 0").select(
+        F.col("id").alias("candidate_id"), F.expr("ord div 10").alias("page"))
+    refused = tens.join(b.people_core.select(
+        F.col("id").alias("person_id"), F.expr("ord div 400").alias("page")), "page").drop("page")
+    return sg.candidate_suggestions(b.rich_candidates, b.people, refused).select(
+        "candidate_id", "person_id", "score", "confidence", "position", "gap", "category",
+        "explanation")
+
+
 @query("suggested_edges", """with pairs as (select distinct person_id as a, value as b from evidence_links where kind = 'coauthor' and person_id <> value)
 select case when p.birth <= q.birth then p.id else q.id end as source, case when p.birth <= q.birth then q.id else p.id end as target, 'shared authorship' as note
 from pairs join people p on p.id = a join people q on q.id = b
