@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from evigraph.functions import text as tx
 from evigraph.operators.edge_validation import listed, reasons
 from evigraph.operators.normalize import first_per
+from evigraph.operators.substring_join import contained
 
 # Merge thresholds in hundredths.
 AUTO, PROVISIONAL = 85, 55
@@ -284,34 +285,11 @@ def first_duplicate(candidates: DataFrame, people: DataFrame) -> DataFrame:
 
 
 def _noted(people: DataFrame, urls: DataFrame) -> DataFrame:
-    """First person whose notes contain each url, found by equal text instead of a scan.
-
-    Web addresses are looked up among the prefixes of every text run that starts with
-    ``http``; other texts through their first characters, then checked in full.
-    """
-    notes = people.filter("notes is not null and notes <> ''").select("id", "ord", "notes")
-    web = F.col("url").rlike(r"^http\S*$")
-    words = notes.select("id", "ord", F.explode(F.split("notes", r"\s+")).alias("w")).filter(
-        F.col("w").contains("http"))
-    starts = F.filter(F.sequence(F.lit(1), F.length("w")),
-                      lambda i: F.col("w").substr(i, F.lit(4)) == "http")
-    runs = words.select("id", "ord", F.col("w"), F.explode(starts).alias("i")).select(
-        "id", "ord", F.col("w").substr(F.col("i"), F.length("w")).alias("run"))
-    prefixes = runs.select("id", "ord", "run", F.explode(F.sequence(
-        F.lit(4), F.length("run"))).alias("n")).select(
-        "id", "ord", F.col("run").substr(F.lit(1), F.col("n")).alias("url"))
-    direct = _first_people(prefixes.join(urls.filter(web), "url", "left_semi"), ["url"])
-    other = urls.filter(~web).select(
-        "url", F.least(F.length("url"), F.lit(4)).alias("n"),
-        F.substring("url", 1, 4).alias("gram"))
-    grams = notes.select("id", "ord", "notes", F.explode(F.sequence(
-        F.lit(1), F.length("notes"))).alias("i"))
-    grams = grams.select("id", "ord", "notes", "i", F.explode(F.array(
-        *[F.lit(n) for n in range(1, 5)])).alias("n")).select(
-        "id", "ord", "notes", "n", F.expr("substr(notes, i, n)").alias("gram"))
-    indirect = _first_people(
-        other.join(grams, ["n", "gram"]).filter(F.col("notes").contains(F.col("url"))), ["url"])
-    return direct.unionByName(indirect)
+    """First person whose notes contain each url; equal notes are looked through once."""
+    notes = _first_people(people.filter("notes <> ''"), ["notes"]).select(
+        F.col("hit").alias("id"), F.col("notes").alias("text"))
+    met = contained(notes, urls.withColumnRenamed("url", "pattern"))
+    return met.groupBy(F.col("pattern").alias("url")).agg(F.min("id").alias("hit"))
 
 
 def duplicate_pairs(people: DataFrame, limit: int = 20) -> DataFrame:
@@ -356,17 +334,14 @@ def duplicate_pairs(people: DataFrame, limit: int = 20) -> DataFrame:
         return left.join(right, condition).filter("a_ord <> b_ord").select(*out)
 
     names = rows.select("nk").filter("length(nk) > 6").distinct()
-    parts = names.select(F.col("nk").alias("long"), F.explode(F.flatten(F.transform(
-        F.sequence(F.lit(1), F.length("nk") - 6), lambda i: F.transform(
-            F.sequence(F.lit(7), F.length("nk") - i + 1),
-            lambda n: F.col("nk").substr(i, n))))).alias("short")).filter(
-        "long <> short").distinct()
-    contained = parts.join(names.withColumnRenamed("nk", "short"), "short", "left_semi")
+    contained_names = contained(names.select(F.col("nk").alias("id"), F.col("nk").alias("text")),
+                                names.select(F.col("nk").alias("pattern"))).select(
+        F.col("id").alias("long"), F.col("pattern").alias("short")).filter("long <> short")
     found = joined(by_name, False, False)
     for df, on_birth, on_field in [(by_birth, True, False), (by_field, False, True),
                                    (by_both, True, True)]:
         found = found.unionByName(joined(df, on_birth, on_field)).unionByName(
-            joined(df, on_birth, on_field, contained))
+            joined(df, on_birth, on_field, contained_names))
     flip = F.col("a_ord") > F.col("b_ord")
     ordered = found.select(*[F.when(flip, F.col(f"{q}_{c}")).otherwise(F.col(f"{p}_{c}"))
                              .alias(f"{p}_{c}") for p, q in ("ab", "ba") for c in base])
@@ -458,16 +433,15 @@ def roster_match(roster: DataFrame, registry: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.min(F.struct("ord", "id")).alias("hit")).filter("n = 1")
     stages.append(wanted.withColumn("x", last(F.col("k"))).join(surname, "x").select(
         "id", F.lit(3).alias("rank"), "hit"))
-    # Containment in either direction, by equality with a part of the longer name.
-    parts = lambda df: df.withColumn("x", F.explode(F.array_distinct(F.flatten(F.transform(
-        F.sequence(F.lit(1), F.length("k")), lambda i: F.transform(
-            F.sequence(F.lit(1), F.length("k") - i + 1), lambda n: F.col("k").substr(i, n)))))))
-    keyed = rows.filter("k <> ''")
-    firsts = _first_people(keyed, ["k"])
-    inside = parts(wanted.filter("k <> ''")).join(firsts.withColumnRenamed("k", "x"), "x")
-    wanted_keys = wanted.select(F.col("k").alias("x")).distinct()
-    around = _first_people(parts(keyed).join(wanted_keys, "x", "left_semi"), ["x"])
-    around = wanted.withColumnRenamed("k", "x").join(around, "x")
+    # Containment in either direction.
+    firsts = _first_people(rows.filter("k <> ''"), ["k"])
+    inside = contained(wanted.select("id", F.col("k").alias("text")),
+                       firsts.select(F.col("k").alias("pattern"))).join(
+        firsts.withColumnRenamed("k", "pattern"), "pattern")
+    around = contained(firsts.select(F.col("k").alias("id"), F.col("k").alias("text")),
+                       wanted.select(F.col("k").alias("pattern"))).join(
+        firsts.withColumnRenamed("k", "id"), "id").groupBy("pattern").agg(F.min("hit").alias("hit"))
+    around = wanted.withColumnRenamed("k", "pattern").join(around, "pattern")
     stages += [df.select("id", F.lit(4).alias("rank"), "hit") for df in (inside, around)]
     found = stages[0]
     for stage in stages[1:]:

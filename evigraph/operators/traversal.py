@@ -23,6 +23,31 @@ def symmetric(edges: DataFrame) -> DataFrame:
                                         F.col("source").alias("target"), "ord"))
 
 
+class Visited:
+    """Nodes met so far in tables that double in size: a new one is merged with those before
+    it that are no larger, so a search of n nodes reads log n tables and writes each node
+    log n times."""
+
+    def __init__(self, first: DataFrame, size: int):
+        self.parts = [(first, size)]
+
+    def add(self, found: DataFrame, size: int) -> None:
+        self.parts.append((found, size))
+        while len(self.parts) > 1 and self.parts[-2][1] <= self.parts[-1][1]:
+            (one, n), (two, m) = self.parts.pop(), self.parts.pop()
+            both = one.unionByName(two).repartition("id")
+            self.parts.append((cut_lineage(both), n + m))
+
+    def all(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, [df for df, _ in self.parts])
+
+    def unmet(self, step: DataFrame) -> DataFrame:
+        """The rows of ``step`` whose node is in no table."""
+        for df, _ in self.parts:
+            step = step.join(df.select("id"), "id", "left_anti")
+        return step
+
+
 def levels(edges: DataFrame, start: DataFrame, max_depth: int | None = None,
            within: DataFrame | None = None) -> DataFrame:
     """Minimum depth of every node reached from ``start(id)``, in ``max_depth`` steps if given."""
@@ -30,16 +55,17 @@ def levels(edges: DataFrame, start: DataFrame, max_depth: int | None = None,
     if within is not None:
         links = links.join(within.select(F.col("id").alias("target")), "target", "left_semi")
     links = cut_lineage(links)  # read by every round
-    frontier = cut_lineage(start.select("id").distinct())
-    seen = frontier.withColumn("depth", F.lit(0))
+    frontier = cut_lineage(start.select("id").distinct().withColumn("depth", F.lit(0)))
+    seen = Visited(frontier, frontier.count())
     for depth in count(1) if max_depth is None else range(1, max_depth + 1):
-        step = (links.join(frontier.withColumnRenamed("id", "source"), "source", "left_semi")
-                .select(F.col("target").alias("id")).distinct().join(seen, "id", "left_anti"))
-        frontier = cut_lineage(step)
-        if frontier.isEmpty():
+        step = links.join(frontier.select(F.col("id").alias("source")), "source", "left_semi")
+        step = step.select(F.col("target").alias("id")).distinct()
+        frontier = cut_lineage(seen.unmet(step).withColumn("depth", F.lit(depth)))
+        size = frontier.count()
+        if not size:
             break
-        seen = seen.unionByName(frontier.withColumn("depth", F.lit(depth)))
-    return seen
+        seen.add(frontier, size)
+    return seen.all()
 
 
 def reachable(edges: DataFrame, start: DataFrame, max_depth: int | None = None) -> DataFrame:
@@ -57,34 +83,93 @@ def level_sample(edges: DataFrame, people: DataFrame, start: DataFrame, max_dept
         F.col("_rn") <= per_level).drop("_rn")
 
 
+class _Side:
+    """One end of a two-sided search: its newest level, all levels and their table."""
+
+    def __init__(self, ids: DataFrame):
+        self.frontier = cut_lineage(ids.select("id").distinct())
+        self.size = self.frontier.count()
+        self.levels = [self.frontier]
+        self.seen = Visited(self.frontier, self.size)
+
+    def grow(self, step: DataFrame, other: _Side) -> bool:
+        """Take the new nodes of ``step``; whether one is in the other side's newest level."""
+        fresh = self.seen.unmet(step).join(
+            other.frontier.select("id", F.lit(True).alias("met")), "id", "left")
+        level = cut_lineage(fresh)
+        found = level.agg(F.count(F.lit(1)).alias("n"), F.count("met").alias("met")).first()
+        self.frontier, self.size = level.drop("met"), found["n"]
+        self.levels.append(self.frontier)
+        if self.size:
+            self.seen.add(self.frontier.select("id"), self.size)
+        return found["met"] > 0
+
+
 def shortest_path(edges: DataFrame, people: DataFrame, source: DataFrame, target: DataFrame,
                   max_depth: int | None = None) -> DataFrame:
     """Fewest-edges directed path, ties as a queue would meet them: rows (step, id).
 
-    Each node keeps the smallest edge-order path that reaches it first. The search ends at
-    the goal or when no new node is met.
+    Levels grow from both ends, the smaller newest one first, until they meet: what is read
+    is the neighbourhood of both ends, not all within the path's length of one. Nodes from
+    the goal's side keep the least-ordered edge that leads on to it; those of the other side
+    get theirs on the way back from where the sides met. No node carries a path: pointers
+    are followed in doubling steps. The search ends when a side meets no new node, or after
+    ``max_depth`` edges if given.
     """
     known = people.select("id")
-    goal = target.select("id").join(known, "id", "left_semi")
     links = edges.groupBy("source", "target").agg(F.min("ord").alias("ord")).join(
         known.withColumnRenamed("id", "source"), "source", "left_semi")
     links = cut_lineage(links)  # read by every round
-    frontier = source.select("id").join(known, "id", "left_semi").select(
-        "id", F.array().cast("array<bigint>").alias("orders"), F.array("id").alias("path"))
-    frontier = cut_lineage(frontier)
-    seen = frontier
-    for _ in count() if max_depth is None else range(max_depth):
-        hit = seen.join(goal, "id", "left_semi")
-        if frontier.isEmpty() or not hit.isEmpty():
-            break
-        reached = links.join(frontier.withColumnRenamed("id", "source"), "source").select(
-            F.col("target").alias("id"),
-            F.concat("orders", F.array(F.col("ord").cast("bigint"))).alias("orders"),
-            F.concat("path", F.array("target")).alias("path"))
-        best = reached.groupBy("id").agg(F.min_by(F.struct("orders", "path"), "orders").alias("b"))
-        frontier = cut_lineage(best.join(seen, "id", "left_anti").select("id", "b.*"))
-        seen = seen.unionByName(frontier)
-    return seen.join(goal, "id", "left_semi").select(F.posexplode("path").alias("step", "id"))
+    ahead = _Side(source.select("id").join(known, "id", "left_semi"))
+    back = _Side(target.select("id").join(known, "id", "left_semi"))
+    nexts: list[DataFrame] = []
+    length = 0
+    met = not ahead.frontier.join(back.frontier, "id", "left_semi").isEmpty()
+    while not met and ahead.size and back.size and (max_depth is None or length < max_depth):
+        length += 1
+        if back.size <= ahead.size:
+            into = links.join(back.frontier.withColumnRenamed("id", "target"), "target")
+            met = back.grow(_first_steps(into), ahead)
+            nexts.append(back.frontier.select("id", "next"))
+        else:
+            out = links.join(ahead.frontier.select(F.col("id").alias("source")), "source",
+                             "left_semi").select(F.col("target").alias("id")).distinct()
+            met = ahead.grow(out, back)
+    if not met:
+        return ahead.frontier.limit(0).select(F.lit(0).alias("step"), "id")
+    useful = ahead.frontier.select("id").join(back.frontier.select("id"), "id", "left_semi")
+    for level in reversed(ahead.levels[:-1]):
+        steps = links.join(useful.withColumnRenamed("id", "target"), "target").join(
+            level.select(F.col("id").alias("source")), "source", "left_semi")
+        useful = cut_lineage(_first_steps(steps))
+        nexts.append(useful)
+        useful = useful.select("id")
+    path = useful.join(ahead.levels[0].select("id"), "id", "left_semi").select(
+        F.lit(0).alias("step"), "id")
+    return _followed(path, nexts, length)
+
+
+def _first_steps(steps: DataFrame) -> DataFrame:
+    """Of every source the target of its least-ordered edge."""
+    return steps.groupBy(F.col("source").alias("id")).agg(F.min_by("target", "ord").alias("next"))
+
+
+def _followed(path: DataFrame, nexts: list[DataFrame], length: int) -> DataFrame:
+    """The nodes met from ``path(step, id)`` along ``length`` pointers (id, next), by jumps of
+    twice as many steps each time."""
+    if not length:
+        return path
+    jump, hops = cut_lineage(reduce(DataFrame.unionByName, nexts)), 1
+    path = cut_lineage(path)
+    while True:
+        ahead = path.join(jump, "id").select((F.col("step") + hops).alias("step"),
+                                             F.col("next").alias("id"))
+        path = cut_lineage(path.unionByName(ahead))
+        hops *= 2
+        if hops > length:
+            return path
+        jump = cut_lineage(jump.join(jump.select(F.col("id").alias("next"), F.col("next").alias(
+            "after")), "next").select("id", F.col("after").alias("next")))
 
 
 def path_edges(path: DataFrame, edges: DataFrame) -> DataFrame:

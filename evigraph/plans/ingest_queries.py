@@ -1,5 +1,7 @@
 """Source normalizers over dumps derived from the given tables."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from evigraph.functions import taxonomy as tax
@@ -7,7 +9,8 @@ from evigraph.functions import text as tx
 from evigraph.operators import normalize as nz
 from evigraph.plans.catalog import query
 from evigraph.plans.model_queries import slug
-from evigraph.sources import dumps, files
+from evigraph.session import shared_folder
+from evigraph.sources import dumps, files, state_store
 
 
 def _s(value):
@@ -305,3 +308,62 @@ def authority_ids(b):
     return b.table("part").select(
         "p_partkey", F.size(F.map_keys(cleaned)).alias("authorities"),
         F.size(cleaned["viaf"]).alias("viaf"))
+
+
+@query("state_restore", """
+select 2::bigint as version, 'people' as part, id, pid as ord from people
+union all select 2, 'edges', id, eid from edges
+union all select 2, 'rejected_keys', cast(pid as varchar) || '::' || cast(pid + 1 as varchar), pid from people where pid % 9 = 0""")
+def state_restore(b):
+    """Three versions are committed; the newest is altered afterwards and passed over."""
+    root = f"{shared_folder(b.spark)}/state-{uuid.uuid4().hex}"
+    people = b.people.select("id", "ord", "name", "birth", "death", "fields", "works", "notes")
+    keys = b.people_core.filter("ord % 9 = 0").select("ord", F.concat(
+        "id", F.lit("::"), _s(F.col("ord") + 1)).alias("key"))
+    state = {"people": people, "edges": b.edges, "rejected_keys": keys}
+    state_store.commit(state | {"people": people.filter("ord % 2 = 0")}, root, b.now)
+    state_store.commit(state, root, b.now)
+    state_store.commit(state, root, b.now)
+    _, folder = state_store.versions(b.spark, root)[0]
+    people.limit(1).write.mode("append").parquet(f"{root}/{folder}/people")
+    version, tables = state_store.restore(b.spark, root)
+    part = lambda n, key="id": tables[n].select(
+        F.lit(version).cast("long").alias("version"), F.lit(n).alias("part"),
+        F.col(key).alias("id"), "ord")
+    return part("people").unionByName(part("edges")).unionByName(part("rejected_keys", "key"))
+
+
+@query("bundle_state", """
+with bundles as (select pid, pid % 3 as file, row_number() over (partition by pid % 3 order by pid) - 1 as pos from people)
+select 'person' as part, p.id, cast(b.file * 4294967296 + b.pos as bigint) as ord from people p join bundles b using (pid)
+union all select 'import', p.id, cast(b.file * 4294967296 + b.pos as bigint) from people p join bundles b using (pid)
+union all select 'key', p.id, cast(b.file * 4294967296 + b.pos as bigint) from people p join bundles b using (pid)
+union all select 'threshold', '100.0', null""")
+def bundle_state(b):
+    """Three bundles of the people, as a reader finds them: places are unique over files."""
+    ordered = lambda x: F.transform(F.array_sort(F.collect_list(F.struct("ord", x))),
+                                    lambda v: v["x"])
+    n = F.col("ord")
+    person = F.struct("id", "name", F.col("birth").cast("double").alias("birth"),
+                      F.col("death").cast("double").alias("death"), "fields").alias("x")
+    queued = F.struct("id", F.concat(F.lit("q"), "id").alias("candidateId"), F.col("name").alias(
+        "candidateName"), F.lit(50.0).alias("confidence"), F.lit(None).cast("string").alias(
+        "duplicateId"), F.lit("queued").alias("status")).alias("x")
+    bundles = b.people_core.groupBy((n % 3).alias("file")).agg(
+        ordered(person).alias("people"), ordered(queued).alias("importReviewQueue"),
+        ordered(F.col("id").alias("x")).alias("rejectedLinkSuggestionKeys"))
+    empty = {"edges": state_store.EDGE, "linkReviewQueue": state_store.LINKED,
+             "importAuditLog": state_store.AUDITED}
+    typed = bundles.select(
+        F.concat(F.lit("bundle-"), _s("file")).alias("path"), F.lit(8).alias("version"),
+        F.lit("2034-01-01").alias("exportedAt"), "importReviewQueue", "rejectedLinkSuggestionKeys",
+        F.from_json(F.to_json("people"), f"array<{state_store.PERSON}>").alias("people"),
+        F.concat(_s(F.col("file") * 70), F.lit("")).alias("importConfidenceThreshold"),
+        *[F.array().cast(f"array<{t}>").alias(c) for c, t in empty.items()])
+    tables = state_store.bundle_tables(typed)
+    part = lambda n, name, key="id": tables[n].select(
+        F.lit(name).alias("part"), F.col(key).alias("id"), "ord")
+    return part("people", "person").unionByName(part("import_queue", "import")).unionByName(
+        part("rejected_keys", "key", "key")).unionByName(tables["settings"].select(
+            F.lit("threshold").alias("part"), _s("threshold").alias("id"),
+            F.lit(None).cast("long").alias("ord")))

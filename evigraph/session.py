@@ -29,7 +29,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     session without one (a test) gets a temporary folder; a cluster must name a shared
     folder that outlives its executors.
     """
-    spark = df.sparkSession
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The reliable folder of the session, that of its checkpoints."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get(
@@ -39,4 +44,4 @@ def cut_lineage(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a shared folder")
             folder = tempfile.mkdtemp(prefix="evigraph-ckpt-")
         context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    return context.getCheckpointDir()
