@@ -90,7 +90,8 @@ class WordTokenizer:
             words.clear()
             self.word_bytes = 0
         for w in set(found).difference(words):
-            ids = words[w] = self._word(w)
+            # A word of letters alone is one run.
+            ids = words[w] = self._run(w) if w.isalpha() else self._word(w)
             self.word_bytes += ENTRY_BYTES + len(w) + len(ids)
         return b"".join([words[w] for w in found])
 
