@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evigraph.functions import text as tx
+
 #: Evidence that one person passed something on to another: no parallel development.
 TRANSMISSION = ["explicit_influence", "advisor", "student"]
 #: Sections of one person in a source up to which all their subsets are counted; people
@@ -99,3 +101,18 @@ def source_pairs(links: DataFrame) -> DataFrame:
     return totals.join(shared, "value", "left").select(
         F.col("value").alias("source"), "members", "unplaced",
         (anyone + F.coalesce("placed_pairs", F.lit(0))).alias("pairs"))
+
+
+def near_miss_counts(records: DataFrame, people: DataFrame) -> DataFrame:
+    """Per birth year and surname the new records, the people they could be taken for, and
+    the pairs these form. Names without a surname and unknown births are nobody's near miss;
+    the pairs of chosen records are listed by ``linkage.near_misses``.
+    """
+    surname = F.element_at(F.split(tx.person_key(F.col("name")), " "), -1)
+
+    def counted(df: DataFrame, name: str) -> DataFrame:
+        named = df.select("birth", surname.alias("surname")).filter("surname <> ''")
+        return named.groupBy("birth", "surname").agg(F.count(F.lit(1)).alias(name))
+
+    return counted(records, "records").join(counted(people, "people"), ["birth", "surname"]
+                                            ).withColumn("pairs", F.col("records") * F.col("people"))

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from evigraph.operators import entities as en
 from evigraph.operators import linkage as ln
+from evigraph.operators import pair_counts as pc
 from evigraph.plans.catalog import query
 
 
@@ -209,6 +210,14 @@ def near_misses(b):
     return ln.near_misses(_short_candidates(b), b.people_core)
 
 
+@query("near_miss_counts", f"""with {SHORT},
+a as (select birth, lower(string_split(name, ' ')[-1]) as surname, count(*) as records from short group by 1, 2),
+b as (select birth, lower(string_split(name, ' ')[-1]) as surname, count(*) as people from people group by 1, 2)
+select birth, surname, records, people, records * people as pairs from a join b using (birth, surname)""")
+def near_miss_counts(b):
+    return pc.near_miss_counts(_short_candidates(b), b.people_core)
+
+
 @query("roster_match", f"""with {SHORT},
 r as (select id, pid, name as k from people),
 sig as (select s.id, s.name as k, array_to_string(list_filter(string_split(s.name, ' '), lambda t: length(t) > 1), ' ') as sg, string_split(s.name, ' ') as t from short s),

@@ -6,6 +6,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
+from evigraph.operators import linkage as ln
 from evigraph.operators import pair_counts as pc
 from evigraph.operators import relationship_candidates as rc
 
@@ -111,3 +112,17 @@ def test_hot_groups(spark):
 def test_empty(spark):
     table = spark.createDataFrame([], SCHEMA)
     assert pc.source_pairs(table).collect() == [] and pc.concept_pairs(table).collect() == []
+
+
+def test_near_misses(spark):
+    """A third of all records on one surname: a row of numbers, equal to the listed pairs."""
+    random = np.random.default_rng(6)
+    name = lambda i: "Hot Smith" if i % 3 == 0 else ["Ann Lee", "", "-", "Bo Kane"][i % 4]
+    rows = [(f"r{i}", name(i), int(1800 + random.integers(3)) if i % 7 else None) for i in range(90)]
+    folk = [(f"p{i}", name(i), int(1800 + random.integers(3))) for i in range(120)]
+    schema = "id string, name string, birth int"
+    records, people = spark.createDataFrame(rows, schema), spark.createDataFrame(folk, schema)
+    counts = pc.near_miss_counts(records, people)
+    listed = ln.near_misses(records.filter("name not in ('', '-')"), people)
+    assert {r.surname for r in counts.collect()} == {"smith", "lee", "kane"}
+    assert counts.agg({"pairs": "sum"}).first()[0] == listed.count()
