@@ -20,7 +20,8 @@ HEADLINE = [
     "field_peers", "era_peers", "thread_gaps", "thread_junctions", "claim_changelog",
     "apply_repairs", "merge_edges", "coauthors", "text_keys", "roster_match", "near_misses",
     "merged_duplicates", "candidate_validation", "shortest_path", "link_suggestions",
-    "collaboration_for", "influence_for", "missing_edges_for",
+    "collaboration_for", "influence_for", "missing_edges_for", "candidate_matches",
+    "source_neighbor_counts", "parallel_development_counts",
 ]
 
 
