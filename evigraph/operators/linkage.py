@@ -1,8 +1,9 @@
 """Record linkage as table jobs: block, join on equal keys, score, decide.
 
 Linkage first folds identical profiles into one, so a large group of copies costs one
-profile. Block keys join two attributes that any pair reaching the cutoff must share,
-so no coarse attribute alone forms a block; no pair at or above the cutoff is lost.
+profile. People meet at their rarest signals, common ones only together with others; works
+and entities at two attributes that any pair reaching the cutoff must share. No pair at or
+above the cutoff is lost.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from evigraph.functions import text as tx
 from evigraph.operators.edge_validation import listed, reasons
 from evigraph.operators.normalize import first_per
 from evigraph.operators.substring_join import contained
+from evigraph.operators.threshold_join import sufficient_pairs
 
 # Merge thresholds in hundredths.
 AUTO, PROVISIONAL = 85, 55
@@ -83,36 +85,51 @@ PERSON_CONTEXTS = ["fields", "occupations", "works", "institutions", "movements"
 def person_profiles(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Profiles of (id, ord, name, alternate_names, birth, death, external_ids, contexts)."""
     names = F.concat(F.array("name"), listed("alternate_names"))
-    keyed = df.select("id", "ord", F.array_sort(F.array_distinct(F.transform(
-        names, tx.text_key))).alias("names"), "birth", "death",
+    keyed = df.select("id", "ord", F.array_sort(F.array_distinct(F.array_compact(F.transform(
+        names, tx.text_key)))).alias("names"), "birth", "death",
         F.array_sort(_ids("external_ids")).alias("ids"),
         *[F.array_sort(tx.key_set(F.col(c))).alias(c) for c in PERSON_CONTEXTS])
     return profiles(keyed, ["names", "birth", "death", "ids", *PERSON_CONTEXTS])
 
 
+# Weights of linked people in hundredths; ids and contexts count twice at most.
+NAME, BIRTH, NEAR_BIRTH, DEATH, ID, CONTEXT = 35, 18, 8, 8, 15, 4
+PERSON_CAPS = {"name": (1, NAME), "birth": (1, BIRTH), "death": (1, DEATH), "id": (2, 2 * ID),
+               **{c: (2, 2 * CONTEXT) for c in PERSON_CONTEXTS}}
+
+
+def person_signals(df: DataFrame, near: bool) -> DataFrame:
+    """(id, kind, value, points) of person profiles; the ``near`` side asks for near births."""
+    def signals(kind, values, points):
+        return F.transform(values, lambda v: F.struct(
+            F.lit(kind).alias("kind"), v.cast("string").alias("value"),
+            F.lit(points).alias("points")))
+
+    year = F.col("birth")
+    around = F.filter(_years(year, 2), lambda y: y != year.cast("string")) if near else (
+        _years(year, 0))
+    lists = [signals("name", F.col("names"), NAME), signals("birth", _years(year, 0), BIRTH),
+             signals("birth", around, NEAR_BIRTH),
+             signals("death", _years(F.col("death"), 0), DEATH),
+             signals("id", F.col("ids"), ID),
+             *[signals(c, F.col(c), CONTEXT) for c in PERSON_CONTEXTS]]
+    return df.select(F.col("profile_id").alias("id"), F.explode(F.concat(*lists)).alias("s")
+                     ).select("id", "s.*")
+
+
 def person_linkage(candidates: DataFrame, existing: DataFrame) -> DataFrame:
     """Scored profile pairs at or above the provisional cutoff, with reasons."""
     left, _ = person_profiles(candidates)
     right, _ = person_profiles(existing)
-
-    def keys(spread):
-        years = _years(F.col("birth"), 2 if spread else 0)
-        strong = F.concat(_tagged("w", F.col("works")), _tagged("i", F.col("institutions")))
-        context = F.concat(strong, _tagged("m", F.col("movements")),
-                           _tagged("o", F.col("occupations")))
-        names, ids = F.col("names"), F.col("ids")
-        return F.concat(_cross("nb", names, years), _cross("nc", names, context),
-                        _cross("in", ids, names), _cross("ib", ids, years),
-                        _cross("ic", ids, context), _cross("bc", years, strong))
-
-    df = _both(_blocked(left, right, keys), left, right)
+    pairs = sufficient_pairs(person_signals(left, True), person_signals(right, False),
+                             PERSON_CAPS, PROVISIONAL)
+    df = _both(pairs, left, right)
     gap = F.abs(F.col("l_birth") - F.col("r_birth"))
-    # Weights in hundredths.
-    checks = [(_hit("names") > 0, F.lit(35), "name"), (gap == 0, F.lit(18), "birth"),
-              ((gap > 0) & (gap <= 2), F.lit(8), "near-birth"),
-              (F.col("l_death") == F.col("r_death"), F.lit(8), "death"),
-              (_hit("ids") > 0, F.least(F.lit(30), _hit("ids") * 15), "external-id")]
-    checks += [(_hit(c) > 0, F.least(F.lit(8), _hit(c) * 4), c.rstrip("s"))
+    checks = [(_hit("names") > 0, F.lit(NAME), "name"), (gap == 0, F.lit(BIRTH), "birth"),
+              ((gap > 0) & (gap <= 2), F.lit(NEAR_BIRTH), "near-birth"),
+              (F.col("l_death") == F.col("r_death"), F.lit(DEATH), "death"),
+              (_hit("ids") > 0, F.least(F.lit(2 * ID), _hit("ids") * ID), "external-id")]
+    checks += [(_hit(c) > 0, F.least(F.lit(2 * CONTEXT), _hit(c) * CONTEXT), c.rstrip("s"))
                for c in PERSON_CONTEXTS]
     return _decided(df, checks)
 
