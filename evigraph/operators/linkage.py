@@ -16,6 +16,7 @@ from evigraph.operators.edge_validation import listed, reasons
 from evigraph.operators.normalize import first_per
 from evigraph.operators.substring_join import contained
 from evigraph.operators.threshold_join import sufficient_pairs
+from evigraph.session import cut_lineage
 
 # Merge thresholds in hundredths.
 AUTO, PROVISIONAL = 85, 55
@@ -119,8 +120,8 @@ def person_signals(df: DataFrame, near: bool) -> DataFrame:
 
 def person_linkage(candidates: DataFrame, existing: DataFrame) -> DataFrame:
     """Scored profile pairs at or above the provisional cutoff, with reasons."""
-    left, _ = person_profiles(candidates)
-    right, _ = person_profiles(existing)
+    # Folded once, as signals and scores both read them.
+    left, right = (cut_lineage(person_profiles(df)[0]) for df in (candidates, existing))
     pairs = sufficient_pairs(person_signals(left, True), person_signals(right, False),
                              PERSON_CAPS, PROVISIONAL)
     df = _both(pairs, left, right)
