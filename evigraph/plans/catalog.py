@@ -26,11 +26,16 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+def sql_of(name: str) -> str:
+    """Whole statement of a query that is registered already, to build another on."""
+    return _SQL[name]
+
+
 def _load() -> None:
     from evigraph.plans import (  # noqa: F401
         discovery_queries, evidence_queries, exploration_queries, graph_queries,
         ingest_queries, linkage_queries, merge_queries, model_queries, quality_queries,
-        thread_queries,
+        review_queries, thread_queries,
     )
 
 

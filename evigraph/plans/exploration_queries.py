@@ -380,13 +380,17 @@ select candidate_id, person_id, score, cast(gap as int) as gap, case when taught
 from ranked where position <= 5""")
 def candidate_matches(b):
     """Suggestions from every signal, without a candidate's rejected people."""
+    return matched_candidates(b, 5).select(
+        "candidate_id", "person_id", "score", "confidence", "position", "gap", "category",
+        "explanation")
+
+
+def matched_candidates(b, limit):
     tens = b.candidates.filter("ord % 10 = 0").select(
         F.col("id").alias("candidate_id"), F.expr("ord div 10").alias("page"))
     refused = tens.join(b.people_core.select(
         F.col("id").alias("person_id"), F.expr("ord div 400").alias("page")), "page").drop("page")
-    return sg.candidate_suggestions(b.rich_candidates, b.people, refused).select(
-        "candidate_id", "person_id", "score", "confidence", "position", "gap", "category",
-        "explanation")
+    return sg.candidate_suggestions(b.rich_candidates, b.people, refused, limit=limit)
 
 
 @query("suggested_edges", """with pairs as (select distinct person_id as a, value as b from evidence_links where kind = 'coauthor' and person_id <> value)
