@@ -22,6 +22,7 @@ HEADLINE = [
     "merged_duplicates", "candidate_validation", "shortest_path", "link_suggestions",
     "collaboration_for", "influence_for", "missing_edges_for", "candidate_matches",
     "source_neighbor_counts", "parallel_development_counts",
+    "import_review_audit", "record_conflicts",
 ]
 
 

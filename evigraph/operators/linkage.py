@@ -185,6 +185,73 @@ def preserved_conflicts(matches: DataFrame, candidates: DataFrame, existing: Dat
             .filter("candidate_value <> existing_value"))
 
 
+def matched_records(matches: DataFrame, members: DataFrame, side: str) -> DataFrame:
+    """(candidate_profile, existing_profile, side, record_id): every record of one side.
+
+    A row per record and match, never one per pair of records: copies meet through their
+    profiles. ``members`` is (id, profile_id) of that side.
+    """
+    return matches.select("candidate_profile", "existing_profile").join(
+        members.select(F.col("profile_id").alias(f"{side}_profile"), F.col("id").alias(
+            "record_id")), f"{side}_profile").select(
+        "candidate_profile", "existing_profile", F.lit(side).alias("side"), "record_id")
+
+
+def _stated(records: DataFrame, members: DataFrame, fields: list[str]) -> DataFrame:
+    """(profile_id, field, value, records): what a profile's records state, counted."""
+    values = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value"))
+                       for f in fields])
+    return (records.select("id", F.explode(values).alias("x")).select("id", "x.*")
+            .filter("value is not null").join(members, "id")
+            .groupBy("profile_id", "field", "value").agg(F.count(F.lit(1)).alias("records")))
+
+
+def record_conflicts(matches: DataFrame, candidates: tuple[DataFrame, DataFrame],
+                     existing: tuple[DataFrame, DataFrame], fields: list[str]) -> DataFrame:
+    """Every value of a field on which any two records of a match disagree.
+
+    Each side is (records, members). Values are counted per profile before matches meet them,
+    so copies cost nothing. Rows are (candidate_profile, existing_profile, field, side, value,
+    records); a field that one side leaves out is no conflict.
+    """
+    pairs = matches.select("candidate_profile", "existing_profile").distinct()
+
+    def stated(side, records, members):
+        values = _stated(records, members, fields).withColumnRenamed(
+            "profile_id", f"{side}_profile")
+        return pairs.join(values, f"{side}_profile").select(
+            "candidate_profile", "existing_profile", "field", F.lit(side).alias("side"), "value",
+            "records")
+
+    keys = ["candidate_profile", "existing_profile", "field"]
+    rows = stated("candidate", *candidates).unionByName(stated("existing", *existing))
+    torn = rows.groupBy(*keys).agg(
+        F.min("side").alias("_a"), F.max("side").alias("_b"), F.min("value").alias("_low"),
+        F.max("value").alias("_high")).filter("_a <> _b and _low <> _high").select(*keys)
+    return rows.join(torn, keys, "left_semi")
+
+
+def conflict_evidence(conflicts: DataFrame, candidates: DataFrame, existing: DataFrame,
+                      claims: DataFrame) -> DataFrame:
+    """The claims and observations that state a side's value of a conflict, one a row.
+
+    ``candidates`` and ``existing`` are members (id, profile_id); ``claims`` are (id,
+    observation_id, subject_id, field, value) about records of either side.
+    """
+    told = claims.select(F.col("id").alias("claim_id"), "observation_id",
+                         F.col("subject_id").alias("id"), "field", "value")
+
+    def backed(side, members):
+        rows = told.join(members, "id").select(
+            F.col("profile_id").alias(f"{side}_profile"), "field", "value",
+            F.col("id").alias("record_id"), "claim_id", "observation_id")
+        return conflicts.filter(F.col("side") == side).join(
+            rows, [f"{side}_profile", "field", "value"]).select(
+            *conflicts.columns, "record_id", "claim_id", "observation_id")
+
+    return backed("candidate", candidates).unionByName(backed("existing", existing))
+
+
 WORK_IDS = {"doi": 35, "isbn": 25, "openalex": 25, "wikidata": 25}
 
 

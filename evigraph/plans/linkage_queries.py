@@ -81,6 +81,72 @@ def merge_decisions(b):
         "candidate_profile", "existing_profile", "conflicts", "decision", "manual_review")
 
 
+def _copied_records(b):
+    """Candidates, every third of them twice, and people, each with their members."""
+    found, people = _person_records(b)
+    copies = found.filter("ord % 3 = 0").withColumns({
+        "id": F.concat("id", F.lit("-copy")), "ord": F.col("ord") + 1000000000})
+    both, people = (df.withColumn("movement", F.get("movements", F.lit(0)))
+                    for df in (found.unionByName(copies), people))
+    return (both, ln.person_profiles(both)[1]), (people, ln.person_profiles(people)[1])
+
+
+COPIES = """copies as (select id, id as rid from candidates union all select id, id || '-copy' from candidates where ord % 3 = 0),
+matched as (select cid, pid from pairs where name + birth + death + ids + fields + works + inst + mov >= 55)"""
+CONFLICTS = COPIES + """,
+facts as (select c.id as profile, 'candidate' as side, unnest([{'f': 'birth', 'v': cast(birth as varchar)}, {'f': 'death', 'v': cast(death as varchar)}, {'f': 'movement', 'v': movement}]) as x, rid from candidates c join copies using (id)
+  union all select id, 'existing', unnest([{'f': 'birth', 'v': cast(birth as varchar)}, {'f': 'death', 'v': cast(death as varchar)}, {'f': 'movement', 'v': movement}]), id from people),
+stated as (select m.cid, m.pid, f.side, f.x.f as field, f.x.v as value, count(*) as records from matched m join facts f
+  on f.profile = case f.side when 'candidate' then m.cid else cast(m.pid as varchar) end where f.x.v is not null group by all),
+torn as (select cid, pid, field from stated group by all having count(distinct side) = 2 and count(distinct value) > 1),
+conflicts as (select s.* from stated s join torn using (cid, pid, field))"""
+
+
+@query("record_matches", f"""with {PERSON_PAIRS}, {COPIES}
+select m.cid as candidate_profile, cast(m.pid as varchar) as existing_profile, 'candidate' as side, c.rid as record_id from matched m join copies c on c.id = m.cid
+union all select cid, cast(pid as varchar), 'existing', cast(pid as varchar) from matched""")
+def record_matches(b):
+    (found, copies), (people, known) = _copied_records(b)
+    matches = ln.person_linkage(found, people)
+    return ln.matched_records(matches, copies, "candidate").unionByName(
+        ln.matched_records(matches, known, "existing"))
+
+
+@query("record_conflicts", f"""with {PERSON_PAIRS}, {CONFLICTS}
+select cid as candidate_profile, cast(pid as varchar) as existing_profile, field, side, value, records from conflicts""")
+def record_conflicts(b):
+    left, right = _copied_records(b)
+    matches = ln.person_linkage(left[0], right[0])
+    return ln.record_conflicts(matches, left, right, ["birth", "death", "movement"])
+
+
+@query("conflict_evidence", f"""with {PERSON_PAIRS}, {CONFLICTS}
+select c.cid as candidate_profile, cast(c.pid as varchar) as existing_profile, c.field, c.side, c.value, c.records, 'q' || cast(e.user_id as varchar) as record_id,
+  'c' || cast(e.event_id as varchar) as claim_id, 'o' || cast(e.event_id // 10 as varchar) as observation_id
+from conflicts c join events e on c.cid = 'q' || cast(e.user_id as varchar) join candidates q on q.id = c.cid
+where c.side = 'candidate' and e.event_id % 2 = 1 and c.field = 'birth' and c.value = cast(q.birth as varchar)
+union all
+select c.cid, cast(c.pid as varchar), c.field, c.side, c.value, c.records, cast(c.pid as varchar), 'c' || cast(e.event_id as varchar), 'o' || cast(e.event_id // 10 as varchar)
+from conflicts c join events e on e.event_id // 7 = c.pid join people p on p.pid = c.pid
+where c.side = 'existing' and e.event_id % 2 = 0 and c.field = 'birth' and c.value = cast(p.birth as varchar)""")
+def conflict_evidence(b):
+    """Odd events state the birth of a candidate, even ones that of a person."""
+    n = F.col("event_id")
+    left, right = _copied_records(b)
+    subject = F.when(n % 2 == 1, F.concat(F.lit("q"), F.col("user_id").cast("string"))
+                     ).otherwise(F.expr("event_id div 7").cast("string"))
+    facts = left[0].select("id", F.lit("birth").alias("field"), F.col("birth").alias("v")).union(
+        right[0].select("id", F.lit("birth"), "birth")).select(
+        F.col("id").alias("subject_id"), "field", F.col("v").cast("string").alias("value"))
+    claims = b.table("events").select(
+        F.concat(F.lit("c"), n.cast("string")).alias("id"), F.concat(
+            F.lit("o"), F.expr("event_id div 10").cast("string")).alias("observation_id"),
+        subject.alias("subject_id")).join(facts, "subject_id")
+    matches = ln.person_linkage(left[0], right[0])
+    conflicts = ln.record_conflicts(matches, left, right, ["birth", "death", "movement"])
+    return ln.conflict_evidence(conflicts, left[1], right[1], claims)
+
+
 @query("work_linkage", """with
 works as (select p_partkey as k, 'w' || cast(p_partkey as varchar) as id, p_name || ' ' || cast(p_partkey % 300 as varchar) as title, 'a' || cast(p_size as varchar) as author,
   cast(1800 + p_size as int) as date, '10.1/' || cast(p_partkey // 2 as varchar) as doi, case when p_partkey % 3 = 0 then 'i' || cast(p_partkey // 4 as varchar) end as isbn from part),
