@@ -287,19 +287,23 @@ def top_relatives(people: DataFrame, edges: DataFrame, limit: int = 5) -> DataFr
 def field_peers(people: DataFrame, limit: int = 8) -> DataFrame:
     """Best-bridging people sharing a field with each person.
 
-    Only the ``limit + 1`` best of a field can be peers of anyone, so every person
-    meets that short list instead of the whole field.
+    Only the ``limit + 1`` best of a field can be peers of anyone. Their list is made once
+    per set of fields, and every person takes the first of it.
     """
     rows = people.select("id", "ord", F.coalesce("bridge_score", F.lit(1)).alias("bridge"),
                          F.explode(F.array_distinct("fields")).alias("field"))
     order = Window.partitionBy("field").orderBy(F.desc("bridge"), "ord")
     best = rows.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= limit + 1)
-    peers = rows.select(F.col("id").alias("person_id"), "field").join(
-        best.select("field", F.col("id").alias("peer_id"), "ord", "bridge"), "field").filter(
-        "person_id <> peer_id").drop("field").distinct()
-    rank = Window.partitionBy("person_id").orderBy(F.desc("bridge"), "ord")
-    return peers.withColumn("position", F.row_number().over(rank)).filter(
-        F.col("position") <= limit).select("person_id", "peer_id", "position")
+    # People with the same fields have the same peers but for themselves.
+    mine = rows.groupBy(F.col("id").alias("person_id")).agg(
+        F.array_sort(F.collect_set("field")).alias("shared"))
+    lists = mine.select("shared").distinct().withColumn("field", F.explode("shared")).join(
+        best.select("field", F.struct((-F.col("bridge")).alias("bridge"), "ord", "id").alias("peer")),
+        "field").groupBy("shared").agg(F.sort_array(F.collect_set("peer")).alias("peers"))
+    met = mine.join(lists, "shared").select("person_id", F.posexplode(F.slice(F.filter(
+        "peers", lambda p: p["id"] != F.col("person_id")), 1, limit)).alias("pos", "peer"))
+    return met.select("person_id", F.col("peer.id").alias("peer_id"),
+                      (F.col("pos") + 1).alias("position"))
 
 
 def era_peers(people: DataFrame, limit: int = 8) -> DataFrame:

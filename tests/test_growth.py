@@ -4,6 +4,7 @@ import itertools
 import random
 
 from evigraph.operators import missing_edges as me
+from evigraph.operators import traversal as tr
 from tests.fixtures import people
 
 
@@ -32,3 +33,14 @@ def test_context_pairs_are_not_grouped(spark):
     assert "Aggregate" not in plan(out).split("Join")[0]
     got = out.collect()
     assert {(r.source, r.target): r.note for r in got} == want and len(got) == len(want)
+
+
+def test_field_peers_by_set_of_fields(spark):
+    table = people(spark, *[{"id": f"p{n}", "birth": 1800, "fields": [f"f{n % 3}", f"g{n % 2}"],
+                             "bridge_score": n % 4} for n in range(60)])
+    out = tr.field_peers(table, 3)
+    assert "windowspecdefinition(person_id" not in plan(out)
+    best = lambda n: sorted((m for m in range(60) if m != n and (
+        m % 3 == n % 3 or m % 2 == n % 2)), key=lambda m: (-(m % 4), m))[:3]
+    assert {(r.person_id, r.position): r.peer_id for r in out.collect()} == {
+        (f"p{n}", i + 1): f"p{m}" for n in range(60) for i, m in enumerate(best(n))}
