@@ -95,16 +95,29 @@ def coauthors(dump: DataFrame, authors: DataFrame | None = None) -> DataFrame:
     """
     rows = dump.select(F.col("id").alias("work_id"), "ord", "authorships",
                        F.explode("authorships").alias("a")).select(
-        "work_id", "ord", "authorships", F.col("a.author.id").alias("author_id"))
+        "work_id", "ord", "authorships", F.col("a.author.id").alias("author_id"),
+        F.col("a.author.display_name").alias("author_name"))
+    met = "author_id < coauthor_id"
     if authors is not None:
         rows = rows.join(authors.select(F.col("id").alias("author_id")), "author_id", "left_semi")
-    pairs = rows.select("work_id", "ord", "author_id", F.explode("authorships").alias("c")).select(
-        "work_id", "ord", "author_id", F.col("c.author.id").alias("coauthor_id"),
-        F.col("c.author.display_name").alias("name")).filter(
-        "coauthor_id is not null and coauthor_id <> author_id")
+        met = "author_id <> coauthor_id"
+    # Without focal authors a pair is met once and read in both directions.
+    pairs = rows.select("work_id", "ord", "author_id", "author_name",
+                        F.explode("authorships").alias("c")).select(
+        "work_id", "ord", "author_id", F.col("c.author.id").alias("coauthor_id"), "author_name",
+        F.col("c.author.display_name").alias("name")).filter(met)
     person = lambda c: F.concat(F.lit("person:"), F.lower(id_part(F.col(c))))
-    last = pairs.groupBy("author_id", "coauthor_id").agg(
-        F.max_by(F.struct("work_id", "name"), "ord").alias("w"))
+    # Ids begin alike, so a hash comes first in the sort that groups them.
+    last = pairs.groupBy(F.xxhash64("author_id", "coauthor_id").alias("h"), "author_id",
+                         "coauthor_id").agg(
+        F.max_by(F.struct("work_id", "name", "author_name"), "ord").alias("w"))
+    way = lambda a, c, name: F.struct(F.col(a).alias("author_id"),
+                                      F.col(c).alias("coauthor_id"), F.struct(
+        "w.work_id", F.col(f"w.{name}").alias("name")).alias("w"))
+    ways = [way("author_id", "coauthor_id", "name")]
+    if authors is None:
+        ways.append(way("coauthor_id", "author_id", "author_name"))
+    last = last.select(F.inline(F.array(*ways)))
     kind = F.lit("person collaborated with person")
     rel = tx.relationship_id(person("author_id"), person("coauthor_id"), kind)
     return last.select(

@@ -5,6 +5,7 @@ import random
 
 from evigraph.operators import missing_edges as me
 from evigraph.operators import traversal as tr
+from evigraph.sources import dumps
 from tests.fixtures import people
 
 
@@ -44,3 +45,26 @@ def test_field_peers_by_set_of_fields(spark):
         m % 3 == n % 3 or m % 2 == n % 2)), key=lambda m: (-(m % 4), m))[:3]
     assert {(r.person_id, r.position): r.peer_id for r in out.collect()} == {
         (f"p{n}", i + 1): f"p{m}" for n in range(60) for i, m in enumerate(best(n))}
+
+
+def test_coauthors_meet_once(spark):
+    rng, rows, last = random.Random(3), [], {}
+    for n in range(40):
+        names = rng.sample("abcdefg", rng.randrange(1, 5))
+        rows.append((f"w/W{n}", n, [((f"a/A{c}", f"{c} of {n}"),) for c in names]))
+        last.update({(f"a{p}", f"a{q}"): (f"{q} of {n}", f"w{n}")
+                     for p, q in itertools.permutations(names, 2)})
+    dump = spark.createDataFrame(rows, "id string, ord long, authorships array<struct<author:"
+                                       "struct<id:string,display_name:string>>>")
+
+    def got(df):
+        return {(r.source_id[7:], r.target_id[7:]): (
+            r.label.split(" collaborated with ")[1], r.claim_id.split("-")[-1])
+            for r in df.collect()}
+
+    out = dumps.coauthors(dump)
+    assert "xxhash64" in plan(out)
+    assert got(out) == last
+    focal = spark.createDataFrame([("a/Aa",), ("a/Ac",)], "id string")
+    assert got(dumps.coauthors(dump, focal)) == {
+        k: v for k, v in last.items() if k[0] in ("aa", "ac")}
