@@ -3,6 +3,9 @@
 import itertools
 import random
 
+from pyspark.sql import functions as F
+
+from evigraph.functions import text as tx
 from evigraph.operators import missing_edges as me
 from evigraph.operators import traversal as tr
 from evigraph.sources import dumps
@@ -68,3 +71,11 @@ def test_coauthors_meet_once(spark):
     focal = spark.createDataFrame([("a/Aa",), ("a/Ac",)], "id string")
     assert got(dumps.coauthors(dump, focal)) == {
         k: v for k, v in last.items() if k[0] in ("aa", "ac")}
+
+
+def test_evidence_tokens_without_lambdas(spark):
+    texts = ["Known Theory of QUANTUM quantum-fields, 12345 1234", "", None, "a\x0blonger\tlonger"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").select(
+        tx.evidence_tokens(F.col("text")).alias("w"))
+    assert [r.w for r in df.collect()] == [["quantum", "fields", "12345"], [], None, ["longer"]]
+    assert "lambda" not in plan(df)
