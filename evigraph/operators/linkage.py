@@ -437,10 +437,25 @@ def duplicate_pairs(people: DataFrame, limit: int = 20) -> DataFrame:
               + F.when(within, 5).otherwise(0)
               + F.when(F.abs(F.col("a_birth") - F.col("b_birth")) <= 3, 3).otherwise(0)
               + F.when(F.arrays_overlap("a_fields", "b_fields"), 2).otherwise(0))
-    return (ordered.withColumn("score", points).filter("score >= 7")
-            .dropDuplicates(["a_ord", "b_ord"])
-            .orderBy(F.desc("score"), "a_ord", "b_ord").limit(limit)
-            .select("a_id", "b_id", "score", "a_ord", "b_ord"))
+    scored = ordered.select("a_id", "b_id", points.alias("score"), "a_ord", "b_ord").filter(
+        "score >= 7")
+    return _first_pairs(scored, limit)
+
+
+def _first_pairs(scored: DataFrame, limit: int) -> DataFrame:
+    """The first ``limit`` pairs by score and order, each once. A pair comes as often as there
+    are ways to meet it, so a short list of the best rows is taken, longer if it has too few
+    pairs; the rows themselves are never sorted or grouped."""
+    order = [F.desc("score"), "a_ord", "b_ord"]
+    rows = 32 * limit
+    while True:
+        best = cut_lineage(scored.orderBy(*order).limit(rows))
+        pairs = best.groupBy("a_ord", "b_ord").agg(
+            F.max("score").alias("score"), F.min("a_id").alias("a_id"), F.min("b_id").alias("b_id"))
+        if best.count() < rows or pairs.count() >= limit:
+            return pairs.orderBy(*order).limit(limit).select(
+                "a_id", "b_id", "score", "a_ord", "b_ord")
+        rows *= 8
 
 
 def conservative_match(records: DataFrame, people: DataFrame) -> DataFrame:

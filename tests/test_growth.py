@@ -6,6 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from evigraph.functions import text as tx
+from evigraph.operators import linkage as ln
 from evigraph.operators import missing_edges as me
 from evigraph.operators import traversal as tr
 from evigraph.sources import dumps
@@ -79,3 +80,13 @@ def test_evidence_tokens_without_lambdas(spark):
         tx.evidence_tokens(F.col("text")).alias("w"))
     assert [r.w for r in df.collect()] == [["quantum", "fields", "12345"], [], None, ["longer"]]
     assert "lambda" not in plan(df)
+
+
+def test_first_pairs_of_many_rows(spark):
+    often = spark.range(1, 400).select(F.lit("p1").alias("a_id"), F.lit("p2").alias("b_id"),
+                                       F.lit(18).alias("score"), F.lit(1).alias("a_ord"),
+                                       F.lit(2).alias("b_ord"))
+    rest = spark.range(3, 50).select(F.lit("p1"), F.concat(F.lit("p"), "id"), F.lit(9), F.lit(1),
+                                     F.col("id").cast("int"))
+    out = ln._first_pairs(often.union(rest), 5).collect()
+    assert [(r.b_id, r.score) for r in out] == [("p2", 18), *[(f"p{n}", 9) for n in range(3, 7)]]
