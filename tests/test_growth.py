@@ -6,11 +6,12 @@ import random
 from pyspark.sql import functions as F
 
 from evigraph.functions import text as tx
+from evigraph.operators import groups as gr
 from evigraph.operators import linkage as ln
 from evigraph.operators import missing_edges as me
 from evigraph.operators import traversal as tr
 from evigraph.sources import dumps
-from tests.fixtures import people
+from tests.fixtures import claims, edges, people, threads
 
 
 def plan(df) -> str:
@@ -90,3 +91,30 @@ def test_first_pairs_of_many_rows(spark):
                                      F.col("id").cast("int"))
     out = ln._first_pairs(often.union(rest), 5).collect()
     assert [(r.b_id, r.score) for r in out] == [("p2", 18), *[(f"p{n}", 9) for n in range(3, 7)]]
+
+
+def test_context_of_chosen_people_alone(spark):
+    """Pairs of mere context, pairs with other evidence and people listed twice."""
+    rows, table = crowd(spark)
+    table = table.unionByName(table.filter("ord % 9 = 2").withColumn("birth", F.col("birth") + 1))
+    table = table.withColumn("influenced", F.array().cast("array<string>"))
+    focus = table.filter("ord % 3 = 0").select("id").distinct()
+    told = threads(spark, *[{"id": f"t{n}", "people": [f"p{n}", f"p{n + 3}"]} for n in range(50)])
+    linked = edges(spark, *[{"source": f"p{n}", "target": f"p{n + 6}", "type": me.NEIGHBOR}
+                            for n in range(40)])
+    none = claims(spark)
+    rows = me.evidence_rows(table, linked, none, told, focus)
+    pairs = gr.partners(me._context(table), focus).select(
+        F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+    stated = rows.filter("channel <> 2").drop("key_a", "key_b")
+    whole = me.without_existing(stated.unionByName(me._context_rows(pairs, table)), linked)
+    columns = ["key_a", "key_b", "type", "source", "target", "strength", "confidence", "evidence"]
+    pick = lambda df: sorted(map(tuple, df.select(*columns).collect()))
+    assert rows.count() < whole.count() / 2
+    assert pick(me.discover(table, linked, none, told, focus)) == pick(me.merge(whole))
+    for few in (0, 64):
+        me.FEW, before = few, me.FEW
+        alone = me.lone_context(table, linked, rows, focus)
+        me.FEW = before
+        assert pick(alone.unionByName(me.merge(rows), allowMissingColumns=True)) == pick(
+            me.merge(whole))
