@@ -11,6 +11,7 @@ from __future__ import annotations
 import uuid
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -163,6 +164,10 @@ def restore(spark: SparkSession, root: str) -> tuple[int, dict[str, DataFrame]]
             whole = found.exceptAll(wanted).isEmpty()
         except PySparkException:
             continue
+        except Py4JJavaError as error:  # a file cut short, found while the schema is read
+            if "FAILED_READ_FILE" not in str(error):
+                raise
+            continue
         if whole:
             return version, tables
     return None
