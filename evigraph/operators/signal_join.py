@@ -6,6 +6,9 @@ number; so a slice holds few who still count. They are met at the asker's rarest
 keys that can still lead above that score, and a key that brings many and does not suffice by
 itself is made longer by each later signal, until it is rare or proves the score. A pair is
 scored where it is met, and only pairs above the score are shuffled.
+
+Tables between the rounds are narrow (an asker's signals are looked up by his number) and are
+removed when the round after them is written, so the folder holds one round at a time.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evigraph.session import cut_lineage
+from evigraph.session import Scratch, cut_lineage
 
 #: People of the first slice, how many times all before it a later slice is, and the people of
 #: one key that are cheaper to score than to tell apart. They change no answer.
@@ -33,28 +36,29 @@ def life_gap(c_birth: str, c_death: str, birth: str, death: str) -> Column:
                    F.abs(F.col(c_birth) - F.coalesce(death, birth)))
 
 
-def _wanted(held: DataFrame, wanted: DataFrame) -> DataFrame:
+def _wanted(held: DataFrame, wanted: DataFrame, tables: Scratch) -> DataFrame:
     """People with the wanted among their signals, repeats included."""
     flat = held.select("p_ord", "birth", "death", F.explode("keys").alias("k"))
-    return cut_lineage(flat.join(wanted, "k", "left_semi").groupBy("p_ord").agg(
+    return tables.keep(flat.join(wanted, "k", "left_semi").groupBy("p_ord").agg(
         F.first("birth").alias("birth"), F.first("death").alias("death"),
         F.sort_array(F.collect_list("k")).alias("keys")))
 
 
-def _codes(people: DataFrame) -> DataFrame:
+def _codes(people: DataFrame, tables: Scratch) -> DataFrame:
     """A number for each signal that people have, the rarest first, and how often one person
     has it at most."""
     counted = F.transform(F.array_distinct("keys"), lambda k: F.struct(
         k.alias("k"), F.size(F.filter("keys", lambda v: v == k)).alias("times")))
     found = people.select(F.inline(counted)).groupBy("k").agg(
         F.count(F.lit(1)).alias("length"), F.max("times").alias("times"))
-    return cut_lineage(found.orderBy("length", "k").select(
+    return tables.keep(found.orderBy("length", "k").select(
         "k", "times", F.monotonically_increasing_id().alias("code")))
 
 
-def _askers(asked: DataFrame, codes: DataFrame, cap: int, points: int) -> DataFrame:
-    """A row per asker and life: his signals, the rarest first, with their points and what they
-    (``own``, ``tokens``) and all later ones (``own_after``, ``tokens_after``) give at most."""
+def _askers(asked: DataFrame, codes: DataFrame, tables: Scratch) -> DataFrame:
+    """A row per asker and life with his ``signals``, the rarest first, and for each of them in
+    ``steps`` what it (``own``, ``tokens``) and all later ones (``own_after``, ``tokens_after``)
+    give at most."""
     flat = asked.select("c_ord", F.inline("signals")).groupBy("c_ord", "k").agg(
         F.sum("points").alias("points"), F.max("token").alias("token")).join(codes, "k")
     later = Window.partitionBy("c_ord").orderBy(F.desc("code")).rowsBetween(
@@ -63,10 +67,13 @@ def _askers(asked: DataFrame, codes: DataFrame, cap: int, points: int) -> DataFr
                              "tokens": F.col("token") * F.col("times")})
     flat = flat.withColumns({f"{c}_after": F.coalesce(F.sum(c).over(later), F.lit(0))
                              for c in ("own", "tokens")})
-    signals = flat.groupBy("c_ord").agg(F.array_sort(F.collect_list(F.struct(
-        "code", "points", "token", "own", "tokens", "own_after", "tokens_after"))).alias("signals"))
+    listed = lambda *columns: F.array_sort(F.collect_list(F.struct(*columns)))
+    signals = flat.groupBy("c_ord").agg(
+        listed("code", "points", "token").alias("signals"),
+        listed("code", "own", "tokens", "own_after", "tokens_after").alias("steps"))
     lives = asked.groupBy("c_ord", "c_birth", "c_death").agg(F.count(F.lit(1)).alias("copies"))
-    return cut_lineage(lives.join(signals, "c_ord"))
+    return tables.keep(lives.join(signals, "c_ord").withColumn(
+        "asker", F.monotonically_increasing_id()))
 
 
 def _limits(people: DataFrame) -> list[int]:
@@ -95,47 +102,67 @@ def _bounded(pairs: DataFrame, cap: int, points: int) -> DataFrame:
     gap = F.when(F.col("c_birth").isNotNull(), life_gap("c_birth", "c_death", "birth", "death")
                  ).otherwise(300)
     time = time_points(F.col("c_birth").isNotNull(), F.col("gap"))
-    base = F.aggregate("signals", nothing, add, lambda acc: acc["own"] + points * F.least(
+    hits = F.filter("signals", lambda x: F.array_contains("codes", x["code"]))
+    base = F.aggregate(hits, nothing, add, lambda acc: acc["own"] + points * F.least(
         acc["tokens"], F.lit(cap)))
     return pairs.withColumn("gap", gap).withColumn("score", base + time).filter(
         F.col("score") > F.col("floor")).select(
         "c_ord", "c_birth", "c_death", "copies", "p_ord", "score", "gap")
 
 
-def _above(askers: DataFrame, people: DataFrame, cap: int, points: int) -> DataFrame:
+def _above(askers: DataFrame, people: DataFrame, cap: int, points: int,
+           tables: Scratch) -> DataFrame:
     """All pairs whose score exceeds the asker's ``floor``, some of them several times."""
     root = {"key": F.lit(0).cast("long"), "last": F.lit(-1).cast("long")}
-    mine = askers.withColumns({**root, "sum": F.lit(0).cast("long"),
-                               "count": F.lit(0).cast("long")})
+    paths = askers.select("asker", "c_birth", "steps", "floor")
+    lives = askers.select("asker", "c_ord", "c_birth", "c_death", "copies", "signals", "floor")
+    mine = paths.withColumns({**root, "sum": F.lit(0).cast("long"),
+                              "count": F.lit(0).cast("long")})
     theirs = people.withColumns(root)
     # What time gives at most.
     time = F.when(F.col("c_birth").isNotNull(), 6).otherwise(0)
     own, tokens = F.col("sum") + F.col("x.own"), F.col("count") + F.col("x.tokens")
     most = lambda a, b: a + points * F.least(b, F.lit(cap)) + time
     longer = F.xxhash64("key", "code")
-    found = []
+    tasks = int(people.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found, before = [], None
     while True:
-        kept = ["c_ord", "c_birth", "c_death", "copies", "signals", "floor"]
+        step = Scratch(people.sparkSession)
         mine = mine.withColumn("x", F.explode(F.filter(
-            "signals", lambda x: x["code"] > F.col("last")))).filter(
+            "steps", lambda x: x["code"] > F.col("last")))).filter(
             most(own + F.col("x.own_after"), tokens + F.col("x.tokens_after")) > F.col("floor"))
-        mine = mine.withColumn("code", F.col("x.code")).select(
-            *kept, longer.alias("key"), F.col("code").alias("last"), own.alias("sum"),
-            tokens.alias("count"), (most(own, tokens) > F.col("floor")).alias("sure"))
+        mine = step.keep(mine.withColumn("code", F.col("x.code")).select(
+            "asker", longer.alias("key"), F.col("code").alias("last"), own.alias("sum"),
+            tokens.alias("count"), (most(own, tokens) > F.col("floor")).alias("sure")))
         theirs = theirs.withColumn("code", F.explode(F.array_distinct(F.filter(
             "codes", lambda v: v > F.col("last"))))).select(
             "p_ord", "birth", "death", "codes", longer.alias("key"), F.col("code").alias("last"))
-        mine = cut_lineage(mine)
-        theirs = cut_lineage(theirs.join(mine.select("key").distinct(), "key", "left_semi"))
+        theirs = step.keep(theirs.join(mine.select("key").distinct(), "key", "left_semi"))
         lengths = theirs.groupBy("key").agg(F.count(F.lit(1)).alias("length"))
-        mine = mine.join(lengths, "key").withColumn(
-            "open", F.col("sure") | (F.col("length") <= OPEN)).drop("length", "sure")
-        met = mine.filter("open").drop("last").join(theirs.drop("last"), "key")
-        found.append(cut_lineage(_bounded(met, cap, points)))
-        mine = cut_lineage(mine.filter("not open").drop("open"))
+        mine = step.keep(mine.join(lengths, "key").withColumn(
+            "open", F.col("sure") | (F.col("length") <= OPEN)).drop("length", "sure"))
+        if before is not None:
+            before.remove()
+        opened = mine.filter("open").select("asker", "key")
+        hosts = theirs.drop("last").join(opened.select("key").distinct(), "key", "left_semi")
+        # Few rows meet many: however small their file, all tasks share the scoring.
+        met = opened.repartition(tasks, "asker", "key").join(lives, "asker").join(hosts, "key")
+        found.append(tables.keep(_bounded(met, cap, points)))
+        mine = mine.filter("not open").drop("open")
         if mine.isEmpty():
+            step.remove()
             return reduce(DataFrame.unionByName, found)
         theirs = theirs.join(mine.select("key").distinct(), "key", "left_semi")
+        mine, before = mine.join(paths, "asker"), step
+
+
+def _allowed(pairs: DataFrame, rejected: DataFrame | None) -> DataFrame:
+    """The pairs that are not rejected; those of askers who reject nobody are not shuffled."""
+    if rejected is None:
+        return pairs
+    choosy = rejected.select("c_ord").distinct()
+    return pairs.join(choosy, "c_ord", "left_anti").unionByName(
+        pairs.join(choosy, "c_ord", "left_semi").join(rejected, ["c_ord", "p_ord"], "left_anti"))
 
 
 def top_matches(asked: DataFrame, held: DataFrame, limit: int, cutoff: float, token_points: int,
@@ -147,16 +174,20 @@ def top_matches(asked: DataFrame, held: DataFrame, limit: int, cutoff: float, to
     ``cutoff`` are halves. A person counts who shares a signal and is not in
     ``rejected(c_ord, p_ord)``. An asker's own rejections widen his search, and nobody else's.
     """
-    people = _wanted(held, asked.select(F.inline("signals")).select("k").distinct())
-    codes = _codes(people)
-    askers = _askers(asked, codes, token_cap, token_points)
-    coded = cut_lineage(people.select("p_ord", "birth", "death", F.explode("keys").alias("k")).join(
+    spark = asked.sparkSession
+    tables = Scratch(spark)
+    people = _wanted(held, asked.select(F.inline("signals")).select("k").distinct(), tables)
+    codes = _codes(people, tables)
+    askers = _askers(asked, codes, tables)
+    coded = tables.keep(people.select("p_ord", "birth", "death", F.explode("keys").alias("k")).join(
         codes.select("k", "code"), "k").groupBy("p_ord").agg(
         F.first("birth").alias("birth"), F.first("death").alias("death"),
         F.sort_array(F.collect_list("code")).alias("codes")))
+    if rejected is not None:
+        rejected = tables.keep(rejected.select("c_ord", "p_ord"))
     rank = Window.partitionBy("c_ord").orderBy(F.desc("score"), "p_ord")
     place = F.row_number().over(rank)
-    best, low = None, None
+    best, low, before = None, None, None
     for high in [*_limits(people), None]:
         part = coded if low is None else coded.filter(F.col("p_ord") > low)
         part = part if high is None else part.filter(F.col("p_ord") <= high)
@@ -167,13 +198,18 @@ def top_matches(asked: DataFrame, held: DataFrame, limit: int, cutoff: float, to
                 "least")).filter(F.col("n") >= limit)
             live = askers.join(full, "c_ord", "left").withColumn(
                 "floor", F.coalesce("least", floor)).drop("n", "least")
-        new = _above(live, part, token_cap, token_points).distinct()
-        if rejected is not None:
-            new = new.join(rejected.select("c_ord", "p_ord"), ["c_ord", "p_ord"], "left_anti")
+        passing, lasting = Scratch(spark), Scratch(spark)
+        new = _allowed(_above(passing.keep(live), part, token_cap, token_points, passing), rejected)
+        # A pair met several times has one rank, so the first ranks hold the first rows.
+        new = new.withColumn("place", F.dense_rank().over(rank)).filter(
+            F.col("place") <= limit).drop("place").distinct()
         new = new if best is None else best.unionByName(new)
-        best = cut_lineage(new.withColumn("place", place).filter(
+        best = lasting.keep(new.withColumn("place", place).filter(
             F.col("place") <= limit).drop("place"))
-        low = high
+        passing.remove()
+        if before is not None:
+            before.remove()
+        low, before = high, lasting
     # The rows of an asker who comes several times are joined with each other.
     given = asked.groupBy("c_ord").agg(F.count(F.lit(1)).alias("given"))
     times = F.least(F.lit(limit), F.pow("given", F.lit(4)) * F.col("copies")).cast("int")
@@ -182,7 +218,10 @@ def top_matches(asked: DataFrame, held: DataFrame, limit: int, cutoff: float, to
         "c_ord", "p_ord", "position", "score", "gap")
     shared = F.aggregate("signals", F.lit(0), lambda acc, x: F.when(
         F.array_contains("keys", x["k"]), acc.bitwiseOR(x["flags"])).otherwise(acc))
-    return top.join(asked.select("c_ord", "signals"), "c_ord").join(
+    matches = cut_lineage(top.join(asked.select("c_ord", "signals"), "c_ord").join(
         people.select("p_ord", "keys"), "p_ord").select(
         "c_ord", "p_ord", "position", (F.col("score") / F.lit(2.0)).alias("score"), "gap",
-        shared.alias("flags"))
+        shared.alias("flags")))
+    tables.remove()
+    before.remove()
+    return matches

@@ -1,9 +1,13 @@
 """The pruned top-k join of weighted signals against every pair scored one by one."""
 
+from pathlib import Path
+from urllib.parse import urlparse
+
 import numpy as np
 import pytest
 
 from evigraph.operators import signal_join as sj
+from evigraph.session import shared_folder
 
 ASKED = ("c_ord long, c_birth int, c_death int, "
          "signals array<struct<k: string, points: int, token: int, flags: int>>")
@@ -142,6 +146,25 @@ def test_an_asker_in_several_rows(spark):
         best + [(2, p, p + 1, 11.0, 50, 1) for p in range(3)])]
 
 
+def test_the_folder_holds_one_round_at_a_time(spark, tables, monkeypatch):
+    """Tables are removed when the next are written; in the end only the answer is left."""
+    asked, held = tables
+    monkeypatch.setattr(sj, "SEEDS", 4)
+    folder = Path(urlparse(shared_folder(spark)).path)
+    before, most = set(folder.iterdir()), []
+    real = sj._bounded
+    monkeypatch.setattr(sj, "_bounded", lambda pairs, *rest: most.append(
+        len(set(folder.iterdir()) - before)) or real(pairs, *rest))
+    refused = spark.createDataFrame([(c, 1000 + c) for c in range(20)], "c_ord long, p_ord long")
+    found = sj.top_matches(spark.createDataFrame(asked, ASKED), spark.createDataFrame(held, HELD),
+                           4, 2, 3, 3, refused)
+    assert len(most) > 5
+    # The tables of the whole job, two slices' best, this slice's and this round's.
+    assert max(most) <= 5
+    assert len(set(folder.iterdir()) - before) == 1
+    assert rows_of(found) == brute(asked, held, 4, 2, {(c, 1000 + c) for c in range(20)})
+
+
 def test_empty(spark):
     asked = spark.createDataFrame([(1, None, None, [])], ASKED)
     held = spark.createDataFrame([(1, None, None, ["f=1"])], HELD)
