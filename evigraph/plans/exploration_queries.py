@@ -385,12 +385,16 @@ def candidate_matches(b):
         "explanation")
 
 
-def matched_candidates(b, limit):
+def matched_candidates(b, limit, chosen=None):
+    """The best ``limit`` people of all candidates, or of the ``chosen(candidate_id)``."""
+    asked = b.rich_candidates
+    if chosen is not None:
+        asked = asked.join(chosen.select(F.col("candidate_id").alias("id")), "id", "left_semi")
     tens = b.candidates.filter("ord % 10 = 0").select(
         F.col("id").alias("candidate_id"), F.expr("ord div 10").alias("page"))
     refused = tens.join(b.people_core.select(
         F.col("id").alias("person_id"), F.expr("ord div 400").alias("page")), "page").drop("page")
-    return sg.candidate_suggestions(b.rich_candidates, b.people, refused, limit=limit)
+    return sg.candidate_suggestions(asked, b.people, refused, limit=limit)
 
 
 @query("suggested_edges", """with pairs as (select distinct person_id as a, value as b from evidence_links where kind = 'coauthor' and person_id <> value)

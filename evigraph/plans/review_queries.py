@@ -88,9 +88,13 @@ select case when p_birth <= c_birth then person_id else new_id end as source, ca
   category as type, 2 as strength, 0.35::double as confidence, 'suggested' as status, 'Imported with suggested context: ' || explanation as context, url as source_url from chosen_ends""")
 def accepted_import_links(b):
     """Edges of the accepted, without the list of reasons at the end of their notes."""
-    best = matched_candidates(b, 1)
+    fold = _folded(b)
+    accepted = fold["accepted"]
+    fold.remove()
+    # Nobody else's suggestions become edges.
+    best = matched_candidates(b, 1, accepted)
     reasoned = sg.with_reasons(best, b.rich_candidates, b.people)
-    new = ir.accepted_people(_folded(b)["accepted"], b.candidates, b.people_core)
+    new = ir.accepted_people(accepted, b.candidates, b.people_core)
     return ir.accepted_links(new, reasoned, b.candidates, b.people_core).select(
         "source", "target", "type", "strength", "confidence", "status",
         F.substring_index("note", "; ", 1).alias("context"),

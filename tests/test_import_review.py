@@ -1,8 +1,11 @@
 """The fold of queue events against a walk through them one by one."""
 
 import random
+from pathlib import Path
+from urllib.parse import urlparse
 
 from evigraph.operators import import_review as ir
+from evigraph.session import shared_folder
 from tests.fixtures import people
 
 EVENTS = ("ord long, kind string, candidate_id string, confidence int, duplicate_id string, "
@@ -113,3 +116,32 @@ def test_best_suggestion_becomes_an_edge(spark):
          "Imported with suggested context: direct claim; a, b", ["w1"]),
         (ids["q2"], "p2", "needs review",
          "Imported with suggested context: thin evidence; nearby chronology", ["s2"])])
+
+
+def test_walked_and_jumped_entries_agree(spark, monkeypatch):
+    """Candidates with many entries take another way than those with few."""
+    monkeypatch.setattr(ir, "WALKED", 8)
+    events = story(9, 240, 24)
+    check(spark, events, 24, 1 << 16)
+    counts = [sum(e[1] == "queue" and e[2] == f"q{n}" for e in events) for n in range(24)]
+    assert min(counts) <= 8 < max(counts)
+
+
+def test_the_fold_removes_its_tables(spark, monkeypatch):
+    """Whoever asks for the accepted follows the entries once and leaves no other table."""
+    _, candidates = found(spark, 12)
+    folk = people(spark, {"id": "p1", "name": "Known-One"})
+    folder = Path(urlparse(shared_folder(spark)).path)
+    before, calls = set(folder.iterdir()), []
+    real = ir._entries
+    monkeypatch.setattr(ir, "_entries", lambda *given: calls.append(1) or real(*given))
+    events = story(3, 120, 12)
+    fold = ir.review_fold(spark.createDataFrame(events, EVENTS), candidates, folk)
+    accepted = fold["accepted"]
+    assert len(calls) == 1
+    # The fold's own tables and the accepted.
+    assert len(set(folder.iterdir()) - before) == 2
+    fold.remove()
+    assert len(set(folder.iterdir()) - before) == 1
+    assert sorted((r.candidate_id, r.ord) for r in accepted.collect()) == walk(
+        events, found(spark, 12)[0], ["Known-One"])[2] != []
