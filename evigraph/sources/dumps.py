@@ -5,6 +5,8 @@ Each takes a DataFrame read from a dump with the columns named in its docstring.
 
 from __future__ import annotations
 
+import math
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +16,7 @@ from evigraph.functions import taxonomy as tax
 from evigraph.functions import text as tx
 from evigraph.operators import normalize as nz
 from evigraph.operators.edge_validation import listed
+from evigraph.session import Scratch
 
 
 class AdapterResult(NamedTuple):
@@ -87,30 +90,34 @@ def search_hits(dump: DataFrame) -> DataFrame:
         .alias("confidence"))
 
 
+#: Pairs of one pass, about, and the most passes; they change no answer.
+PASS_PAIRS, PASSES = 10_000_000, 8
+
+
 def coauthors(dump: DataFrame, authors: DataFrame | None = None) -> DataFrame:
     """Collaborations of focal authors with the authors of their works; last work wins.
 
     ``dump(id, ord, authorships)``. A work's own author list supplies the pairs, so the
-    output is bounded by the lists themselves for the given focal ``authors(id)``.
+    output is bounded by the lists themselves for the given focal ``authors(id)``. Pairs take
+    more room than works and results together, so only those of some authors are shuffled at a
+    time; each pass leaves its results and frees the rest.
     """
-    rows = dump.select(F.col("id").alias("work_id"), "ord", "authorships",
-                       F.explode("authorships").alias("a")).select(
-        "work_id", "ord", "authorships", F.col("a.author.id").alias("author_id"),
-        F.col("a.author.display_name").alias("author_name"))
-    met = "author_id < coauthor_id"
-    if authors is not None:
-        rows = rows.join(authors.select(F.col("id").alias("author_id")), "author_id", "left_semi")
-        met = "author_id <> coauthor_id"
-    # Without focal authors a pair is met once and read in both directions.
-    pairs = rows.select("work_id", "ord", "author_id", "author_name",
-                        F.explode("authorships").alias("c")).select(
-        "work_id", "ord", "author_id", F.col("c.author.id").alias("coauthor_id"), "author_name",
-        F.col("c.author.display_name").alias("name")).filter(met)
+    tables, found = Scratch(dump.sparkSession), Scratch(dump.sparkSession)
+    works = tables.keep(dump.select(
+        F.col("id").alias("work_id"), "ord", F.transform("authorships", lambda a: F.struct(
+            a["author"]["id"].alias("id"), a["author"]["display_name"].alias("name")))
+        .alias("authors")), "zstd")
+    n = F.size("authors").cast("double")
+    pairs = works.agg(F.sum(F.when(n > 0, n * (n - 1) / 2))).first()[0] or 0
+    passes = max(1, min(PASSES, math.ceil(pairs / PASS_PAIRS)))
+    rows = works.select("work_id", "ord", "authors", F.explode("authors").alias("a"))
+    if passes == 1:
+        last = _last_works(rows, authors)
+    else:
+        last = reduce(DataFrame.unionByName, [found.keep(_last_works(rows.filter(F.pmod(
+            F.xxhash64("a.id"), F.lit(passes)) == i), authors), "zstd") for i in range(passes)])
+        tables.remove()
     person = lambda c: F.concat(F.lit("person:"), F.lower(id_part(F.col(c))))
-    # Ids begin alike, so a hash comes first in the sort that groups them.
-    last = pairs.groupBy(F.xxhash64("author_id", "coauthor_id").alias("h"), "author_id",
-                         "coauthor_id").agg(
-        F.max_by(F.struct("work_id", "name", "author_name"), "ord").alias("w"))
     way = lambda a, c, name: F.struct(F.col(a).alias("author_id"),
                                       F.col(c).alias("coauthor_id"), F.struct(
         "w.work_id", F.col(f"w.{name}").alias("name")).alias("w"))
@@ -129,6 +136,25 @@ def coauthors(dump: DataFrame, authors: DataFrame | None = None) -> DataFrame:
         .alias("claim_id"))
 
 
+def _last_works(rows: DataFrame, authors: DataFrame | None) -> DataFrame:
+    """The last work ``w`` of each pair of an author ``a`` of the rows and one of ``authors``."""
+    rows = rows.select("work_id", "ord", "authors", F.col("a.id").alias("author_id"),
+                       F.col("a.name").alias("author_name"))
+    met = "author_id < coauthor_id"
+    if authors is not None:
+        rows = rows.join(authors.select(F.col("id").alias("author_id")), "author_id", "left_semi")
+        met = "author_id <> coauthor_id"
+    # Without focal authors a pair is met once and read in both directions.
+    pairs = rows.select("work_id", "ord", "author_id", "author_name",
+                        F.explode("authors").alias("c")).select(
+        "work_id", "ord", "author_id", F.col("c.id").alias("coauthor_id"), "author_name",
+        F.col("c.name").alias("name")).filter(met)
+    # Ids begin alike, so a hash comes first in the sort that groups them.
+    return pairs.groupBy(F.xxhash64("author_id", "coauthor_id").alias("h"), "author_id",
+                         "coauthor_id").agg(
+        F.max_by(F.struct("work_id", "name", "author_name"), "ord").alias("w")).drop("h")
+
+
 def _first(values: Column, limit: int | None) -> Column:
     return values if limit is None else F.slice(values, 1, limit)
 
