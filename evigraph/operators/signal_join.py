@@ -56,9 +56,9 @@ def _codes(people: DataFrame, tables: Scratch) -> DataFrame:
 
 
 def _askers(asked: DataFrame, codes: DataFrame, tables: Scratch) -> DataFrame:
-    """A row per asker and life with his ``signals``, the rarest first, and for each of them in
-    ``steps`` what it (``own``, ``tokens``) and all later ones (``own_after``, ``tokens_after``)
-    give at most."""
+    """A row per asker and life with the ``wants`` of his signals, what each is ``worth``, and
+    for each of them in ``steps``, the rarest first, what it (``own``, ``tokens``) and all later
+    ones (``own_after``, ``tokens_after``) give at most."""
     flat = asked.select("c_ord", F.inline("signals")).groupBy("c_ord", "k").agg(
         F.sum("points").alias("points"), F.max("token").alias("token")).join(codes, "k")
     later = Window.partitionBy("c_ord").orderBy(F.desc("code")).rowsBetween(
@@ -69,7 +69,9 @@ def _askers(asked: DataFrame, codes: DataFrame, tables: Scratch) -> DataFrame:
                              for c in ("own", "tokens")})
     listed = lambda *columns: F.array_sort(F.collect_list(F.struct(*columns)))
     signals = flat.groupBy("c_ord").agg(
-        listed("code", "points", "token").alias("signals"),
+        F.array_sort(F.collect_list("code")).alias("wants"),
+        F.map_from_entries(listed("code", F.struct("code", "points", "token", "times")))
+        .alias("worth"),
         listed("code", "own", "tokens", "own_after", "tokens_after").alias("steps"))
     lives = asked.groupBy("c_ord", "c_birth", "c_death").agg(F.count(F.lit(1)).alias("copies"))
     return tables.keep(lives.join(signals, "c_ord").withColumn(
@@ -95,14 +97,16 @@ def _bounded(pairs: DataFrame, cap: int, points: int) -> DataFrame:
     nothing = F.struct(F.lit(0).cast("long").alias("own"), F.lit(0).cast("long").alias("tokens"))
 
     def add(acc, x):
-        times = F.size(F.filter("codes", lambda v: v == x["code"]))
+        times = F.when(x["times"] == 1, 1).otherwise(F.size(F.filter(
+            "codes", lambda v: v == x["code"])))
         return F.struct((acc["own"] + x["points"] * times).alias("own"),
                         (acc["tokens"] + x["token"] * times).alias("tokens"))
 
     gap = F.when(F.col("c_birth").isNotNull(), life_gap("c_birth", "c_death", "birth", "death")
                  ).otherwise(300)
     time = time_points(F.col("c_birth").isNotNull(), F.col("gap"))
-    hits = F.filter("signals", lambda x: F.array_contains("codes", x["code"]))
+    # The few codes in common are found by compiled code; the rest looks at these alone.
+    hits = F.transform(F.array_intersect("wants", "codes"), lambda v: F.element_at("worth", v))
     base = F.aggregate(hits, nothing, add, lambda acc: acc["own"] + points * F.least(
         acc["tokens"], F.lit(cap)))
     return pairs.withColumn("gap", gap).withColumn("score", base + time).filter(
@@ -115,7 +119,7 @@ def _above(askers: DataFrame, people: DataFrame, cap: int, points: int,
     """All pairs whose score exceeds the asker's ``floor``, some of them several times."""
     root = {"key": F.lit(0).cast("long"), "last": F.lit(-1).cast("long")}
     paths = askers.select("asker", "c_birth", "steps", "floor")
-    lives = askers.select("asker", "c_ord", "c_birth", "c_death", "copies", "signals", "floor")
+    lives = askers.select("asker", "c_ord", "c_birth", "c_death", "copies", "wants", "worth", "floor")
     mine = paths.withColumns({**root, "sum": F.lit(0).cast("long"),
                               "count": F.lit(0).cast("long")})
     theirs = people.withColumns(root)
