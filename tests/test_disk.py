@@ -22,7 +22,7 @@ def test_kept_tables_free_their_shuffles(spark):
     held = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
     before, setting = shuffle_files(spark), spark.conf.get(session.FREE_SHUFFLES, None)
     tables = session.Scratch(spark)
-    kept, cut = tables.keep(held), session.cut_lineage(held)
+    kept, cut = tables.keep(held, "zstd"), session.cut_lineage(held)
     assert sorted(kept.collect()) == sorted(cut.collect())
     assert shuffle_files(spark) <= before
     assert spark.conf.get(session.FREE_SHUFFLES, None) == setting
